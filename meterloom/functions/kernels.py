@@ -85,14 +85,14 @@ def by_lengths(xs: pd.Series, ys: pd.Series, kernel) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
-def _dtw(a: pd.Series, b: pd.Series) -> pd.Series:
-    return by_lengths(a, b, dtw_pairs)
-
-
 def dtw(a, b) -> Column:
     """Dynamic-time-warping distance of two array columns; lengths may differ."""
-    return _dtw(a, b)
+
+    @F.pandas_udf("double")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return by_lengths(x, y, dtw_pairs)
+
+    return distance(a, b)
 
 
 def soft_dtw(a, b, gamma: float = 1.0) -> Column:

@@ -14,6 +14,7 @@ from meterloom.functions import kernels
 from meterloom.functions.calendar import date_to_jalali, seconds
 from meterloom.operators.resample import resample
 from meterloom.operators.windows import rolling_band, sliding_windows
+from meterloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -155,17 +156,18 @@ def reconstruction_error(series: DataFrame, length: int = 168, components: int =
 
     windows = sliding_windows(series, length)
     counts = series.groupBy("id").agg((F.count(F.lit(1)) - (length - 1)).alias("_n"))
-    marked = windows.join(counts, "id").withColumn("train", F.col("idx") < F.floor(F.col("_n") * train_share)).drop("_n")
-    vectors = marked.withColumn("v", array_to_vector("values"))
-    model = PCA(k=components, inputCol="v", outputCol="p").fit(vectors.filter("train"))
-    basis = model.pc.toArray()  # length x components: fixed by the arguments
-    centre = vectors.filter("train").select(Summarizer.mean(F.col("v"))).first()[0].toArray()
-    rest = centre - basis @ (basis.T @ centre)
-    projected = model.transform(vectors).withColumn("_p", vector_to_array("p"))
-    rows = [sum((F.col("_p")[j] * float(b) for j, b in enumerate(row)), F.lit(float(r))) for row, r in zip(basis, rest)]
-    gaps = F.zip_with("values", F.array(*rows), lambda x, y: F.abs(x - y))
-    error = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / length
-    scored = projected.select("id", "idx", "train", error.alias("error"))
+    # written once: the fit, the mean and the scoring all read the windows
+    marked = cut(windows.join(counts, "id").withColumn("train", F.col("idx") < F.floor(F.col("_n") * train_share)).drop("_n"))
+    training = marked.filter("train").select(array_to_vector("values").alias("v"))
+    basis = PCA(k=components, inputCol="v", outputCol="p").fit(training).pc.toArray()  # length x components
+    centre = training.select(Summarizer.mean(F.col("v"))).first()[0].toArray()  # one window
+
+    @F.pandas_udf("double")
+    def error(values: pd.Series) -> pd.Series:
+        x = np.stack(values.to_numpy()) - centre if len(values) else np.empty((0, length))
+        return pd.Series(np.abs(x - x @ basis @ basis.T).mean(axis=1))
+
+    scored = marked.select("id", "idx", "train", error("values").alias("error"))
     limit = scored.filter("train").agg(F.max("error")).scalar()
     return scored.withColumn("anomaly", ~F.col("train") & (F.col("error") > limit))
 

@@ -35,7 +35,7 @@ def reduce_random_interval(df: DataFrame, seed=0) -> DataFrame:
 
 
 def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), F.size(values))
 
 
 def attack(kind: int, values, seed, *key) -> Column:

@@ -35,9 +35,9 @@ def resample(df: DataFrame, freq="1H", aggs: dict[str, str] | None = None, fill:
     if base != step:
         coarse = coarse.groupBy("id", "_a", "_k").agg(*[MERGE[how](c).alias(c) for c, how in aggs.items()])
     nxt = F.lead("_k").over(per_meter.orderBy("_k"))
-    out = coarse.withColumn("_i", F.col("_k") - F.min("_k").over(per_meter))
+    out = coarse.withColumn("_i", F.col("_k") - F.min("_k").over(per_meter)).withColumn("_to", nxt - F.col("_k"))
     if fill:
-        out = out.withColumn("_gap", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(nxt - F.col("_k"), F.lit(1)) - 1)))
+        out = out.withColumn("_gap", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_to", F.lit(1)) - 1)))
     else:
         out = out.withColumn("_gap", F.lit(0).cast("long"))
 

@@ -70,7 +70,10 @@ def segments(df: DataFrame, length: int, order: RowOrder = RowOrder(), extra: Se
 
 def _feature_rows(blocks: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per feature from blocks that hold ``rows ARRAY<STRUCT<at, f0, ...>>``."""
-    per_feature = F.array(*[F.transform("rows", lambda r, c=c: r[c]) for c in features])
+    def column_of(name: str) -> Column:
+        return F.transform("rows", lambda r: r[name])
+
+    per_feature = F.array(*[column_of(c) for c in features])
     return blocks.select(*keep, F.posexplode(per_feature).alias("feature", "values"))
 
 

@@ -98,9 +98,9 @@ def _(t: Tables):
 
 
 @query("d9_cycle_counters", sql("SELECT id, seq, " + ", ".join(
-    f"round({c} - lag({c}) OVER (PARTITION BY id ORDER BY start_date, seq), 4) AS {c}" for c in ("low", "medium", "high")) + " FROM cycles", "cycles"))
+    f"round({c} - lag({c}) OVER (PARTITION BY id ORDER BY start_date, seq, high, low, medium), 4) AS {c}" for c in ("low", "medium", "high")) + " FROM cycles", "cycles"))
 def _(t: Tables):
-    out = clean.cycle_counters_to_usage(t.cycles, ("start_date", "seq"))
+    out = clean.cycle_counters_to_usage(t.cycles, ("start_date", "seq", "high", "low", "medium"))
     return out.select("id", "seq", *[R4(c).alias(c) for c in ("low", "medium", "high")])
 
 
@@ -114,7 +114,7 @@ def _(t: Tables):
     return fill.fill(t.readings_gap, "drop", BY_SEQ)
 
 
-WIN = "(PARTITION BY id ORDER BY date, seq ROWS BETWEEN {})"
+WIN = "(PARTITION BY id ORDER BY date, seq, usage ROWS BETWEEN {})"
 BACK, AHEAD = WIN.format("UNBOUNDED PRECEDING AND CURRENT ROW"), WIN.format("CURRENT ROW AND UNBOUNDED FOLLOWING")
 
 
@@ -139,7 +139,7 @@ def _(t: Tables):
       last_value(usage IGNORE NULLS) OVER {BACK} AS p, last_value(k IGNORE NULLS) OVER {BACK} AS pi,
       first_value(usage IGNORE NULLS) OVER {AHEAD} AS n, first_value(k IGNORE NULLS) OVER {AHEAD} AS ni
       FROM (SELECT *, CASE WHEN usage IS NOT NULL THEN i END AS k FROM
-        (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date, seq) AS i FROM readings_gap)))""", "readings_gap"))
+        (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date, seq, usage) AS i FROM readings_gap)))""", "readings_gap"))
 def _(t: Tables):
     return fill.fill(t.readings_gap, "linear", BY_SEQ).select("id", "date", "seq", R4("usage").alias("usage"))
 
@@ -170,14 +170,14 @@ def _kept(condition: str) -> str:
 DAY_CTE = {"b": resample_sql("readings", 86400)}
 
 
-@query("f4_share_above", sql(_kept("avg(CAST(usage > 20 AS INT)) > 0.5"), "readings", **DAY_CTE))
+@query("f4_share_above", sql(_kept("avg(CAST(usage > 80 AS INT)) > 0.5"), "readings", **DAY_CTE))
 def _(t: Tables):
-    return filters.share_above(t.readings, 0.5, "1D", 20).select("id", "date", "usage")
+    return filters.share_above(t.readings, 0.5, "1D", 80).select("id", "date", "usage")
 
 
-@query("f5_share_below", sql(_kept("avg(CAST(usage < 20 AS INT)) > 0.4"), "readings", **DAY_CTE))
+@query("f5_share_below", sql(_kept("avg(CAST(usage < 80 AS INT)) > 0.5"), "readings", **DAY_CTE))
 def _(t: Tables):
-    return filters.share_below(t.readings, 0.4, "1D", 20).select("id", "date", "usage")
+    return filters.share_below(t.readings, 0.5, "1D", 80).select("id", "date", "usage")
 
 
 @query("f6_day_night", sql("""
@@ -188,19 +188,19 @@ def _(t: Tables):
     return filters.day_night(t.readings, 15, 10, 60, 55).select("id", "date", "usage")
 
 
-@query("f7_mean_below", sql(_kept("avg(usage) < 45"), "readings", **DAY_CTE))
+@query("f7_mean_below", sql(_kept("avg(usage) < 110"), "readings", **DAY_CTE))
 def _(t: Tables):
-    return filters.mean_below(t.readings, 45, "1D").select("id", "date", "usage")
+    return filters.mean_below(t.readings, 110, "1D").select("id", "date", "usage")
 
 
-@query("f7_total_below", sql("SELECT id, date, usage FROM readings WHERE id IN (SELECT id FROM readings GROUP BY id HAVING sum(usage) < 1300)", "readings"))
+@query("f7_total_below", sql("SELECT id, date, usage FROM readings WHERE id IN (SELECT id FROM readings GROUP BY id HAVING sum(usage) < 3300)", "readings"))
 def _(t: Tables):
-    return filters.mean_below(t.readings, 1300).select("id", "date", "usage")
+    return filters.mean_below(t.readings, 3300).select("id", "date", "usage")
 
 
-@query("f8_mean_above", sql(_kept("avg(usage) > 45"), "readings", **DAY_CTE))
+@query("f8_mean_above", sql(_kept("avg(usage) > 110"), "readings", **DAY_CTE))
 def _(t: Tables):
-    return filters.mean_above(t.readings, 45, "1D").select("id", "date", "usage")
+    return filters.mean_above(t.readings, 110, "1D").select("id", "date", "usage")
 
 
 @query("f9_align_start", sql("""
@@ -347,11 +347,11 @@ def _(t: Tables):
     return rs.frequent_windows(t.series_long)
 
 
-@query("a12_segment_means", sql("SELECT id, segment, round(avg(d), 4) AS mean, round(var_samp(d), 4) AS var FROM n GROUP BY 1, 2", "readings_gap",
-    d="SELECT *, usage - lag(usage) OVER (PARTITION BY id ORDER BY date, seq) AS d FROM readings_gap",
-    n="SELECT id, d, (row_number() OVER (PARTITION BY id ORDER BY date, seq) - 1) % 7 AS segment FROM d WHERE d IS NOT NULL"))
+@query("a12_segment_means", sql("SELECT id, segment, round(avg(d), 6) AS mean, round(var_samp(d), 2) AS var FROM n GROUP BY 1, 2", "readings_gap",
+    d="SELECT *, usage - lag(usage) OVER (PARTITION BY id ORDER BY date, seq, usage) AS d FROM readings_gap",
+    n="SELECT id, d, (row_number() OVER (PARTITION BY id ORDER BY date, seq, usage) - 1) % 7 AS segment FROM d WHERE d IS NOT NULL"))
 def _(t: Tables):
-    return rs.segment_means(t.readings_gap, 7, BY_SEQ).select("id", "segment", R4("mean").alias("mean"), R4("var").alias("var"))
+    return rs.segment_means(t.readings_gap, 7, BY_SEQ).select("id", "segment", F.round("mean", 6).alias("mean"), F.round("var", 2).alias("var"))
 
 
 @query("a13_column_stats", sql("SELECT round(avg(usage), 4) AS mean, round(stddev_samp(usage), 4) AS std FROM readings", "readings"))
@@ -366,7 +366,7 @@ for _k in (1, 7):
         return w.lag_diff(t.readings, k, BY_SEQ).select("id", "date", "seq", R4("usage").alias("usage"))
 
     query(f"w1_lag_diff_{_k}", sql(f"""SELECT id, date, seq, round(d, 4) AS usage FROM
-      (SELECT *, usage - lag(usage, {_k}) OVER (PARTITION BY id ORDER BY date, seq) AS d FROM readings) WHERE d IS NOT NULL""", "readings"))(_build)
+      (SELECT *, usage - lag(usage, {_k}) OVER (PARTITION BY id ORDER BY date, seq, usage) AS d FROM readings) WHERE d IS NOT NULL""", "readings"))(_build)
 
 
 BAND = "(PARTITION BY id ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
@@ -392,7 +392,7 @@ def _(t: Tables):
 
 SEG_SQL = """SELECT id, (rn - 1) // {L} AS segment, (rn - 1) % {L} AS pos, usage FROM
     (SELECT id, usage, rn, count(usage) OVER (PARTITION BY id, (rn - 1) // {L}) AS c FROM
-      (SELECT id, usage, row_number() OVER (PARTITION BY id ORDER BY date, seq) AS rn FROM {src})) WHERE c = {L}"""
+      (SELECT id, usage, row_number() OVER (PARTITION BY id ORDER BY date, seq, usage) AS rn FROM {src})) WHERE c = {L}"""
 
 
 @query("w4_segments", sql(SEG_SQL.format(L=24, src="readings_gap"), "readings_gap"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 from meterloom.operators.ordered import RowOrder, running_sum
 from meterloom.operators.resample import resample
+from meterloom.session import ship
 
-BY_SEQ = RowOrder(("id",), ("date", "seq"))
+BY_SEQ = RowOrder(("id",), ("date", "seq", "usage"))
 
 
 @dataclass
 class Tables:
     spark: SparkSession
     folder: str
-    _pinned: bool = field(default=False, repr=False)
 
     def __post_init__(self):
         if self.spark.conf.get("spark.sql.session.timeZone") != "UTC":
             self.spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(self.spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -155,7 +156,7 @@ CODE_SQL = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purcha
 VIEWS = {
     "readings": "SELECT user_id AS id, ts AS date, value AS usage, event_id AS seq FROM events",
     "readings_gap": "SELECT user_id AS id, ts AS date, CASE WHEN event_type <> 'error' THEN value END AS usage, event_id AS seq FROM events",
-    "counters": "SELECT id, date, sum(usage) OVER (PARTITION BY id ORDER BY date, seq ROWS UNBOUNDED PRECEDING) AS usage, seq FROM readings",
+    "counters": "SELECT id, date, sum(usage) OVER (PARTITION BY id ORDER BY date, seq, usage ROWS UNBOUNDED PRECEDING) AS usage, seq FROM readings",
     "series_long": "SELECT l_suppkey AS id, l_shipdate AS date, l_quantity AS usage, l_orderkey * 10 + l_linenumber AS seq FROM lineitem",
     "supplier_region": "SELECT s_suppkey, CAST(n_regionkey AS BIGINT) AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "series_region": "SELECT region AS id, date, usage, seq FROM series_long JOIN supplier_region ON id = s_suppkey",

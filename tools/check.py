@@ -38,7 +38,7 @@ def rows_of(columns, rows):
 
 
 def main(folder: str, prefixes: list[str]) -> int:
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for n in NAMES:
@@ -71,7 +71,7 @@ def main(folder: str, prefixes: list[str]) -> int:
                 print(f"ok     {name}: {note}", flush=True)
         except Exception as error:
             bad += 1
-            print(f"ERROR  {name}: {type(error).__name__}: {str(error)[:1500]}", flush=True)
+            print(f"ERROR  {name}: {type(error).__name__}: {str(error)[-700:]}", flush=True)
     print(f"{bad} bad")
     return bad
 
