@@ -172,9 +172,9 @@ def minmax_by_position(df: DataFrame, ranges: DataFrame, keys: Sequence[str] = (
         joined, los, his = df.join(F.broadcast(ranges), list(keys)), F.col("_los"), F.col("_his")
     else:
         both = ranges.select(F.struct("_los", "_his")).scalar()
-        joined, los, his = df, both["_los"], both["_his"]
+        joined, los, his = df.withColumn("_both", both), F.col("_both")["_los"], F.col("_both")["_his"]
     scaled = F.transform("values", lambda x, i: _rescale(x, los[i], his[i], lo, hi))
-    return joined.withColumn("values", scaled).drop("_los", "_his")
+    return joined.withColumn("values", scaled).drop("_los", "_his", "_both")
 
 
 def standard_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -15,15 +15,20 @@ PARAM = dt.DetectionParam("7D", 20, 2.5, 10, 8)
 
 # ---------------------------------------------------------------- detection
 
-NEXT = "(PARTITION BY id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)"
-EVENT_CTE = {
-    **BAND_CTE,
-    "ahead": f"SELECT *, list(usage) OVER {NEXT} AS nxt FROM band",
-    "hits": """SELECT id, idx, date, CASE
-        WHEN usage > upper AND len(list_filter(nxt, lambda x: x > upper AND x > 20)) >= 8 THEN 'mining'
-        WHEN usage < lower AND len(list_filter(nxt, lambda x: x < lower)) >= 8 THEN 'theft' END AS event FROM ahead""",
-    "first_hits": "SELECT id, idx, date, event FROM hits WHERE event IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY idx) = 1",
-}
+def event_ctes(source: str, window: int = 20, std: float = 2.5, m: int = 10, n: int = 8) -> dict[str, str]:
+    back = f"(PARTITION BY id ORDER BY idx ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    return {
+        "band": f"""SELECT *, CASE WHEN idx >= {window} THEN avg(usage) OVER {back} + {std} * stddev_samp(usage) OVER {back} END AS upper,
+            CASE WHEN idx >= {window} THEN avg(usage) OVER {back} - {std} * stddev_samp(usage) OVER {back} END AS lower FROM {source}""",
+        "ahead": f"SELECT *, list(usage) OVER (PARTITION BY id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {m} FOLLOWING) AS nxt FROM band",
+        "hits": f"""SELECT id, idx, date, CASE
+            WHEN usage > upper AND len(list_filter(nxt, lambda x: x > upper AND x > 20)) >= {n} THEN 'mining'
+            WHEN usage < lower AND len(list_filter(nxt, lambda x: x < lower)) >= {n} THEN 'theft' END AS event FROM ahead""",
+        "first_hits": "SELECT id, idx, date, event FROM hits WHERE event IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY idx) = 1",
+    }
+
+
+SENSITIVE = dt.DetectionParam("7D", 10, 1.0, 6, 4)
 
 
 @query("x2_band_breaches", sql("""
@@ -32,52 +37,54 @@ def _(t: Tables):
     return dt.band_breaches(t.planted, PARAM).select("id", "idx", "date", "kind")
 
 
-@query("x3_first_events", sql("SELECT id, idx, date, event FROM first_hits", "planted", **EVENT_CTE))
+@query("x3_first_events", sql("SELECT id, idx, date, event FROM first_hits", "planted", **event_ctes("planted")))
 def _(t: Tables):
     return dt.first_events(t.planted, PARAM)
 
 
-@query("x3_first_events_long", sql("SELECT id, idx, date, event FROM first_hits", "long_weeks",
-    **{k: v.replace("FROM planted", "FROM long_weeks") for k, v in EVENT_CTE.items()}))
+@query("x3_first_events_long", sql("SELECT id, idx, date, event FROM first_hits", "long_weeks", **event_ctes("long_weeks", 10, 1.0, 6, 4)))
 def _(t: Tables):
-    return dt.first_events(resample(t.series_long, "7D"), PARAM)
+    return dt.first_events(resample(t.series_long, "7D"), SENSITIVE)
 
 
 # the scan as a recursion: one row per visited position, carrying the excluded
 # positions so far and the run confirmed there, if any
 SCAN = """
     walk AS (
-      SELECT id, u, 20 AS at, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS DOUBLE) AS bound, 0 AS origin, 0 AS step
+      SELECT id, u, {W} AS pos, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS DOUBLE) AS bound, 0 AS origin, 0 AS step
       FROM lists
       UNION ALL
-      SELECT id, u, CASE WHEN st > 1 THEN at + 20 + st + 1 ELSE at + 1 END,
-        CASE WHEN st > 1 THEN list_concat(list_filter(gone, lambda p: NOT (p BETWEEN at + 1 AND at + st + 9)),
-          list_filter(range(at + 1, least(at + st + 10, len(u))), lambda p: NOT CASE k WHEN 'mining' THEN u[p + 1] < b ELSE u[p + 1] > b END)) ELSE gone END,
-        CASE WHEN st > 1 THEN k END, b, at, st
+      SELECT id, u, CASE WHEN st > 1 THEN pos + {W} + st + 1 ELSE pos + 1 END,
+        CASE WHEN st > 1 THEN list_concat(list_filter(gone, lambda p: NOT (p BETWEEN pos + 1 AND pos + st + {M} - 1)),
+          list_filter(range(pos + 1, least(pos + st + {M}, len(u))), lambda p: NOT CASE k WHEN 'mining' THEN u[p + 1] < b ELSE u[p + 1] > b END)) ELSE gone END,
+        CASE WHEN st > 1 THEN k END, b, pos, st
       FROM (
-        SELECT *, CASE WHEN k IS NULL THEN 1 ELSE list_min(list_filter(range(1, len(u) - at + 1),
-            lambda s: len(list_filter(u[at + s + 1 : at + s + 10], lambda x: CASE k WHEN 'mining' THEN x > b AND x > 20 ELSE x < b END)) < 8)) END AS st
+        SELECT *, CASE WHEN k IS NULL THEN 1 ELSE list_min(list_filter(range(1, len(u) - pos + 1),
+            lambda s: len(list_filter(u[pos + s + 1 : pos + s + {M}], lambda x: CASE k WHEN 'mining' THEN x > b AND x > 20 ELSE x < b END)) < {N})) END AS st
         FROM (
-          SELECT id, u, at, gone, CASE WHEN u[at + 1] > m + 2.5 * d THEN 'mining' WHEN u[at + 1] < m - 2.5 * d THEN 'theft' END AS k,
-            CASE WHEN u[at + 1] > m + 2.5 * d THEN m + 2.5 * d ELSE m - 2.5 * d END AS b
+          SELECT id, u, pos, gone, CASE WHEN u[pos + 1] > m + {S} * d THEN 'mining' WHEN u[pos + 1] < m - {S} * d THEN 'theft' END AS k,
+            CASE WHEN u[pos + 1] > m + {S} * d THEN m + {S} * d ELSE m - {S} * d END AS b
           FROM (
-            SELECT id, u, at, gone, list_avg(base) AS m, list_aggregate(base, 'stddev_samp') AS d
-            FROM (SELECT id, u, at, gone,
-                    list_transform(list_filter(range(at - 20, len(u)), lambda p: NOT list_contains(gone, p))[1:20], lambda p: u[p + 1]) AS base
-                  FROM walk WHERE at < len(u)))))
+            SELECT id, u, pos, gone, list_avg(base) AS m, list_aggregate(base, 'stddev_samp') AS d
+            FROM (SELECT id, u, pos, gone,
+                    list_transform(list_filter(range(pos - {W}, len(u)), lambda p: NOT list_contains(gone, p))[1:{W}], lambda p: u[p + 1]) AS base
+                  FROM walk WHERE pos < len(u)))))
     ),
     flagged AS (
       SELECT id, p AS idx, kind, CASE kind WHEN 'mining' THEN u[p + 1] > bound ELSE u[p + 1] < bound END AS hit
-      FROM (SELECT id, u, kind, bound, unnest(range(origin + 1, least(origin + step + 10, len(u)))) AS p FROM walk WHERE kind IS NOT NULL)),
+      FROM (SELECT id, u, kind, bound, unnest(range(origin + 1, least(origin + step + {M}, len(u)))) AS p FROM walk WHERE kind IS NOT NULL)),
     flags AS (
       SELECT s.id, s.idx, s.date, s.usage, coalesce(bool_or(f.hit AND f.kind = 'mining'), false) AS mining,
         coalesce(bool_or(f.hit AND f.kind = 'theft'), false) AS theft
-      FROM {source} s LEFT JOIN flagged f ON s.id = f.id AND s.idx = f.idx GROUP BY 1, 2, 3, 4)"""
+      FROM {SOURCE} s LEFT JOIN flagged f ON s.id = f.id AND s.idx = f.idx GROUP BY 1, 2, 3, 4)"""
 
 
-def scan_sql(body: str, source: str) -> str:
+def scan_sql(body: str, source: str, window: int = 20, std: float = 2.5, m: int = 10, n: int = 8) -> str:
     head = sql("", source, lists=f"SELECT id, list(usage ORDER BY idx) AS u FROM {source} GROUP BY id").rstrip()
-    return head.replace("WITH ", "WITH RECURSIVE ", 1) + "," + SCAN.replace("{source}", source) + " " + body
+    walk = SCAN
+    for key, value in {"W": window, "S": std, "M": m, "N": n, "SOURCE": source}.items():
+        walk = walk.replace("{" + key + "}", str(value))
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + "," + walk + " " + body
 
 
 @query("x4_scan_planted", scan_sql("SELECT id, idx, date, round(usage, 4) AS usage, mining, theft FROM flags", "planted"))
@@ -86,9 +93,9 @@ def _(t: Tables):
 
 
 @query("x4_detect", scan_sql("""
-    SELECT id, idx, round(usage, 4) AS usage, mining, theft FROM flags WHERE id IN (SELECT id FROM flags WHERE mining OR theft)""", "long_weeks"))
+    SELECT id, idx, round(usage, 4) AS usage, mining, theft FROM flags WHERE id IN (SELECT id FROM flags WHERE mining OR theft)""", "long_weeks", 10, 1.0, 6, 4))
 def _(t: Tables):
-    return dt.detect(t.series_long, PARAM).select("id", "idx", R4("usage").alias("usage"), "mining", "theft")
+    return dt.detect(t.series_long, SENSITIVE).select("id", "idx", R4("usage").alias("usage"), "mining", "theft")
 
 
 @query("x5_suspect_rows", scan_sql("SELECT id, idx, mining, theft FROM flags WHERE id IN (SELECT id FROM flags WHERE mining OR theft)", "planted"))
@@ -142,7 +149,7 @@ def _(t: Tables):
 
 @query("x10_class_score", sql("""
     SELECT round(avg(CASE WHEN p.id % 2 = 0 THEN CAST(coalesce(event = 'mining', false) AS INT) ELSE CAST(coalesce(event = 'theft', false) AS INT) END), 4) AS score
-    FROM (SELECT DISTINCT id FROM planted) p LEFT JOIN first_hits f ON p.id = f.id""", "planted", **EVENT_CTE))
+    FROM (SELECT DISTINCT id FROM planted) p LEFT JOIN first_hits f ON p.id = f.id""", "planted", **event_ctes("planted")))
 def _(t: Tables):
     found = dt.first_events(t.planted, PARAM)
     verdict = found.select("id", (F.col("event") == "mining").alias("mining"), (F.col("event") == "theft").alias("theft"))
@@ -175,7 +182,7 @@ ATTACK_SQL = {
     3: "list_transform(v, lambda x: list_avg(v))",
     4: "list_transform(v, lambda x: list_avg(v) * {f})",
     5: "list_reverse(v)",
-    6: "list_transform(v, lambda x: 0.0)",
+    6: "list_transform(v, lambda x: CAST(0 AS DOUBLE))",
 }
 
 

@@ -1,0 +1,316 @@
+"""Distances, clusters and patterns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from meterloom.operators import cluster as cl, distance as ds, labels, patterns as pt, split, windows as w
+from meterloom.operators.ordered import RowOrder
+from meterloom.operators.resample import resample
+from meterloom.plans.analysis import BINARY, binary, ranked_sql
+from meterloom.plans.catalog import query
+from meterloom.plans.cleaning import R4
+from meterloom.plans.tables import Tables, digest_sql, resample_sql, sql
+
+NAMES = ("mean", "max", "min", "std", "median")
+
+# ---------------------------------------------------------------- distances
+
+
+def dtw_ctes(pairs: str) -> dict[str, str]:
+    """``measured``: ``pairs`` (columns k, x, y) with ``dist``, by anti-diagonals of the cost table."""
+    return {
+        "walk": f"""SELECT k, x, y, -1 AS s, CAST([] AS DOUBLE[]) AS d1, CAST([] AS DOUBLE[]) AS d2 FROM {pairs}
+          UNION ALL
+          SELECT k, x, y, s + 1, list_transform(range(len(x)), lambda i: CASE WHEN s + 1 - i BETWEEN 0 AND len(y) - 1 THEN
+              (x[i + 1] - y[s + 2 - i]) * (x[i + 1] - y[s + 2 - i]) + CASE WHEN s = -1 THEN 0 ELSE least(d1[i + 1], d1[i], d2[i]) END END), d1
+          FROM walk WHERE s < len(x) + len(y) - 2""",
+        "measured": "SELECT k, sqrt(d1[len(x)]) AS dist FROM walk WHERE s = len(x) + len(y) - 2",
+    }
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def sampled_weeks(t: Tables):
+    """Weekly arrays of 100 sampled meters: the bound of every full matrix below."""
+    return ds.series_arrays(resample(split.sample_users(t.series_long, 100, 1), "7D"))
+
+
+SAMPLE = {
+    "drawn": f"SELECT id FROM (SELECT DISTINCT id FROM series_long) ORDER BY {digest_sql(1, 'id')}, id LIMIT 100",
+}
+
+
+@query("j4_pair_edges", sql("SELECT p.id AS a, q.id AS b FROM drawn p JOIN drawn q ON p.id < q.id", "series_long", **SAMPLE))
+def _(t: Tables):
+    return ds.dtw_matrix(sampled_weeks(t), bound=100).select("a", "b")
+
+
+@query("c1_dtw", recursive(sql("SELECT k AS id, round(dist, 6) AS dist FROM measured", "vectors",
+    pairs="SELECT id AS k, vals[1:24] AS x, vals[25:64] AS y FROM vectors", **dtw_ctes("pairs"))))
+def _(t: Tables):
+    halves = t.vectors.select("id", F.slice("values", 1, 24).alias("x"), F.slice("values", 25, 40).alias("y"))
+    return halves.select("id", F.round(ds.dtw("x", "y"), 6).alias("dist"))
+
+
+@query("c2_dtw_within", recursive(sql("SELECT k.feature AS feature, k.a AS a, k.b AS b, round(dist, 6) AS dist FROM measured WHERE dist < 0.2", "parts",
+    pairs="""SELECT {'feature': p.feature, 'a': p.item, 'b': q.item} AS k, p.vals AS x, q.vals AS y
+      FROM parts p JOIN parts q ON p.feature = q.feature AND p.item < q.item""", **dtw_ctes("pairs"))))
+def _(t: Tables):
+    near = ds.dtw_within(t.parts.withColumnRenamed("item", "id"), 0.2, ("feature",))
+    return near.withColumn("dist", F.round("dist", 6))
+
+
+@query("c2_dtw_matrix_sample")
+def _(t: Tables):
+    return ds.dtw_matrix(sampled_weeks(t), bound=100)
+
+
+@query("c3_similar_pairs")
+def _(t: Tables):
+    return ds.similar_pairs(t.series_long, 10, 100, "7D", 1)
+
+
+@query("c4_week_on_week_dtw", recursive(sql("""
+    SELECT k.id AS id, k.week AS week, k.day AS day,
+      round(CASE WHEN max(dist) OVER w = min(dist) OVER w THEN 0 ELSE (dist - min(dist) OVER w) / (max(dist) OVER w - min(dist) OVER w) * 255 END, 4) AS usage
+    FROM measured WINDOW w AS (PARTITION BY k.id, k.day)""", "readings", b=resample_sql("readings", 3600),
+    days="""SELECT id, idx // 24 AS d, list(usage ORDER BY idx) AS vals, any_value(whole) AS whole
+      FROM (SELECT *, (max(idx) OVER (PARTITION BY id) + 1) // 168 * 7 AS whole FROM b) WHERE idx // 24 < whole GROUP BY 1, 2""",
+    pairs="""SELECT {'id': p.id, 'week': p.d // 7, 'day': p.d % 7} AS k, p.vals AS x, q.vals AS y FROM days p JOIN days q ON p.id = q.id AND q.d = p.d + 7""",
+    **dtw_ctes("pairs"))))
+def _(t: Tables):
+    return ds.week_on_week_dtw(t.readings).withColumn("usage", R4("usage"))
+
+
+@query("j7_week_pairs", sql("""
+    SELECT id, segment, pos, usage, nxt FROM (SELECT id, idx // 7 AS segment, idx % 7 AS pos, usage, lead(usage, 7) OVER (PARTITION BY id ORDER BY idx) AS nxt,
+      (max(idx) OVER (PARTITION BY id) + 1) // 7 AS weeks FROM b) WHERE segment < weeks - 1""", "readings",
+    b="SELECT id, idx, round(usage, 4) AS usage FROM (" + resample_sql("readings", 86400) + ")"))
+def _(t: Tables):
+    from pyspark.sql import Window
+
+    weeks = w.segments(resample(t.readings, "1D"), 7, RowOrder(("id",), ("idx",)))
+    nxt = F.lead("values").over(Window.partitionBy("id").orderBy("segment"))
+    paired = weeks.withColumn("nxt", nxt).filter("nxt IS NOT NULL")
+    rows = paired.select("id", "segment", F.posexplode(F.arrays_zip("values", "nxt")).alias("pos", "v"))
+    return rows.select("id", "segment", "pos", R4("v.values").alias("usage"), R4("v.nxt").alias("nxt"))
+
+
+@query("c14_series_dataset", sql("""
+    SELECT i.id, p.pos, round(l.usage, 4) AS value FROM (SELECT DISTINCT id FROM long_weeks) i
+    CROSS JOIN (SELECT unnest(range((SELECT max(idx) + 1 FROM long_weeks))) AS pos) p LEFT JOIN long_weeks l ON l.id = i.id AND l.idx = p.pos""", "long_weeks"))
+def _(t: Tables):
+    data = ds.series_dataset(resample(t.series_long, "7D"))
+    return data.select("id", F.posexplode("values").alias("pos", "value")).withColumn("value", R4("value"))
+
+
+# ----------------------------------------------------------------- clusters
+
+@query("c5_agglomerate_threshold")
+def _(t: Tables):
+    scaled = w.minmax_by_position(sampled_weeks_equal(t), w.position_ranges(sampled_weeks_equal(t), ()), ())
+    return cl.agglomerate(ds.dtw_matrix(scaled, bound=100), threshold=2.0)
+
+
+def sampled_weeks_equal(t: Tables):
+    """The sampled arrays over the weeks every one of them has (a minmax per position needs one length)."""
+    arrays = sampled_weeks(t)
+    shortest = arrays.agg(F.min(F.size("values"))).scalar()
+    return arrays.withColumn("values", F.slice("values", F.lit(1), shortest))
+
+
+@query("c6_agglomerate_k")
+def _(t: Tables):
+    return cl.agglomerate(ds.dtw_matrix(sampled_weeks(t), bound=100), k=10)
+
+
+@query("c7_linkage_table")
+def _(t: Tables):
+    return cl.linkage_table(ds.dtw_matrix(sampled_weeks(t), bound=100))
+
+
+@query("c8_kmeans_sweep")
+def _(t: Tables):
+    return cl.kmeans_sweep(t.features.select("id", "features"), range(2, 10))
+
+
+@query("c9_kmeans_min_size")
+def _(t: Tables):
+    points = t.features.select("id", "features")
+    return cl.kmeans_min_size(points, 2, 2)
+
+
+DIST = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in NAMES)
+
+
+@query("c10_dbscan", sql(f"""
+    SELECT id, core, CASE WHEN core THEN false ELSE NOT near END AS noise FROM (
+      SELECT p.id, any_value(p.core) AS core, bool_or(q.core AND {DIST} <= 0.64) AS near FROM c p CROSS JOIN c q GROUP BY p.id)""", "z_features",
+    c=f"SELECT p.*, p.id IN (SELECT p.id FROM z_features p JOIN z_features q ON {DIST} <= 0.64 GROUP BY p.id HAVING count(*) >= 5) AS core FROM z_features p"))
+def _(t: Tables):
+    got = cl.dbscan(t.features.select("id", "features"), 0.8, 5)
+    return got.select("id", "core", (F.col("cluster") == -1).alias("noise"))
+
+
+@query("c11_mean_shift")
+def _(t: Tables):
+    return cl.mean_shift(t.features.select("id", "features"), 2.0)
+
+
+@query("c12_silhouette", sql(f"""
+    SELECT id, cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 4) AS silhouette FROM (
+      SELECT id, cluster, max(CASE WHEN qc = cluster THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN qc <> cluster THEN s / n END) AS b FROM (
+        SELECT p.id, p.cluster, q.cluster AS qc, sum({DIST}) AS s, count(*) AS n FROM f p CROSS JOIN f q GROUP BY 1, 2, 3) GROUP BY 1, 2)""",
+    "z_features", "supplier_region", f="SELECT z_features.*, region AS cluster FROM z_features JOIN supplier_region ON id = s_suppkey"))
+def _(t: Tables):
+    return cl.silhouette_points(t.features).withColumn("silhouette", R4("silhouette"))
+
+
+@query("c12_edge_silhouette")
+def _(t: Tables):
+    members = t.supplier_region.select(F.col("s_suppkey").alias("id"), F.col("region").alias("cluster"))
+    arrays = sampled_weeks(t)
+    return cl.edge_silhouette(ds.dtw_matrix(arrays, bound=100), members.join(arrays.select("id"), "id", "left_semi"))
+
+
+@query("c13_series_kmeans")
+def _(t: Tables):
+    return cl.series_kmeans_sweep(ds.series_arrays(resample(t.series_long, "7D")), (2, 3), max_iter=3)
+
+
+# ----------------------------------------------------------------- patterns
+
+COUNTS = "SELECT feature, cluster, label, count(*) AS n FROM parts GROUP BY 1, 2, 3"
+TOPS = """SELECT feature, cluster, label, n / sum(n) OVER (PARTITION BY feature, cluster) AS confidence, CAST(sum(n) OVER (PARTITION BY feature, cluster) AS BIGINT) AS support
+    FROM counts QUALIFY row_number() OVER (PARTITION BY feature, cluster ORDER BY n DESC, label) = 1"""
+
+
+@query("a10_cluster_label_counts", sql("SELECT feature, cluster, label, round(confidence, 4) AS confidence, support FROM tops", "parts", counts=COUNTS, tops=TOPS))
+def _(t: Tables):
+    return pt.cluster_label_counts(t.parts).withColumn("confidence", R4("confidence"))
+
+
+CENTERS = "SELECT feature, cluster, pos, avg(v) AS m FROM (SELECT feature, cluster, unnest(range(16)) AS pos, unnest(vals) AS v FROM parts) GROUP BY 1, 2, 3"
+
+
+@query("a11_cluster_centers", sql("SELECT feature, cluster, pos, round(m, 4) AS value FROM centers", "parts", centers=CENTERS))
+def _(t: Tables):
+    return pt.cluster_centers(t.parts).select("feature", "cluster", F.posexplode("centroid").alias("pos", "value")).withColumn("value", R4("value"))
+
+
+@query("c15_valuable_patterns", sql("""
+    SELECT t.feature, t.cluster, label, round(confidence, 4) AS confidence, support, pos, round(m, 4) AS value
+    FROM tops t JOIN centers c ON t.feature = c.feature AND t.cluster = c.cluster WHERE confidence > 0.2""", "parts", counts=COUNTS, tops=TOPS, centers=CENTERS))
+def _(t: Tables):
+    found = pt.valuable_patterns(t.parts, 0.2)
+    return found.select("feature", "cluster", "label", R4("confidence").alias("confidence"), "support", F.posexplode("centroid").alias("pos", "value")).withColumn("value", R4("value"))
+
+
+def train_test(t: Tables):
+    sides = split.split_rows(t.vectors.select("id"), 0.33, ("id",), 6)
+    rows = t.parts.join(sides.select(F.col("id").alias("item"), "test"), "item")
+    return rows.filter("NOT test").drop("test"), rows.filter("test").drop("test")
+
+
+SIDES = {
+    "sides": f"SELECT id AS item, r <= ceil(n * 0.33 - 1e-9) AS test FROM ({ranked_sql(6)})",
+    "rows0": "SELECT parts.*, test FROM parts JOIN sides USING (item)",
+    "counts": "SELECT feature, cluster, label, count(*) AS n FROM rows0 WHERE NOT test GROUP BY 1, 2, 3",
+    "tops": TOPS,
+    "preds": """SELECT r.item, r.feature, r.cluster, r.label, t.label AS pred FROM rows0 r
+        LEFT JOIN (SELECT * FROM tops WHERE confidence > 0.18) t ON r.feature = t.feature AND r.cluster = t.cluster WHERE test""",
+    "votes": """SELECT item, coalesce(pred, -1) AS vote FROM (SELECT item, pred, count(pred) AS n FROM preds GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY item ORDER BY pred IS NULL, n DESC, pred) = 1""",
+}
+
+
+def predictions(t: Tables):
+    train, test = train_test(t)
+    return pt.label_lookup(test, pt.cluster_label_counts(train).filter("confidence > 0.18"))
+
+
+@query("j3_label_lookup", sql("SELECT item, feature, cluster, pred FROM preds", "parts", **SIDES))
+def _(t: Tables):
+    return predictions(t).select("item", "feature", "cluster", "pred")
+
+
+@query("c16_nearest_pattern", recursive(sql("""
+    SELECT n.item, n.feature, n.cluster, round(n.dist, 6) AS dist, t.label AS pred FROM (
+      SELECT k.item AS item, k.feature AS feature, k.cluster AS cluster, dist FROM measured
+      QUALIFY row_number() OVER (PARTITION BY k.item, k.feature ORDER BY dist, k.cluster) = 1) n
+    LEFT JOIN (SELECT * FROM tops WHERE confidence > 0.18) t ON n.feature = t.feature AND n.cluster = t.cluster""", "parts", **SIDES,
+    flat="""SELECT item, label, feature, cluster, test, pos, (v - min(v) FILTER (WHERE NOT test) OVER w) / (max(v) FILTER (WHERE NOT test) OVER w - min(v) FILTER (WHERE NOT test) OVER w) AS v
+      FROM (SELECT item, label, feature, cluster, test, unnest(range(16)) AS pos, unnest(vals) AS v FROM rows0) WINDOW w AS (PARTITION BY feature, pos)""",
+    mids="SELECT feature, cluster, list(m ORDER BY pos) AS c FROM (SELECT feature, cluster, pos, avg(v) AS m FROM flat WHERE NOT test GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    asked="SELECT item, feature, list(v ORDER BY pos) AS vals FROM flat WHERE test GROUP BY 1, 2",
+    pairs="SELECT {'item': item, 'feature': feature, 'cluster': cluster} AS k, vals AS x, c AS y FROM asked JOIN mids USING (feature)", **dtw_ctes("pairs"))))
+def _(t: Tables):
+    train, test = train_test(t)
+    ranges = w.position_ranges(train)
+    train, test = w.minmax_by_position(train, ranges), w.minmax_by_position(test, ranges)
+    found = pt.nearest_pattern(test, pt.cluster_centers(train), pt.cluster_label_counts(train).filter("confidence > 0.18"))
+    return found.withColumn("dist", F.round("dist", 6))
+
+
+@query("j5_item_centre_pairs", sql("""
+    SELECT r.item, r.feature, c.cluster FROM rows0 r JOIN (SELECT DISTINCT feature, cluster FROM rows0 WHERE NOT test) c USING (feature) WHERE r.test""", "parts", **SIDES))
+def _(t: Tables):
+    train, test = train_test(t)
+    return test.select("item", "feature").join(train.select("feature", "cluster").distinct(), "feature")
+
+
+@query("c17_vote_label", sql("SELECT item, vote FROM votes", "parts", **SIDES))
+def _(t: Tables):
+    return pt.vote_label(predictions(t))
+
+
+@query("c18_pattern_accuracy", sql("""
+    SELECT count(*) AS n, round(avg(CAST(vote = label AS INT)), 4) AS accuracy FROM votes JOIN (SELECT DISTINCT item, label FROM parts) USING (item)""", "parts", **SIDES))
+def _(t: Tables):
+    votes = pt.vote_label(predictions(t)).join(t.vectors.select(F.col("id").alias("item"), "label"), "item")
+    return pt.pattern_accuracy(votes).withColumn("accuracy", R4("accuracy"))
+
+
+@query("c18_feature_accuracy", sql("""
+    SELECT feature, count(*) AS n, round(avg(CAST(pred = label AS INT)), 4) AS accuracy FROM
+      (SELECT p.*, list_max(vals) AS dist FROM preds p JOIN parts USING (item, feature)) WHERE pred IS NOT NULL AND dist < 0.2 GROUP BY 1""", "parts", **SIDES))
+def _(t: Tables):
+    rows = predictions(t).withColumn("dist", F.array_max("values"))
+    return pt.feature_accuracy(rows, 0.2).withColumn("accuracy", R4("accuracy"))
+
+
+@query("j6_label_join", sql("SELECT id, label, r <= ceil(n * 0.33 - 1e-9) AS test FROM (" + ranked_sql(6) + ")", "vectors"))
+def _(t: Tables):
+    sides = split.split_rows(t.vectors.select("id"), 0.33, ("id",), 6)
+    return t.vectors.select("id", "label").join(sides, "id")
+
+
+@query("c19_linear_svm")
+def _(t: Tables):
+    balanced = split.split_rows(split.undersample(binary(t), 2, ("id",), 7), 0.33, ("id",), 8, ("label",))
+    scored = pt.linear_svm(balanced.filter("NOT test"), balanced.filter("test"))
+    return labels.classification_metrics(scored)
+
+
+JUDGED = "SELECT label, CASE WHEN vals[1] > 0 THEN 1 ELSE 0 END AS pred FROM (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, vals FROM vectors)"
+
+
+def judged(t: Tables):
+    return binary(t).withColumn("pred", (F.col("values")[0] > 0).cast("int"))
+
+
+@query("c20_metrics", sql("""
+    SELECT n, tp, fp, fn, tn, round((tp + tn) / n, 4) AS accuracy, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall FROM (
+      SELECT count(*) AS n, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+        count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn FROM j)""", "vectors", j=JUDGED))
+def _(t: Tables):
+    got = labels.classification_metrics(judged(t))
+    return got.select("n", "tp", "fp", "fn", "tn", *[R4(c).alias(c) for c in ("accuracy", "precision", "recall")])
+
+
+@query("c20_confusion", sql("SELECT label, pred, count(*) AS n FROM j GROUP BY 1, 2", "vectors", j=JUDGED))
+def _(t: Tables):
+    return labels.confusion_matrix(judged(t))

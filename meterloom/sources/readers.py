@@ -40,7 +40,7 @@ def read_usage(spark: SparkSession, path: str, limit: int | None = None, calenda
     kind = file_kind(raw.columns)
     when = "date" if kind == "hourly" else "start_date"
     if limit is not None:
-        raw = bounded(raw, limit, ("id", when))
+        raw = bounded(raw, limit, (F.col("id").cast("long"), when))
     calendar = calendar or require_calendar(raw, when)
     if kind == "billing":
         cycles = normalize_cycles(raw, calendar)
