@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +49,45 @@ def _dtw_slice(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return old[:, la]
 
 
+def dtw_pairs_below(a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
+    """As ``dtw_pairs``, but NaN at or beyond ``radius``, giving up on a pair as soon as that is certain.
+
+    Every path crosses one of any two consecutive diagonals and its cost only
+    grows, so a pair whose two last diagonals exceed the radius is beyond it.
+    """
+    out = np.full(len(a), np.nan)
+    step = max(1, PAIR_CELLS // max(a.shape[1], 1))
+    for s in range(0, len(a), step):
+        rows, cost = _dtw_slice_below(a[s : s + step], b[s : s + step], radius * radius)
+        out[s + rows] = np.sqrt(cost)
+    out[~(out < radius)] = np.nan
+    return out
+
+
+def _dtw_slice_below(a: np.ndarray, b: np.ndarray, limit: float):
+    la, lb = a.shape[1], b.shape[1]
+    rows, back = np.arange(len(a)), b[:, ::-1]
+    older = np.full((len(a), la + 1), np.inf)
+    old = older.copy()
+    for s in range(la + lb - 1):
+        lo, hi = max(0, s - lb + 1), min(la - 1, s)
+        cost = (a[:, lo : hi + 1] - back[:, lb - 1 - s + lo : lb - s + hi]) ** 2
+        new = np.full((len(rows), la + 1), np.inf)
+        if s == 0:
+            new[:, 1] = cost[:, 0]
+        else:
+            best = np.minimum(old[:, lo + 1 : hi + 2], old[:, lo : hi + 1])
+            np.minimum(best, older[:, lo : hi + 1], out=best)
+            new[:, lo + 1 : hi + 2] = cost + best
+        alive = np.minimum(new.min(axis=1), old.min(axis=1)) < limit
+        if alive.mean() < 0.75:
+            rows, a, back, old, new = rows[alive], a[alive], back[alive], old[alive], new[alive]
+            if not len(rows):
+                return rows, np.empty(0)
+        older, old = old, new
+    return rows, old[:, la]
+
+
 def soft_dtw_pairs(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     """Soft-DTW (squared costs, soft minimum of temperature ``gamma``) of paired rows."""
     n, la = a.shape
@@ -85,14 +125,37 @@ def by_lengths(xs: pd.Series, ys: pd.Series, kernel) -> pd.Series:
     return pd.Series(out)
 
 
+def _paired(kernel, a, b) -> Column:
+    """A kernel over two array columns as an Arrow function: values are read in place, per length combination."""
+
+    @F.arrow_udf("double")
+    def apply(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = np.full(len(x), np.nan)
+        starts, sizes, flat = [], [], []
+        for side in (x, y):
+            offsets = side.offsets.to_numpy()
+            starts.append(offsets[:-1])
+            sizes.append(np.where(side.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets)))
+            flat.append(side.values.to_numpy(zero_copy_only=False))
+        for lx, ly in np.unique(np.stack(sizes, axis=1), axis=0):
+            rows = np.flatnonzero((sizes[0] == lx) & (sizes[1] == ly))
+            if lx and ly:
+                p, q = (f[s[rows][:, None] + np.arange(n)] for f, s, n in zip(flat, starts, (lx, ly)))
+                out[rows] = kernel(p, q)
+        return pa.array(out, mask=np.isnan(out))
+
+    # non-deterministic only so that a filter on the result does not evaluate it twice
+    return apply.asNondeterministic()(a, b)
+
+
 def dtw(a, b) -> Column:
     """Dynamic-time-warping distance of two array columns; lengths may differ."""
+    return _paired(dtw_pairs, a, b)
 
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return by_lengths(x, y, dtw_pairs)
 
-    return distance(a, b)
+def dtw_below(a, b, radius: float) -> Column:
+    """DTW distance where it is below ``radius``, else null."""
+    return _paired(lambda p, q: dtw_pairs_below(p, q, radius), a, b)
 
 
 def soft_dtw(a, b, gamma: float = 1.0) -> Column:
@@ -182,6 +245,32 @@ def matrix_profile(values: np.ndarray, m: int):
 MINING, THEFT, UNUSABLE = 1, 2, 4
 
 
+def _plain_events(usage, window, std, m, n, floor) -> np.ndarray:
+    """For positions from ``window`` on: a breach of the plain previous window with n confirmations."""
+    frames = np.lib.stride_tricks.sliding_window_view(usage, window)[:-1]
+    here = usage[window:]
+    if window < 2 or m < n:
+        return np.zeros(len(here), bool)
+    mean, dev = frames.mean(axis=1), frames.std(axis=1, ddof=1)
+    upper, lower = mean + std * dev, mean - std * dev
+    # compared with slack: this only preselects positions, the scan decides
+    slack = 1e-9 * (np.abs(mean) + dev + 1)
+    nxt = np.lib.stride_tricks.sliding_window_view(np.concatenate([here[1:], np.full(m, np.nan)]), m)[: len(here)]
+    up = (here > upper - slack) & (((nxt > (upper - slack)[:, None]) & (nxt > floor)).sum(axis=1) >= n)
+    down = (here < lower + slack) & ((nxt < (lower + slack)[:, None]).sum(axis=1) >= n)
+    return up | down
+
+
+def _run_length(ahead, bound, sign, least, m, n) -> int:
+    """Smallest step whose m buckets hold fewer than n confirmations."""
+    first = ahead[:m]
+    if np.count_nonzero((sign * (first - bound) > 0) & (first > least)) < n:
+        return 1
+    total = np.concatenate([[0], np.cumsum((sign * (ahead - bound) > 0) & (ahead > least))])
+    counts = total[np.minimum(np.arange(len(total)) + m, len(total) - 1)] - total
+    return 1 + int(np.flatnonzero(counts < n)[0])
+
+
 def scan_events(usage: np.ndarray, window: int, std: float, m: int, n: float, floor: float) -> np.ndarray:
     """Bit flags per bucket of confirmed high (1) and low (2) runs and of excluded buckets (4).
 
@@ -194,30 +283,37 @@ def scan_events(usage: np.ndarray, window: int, std: float, m: int, n: float, fl
     high = np.zeros(size, bool)
     low = np.zeros(size, bool)
     usable = np.ones(size, bool)
-    start = window
-    while start < size:
-        reach = start + window
-        picked = np.flatnonzero(usable[start - window : reach])
-        while len(picked) < window and reach < size:
-            reach = min(size, reach + 4 * window)
+    if size > window:
+        plain = _plain_events(usage, window, std, m, n, floor)
+        start, dirty = window, 0  # dirty: first position whose whole window is usable again
+        while start < size:
+            if start >= dirty:
+                ahead = np.flatnonzero(plain[start - window :])
+                if not len(ahead):
+                    break
+                start += int(ahead[0])
+            reach = start + window
             picked = np.flatnonzero(usable[start - window : reach])
-        base = usage[start - window + picked[:window]]
-        if len(base) >= 2:
-            mean, dev = base.mean(), base.std(ddof=1)
-            value = usage[start]
-            for flags, bound, sign, least in ((high, mean + std * dev, 1, floor), (low, mean - std * dev, -1, -np.inf)):
-                if sign * (value - bound) <= 0:
+            while len(picked) < window and reach < size:
+                reach = min(size, reach + 4 * window)
+                picked = np.flatnonzero(usable[start - window : reach])
+            base = usage[start - window + picked[:window]]
+            step = 1
+            if len(base) >= 2:
+                mean, dev = base.mean(), base.std(ddof=1)
+                if usage[start] > mean + std * dev:
+                    flags, bound, sign, least = high, mean + std * dev, 1, floor
+                elif usage[start] < mean - std * dev:
+                    flags, bound, sign, least = low, mean - std * dev, -1, -np.inf
+                else:
+                    start += 1
                     continue
-                hits = (sign * (usage - bound) > 0) & (usage > least)
-                ahead = np.concatenate([[0], np.cumsum(hits[start + 1 :])])
-                counts = ahead[np.minimum(np.arange(len(ahead)) + m, len(ahead) - 1)] - ahead
-                weak = np.flatnonzero(counts < n)
-                step = 1 + int(weak[0])
+                step = _run_length(usage[start + 1 :], bound, sign, least, m, n)
                 if step > 1:
                     run = slice(start + 1, start + step + m)
                     flags[run] = sign * (usage[run] - bound) > 0
                     usable[run] = sign * (usage[run] - bound) < 0
+                    dirty = start + step + m + window
                     start += window + step
-                break
-        start += 1
+            start += 1
     return high * MINING + low * THEFT + (~usable) * UNUSABLE

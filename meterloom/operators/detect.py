@@ -68,14 +68,16 @@ def _scan(values: Column, param: DetectionParam, floor: float) -> Column:
     def codes(usage: pd.Series) -> pd.Series:
         return usage.map(lambda u: kernels.scan_events(np.asarray(u, dtype=float), *args).astype(np.int32))
 
-    return codes(values)
+    # non-deterministic only so that a filter on the result does not evaluate it twice
+    return codes.asNondeterministic()(values)
 
 
-def scan(series: DataFrame, param: DetectionParam, floor: float = 20.0, step: int | None = None, keep_all: bool = False) -> DataFrame:
+def scan(series: DataFrame, param: DetectionParam, floor: float = 20.0, step: int | None = None, keep_all: bool = False, flagged_only: bool = False) -> DataFrame:
     """Flag the buckets of a resampled series: ``id, idx, date, usage, mining, theft, to_use``.
 
     Meters without a first event cannot have flags, so only the others reach
-    Python (all of them with ``keep_all``).  One array per meter, bounded by the calendar.
+    Python (all of them with ``keep_all``); ``flagged_only`` then drops meters
+    that stayed without a flag.  One array per meter, bounded by the calendar.
     """
     step = step or seconds(param.freq)
     w = Window.partitionBy("id")
@@ -87,6 +89,8 @@ def scan(series: DataFrame, param: DetectionParam, floor: float = 20.0, step: in
         F.transform(F.sort_array(F.collect_list(F.struct("idx", "usage"))), lambda p: p["usage"]).alias("_u"),
     )
     flagged = per_meter.withColumn("_c", _scan(F.col("_u"), param, floor))
+    if flagged_only:
+        flagged = flagged.filter(F.exists("_c", lambda c: c.bitwiseAND(F.lit(kernels.MINING | kernels.THEFT)) != 0))
     rows = flagged.select("id", "_t0", F.posexplode(F.arrays_zip("_u", "_c")).alias("_i", "_r"))
     code = F.col("_r")["_c"]
     return rows.select(
@@ -102,7 +106,7 @@ def scan(series: DataFrame, param: DetectionParam, floor: float = 20.0, step: in
 
 def detect(df: DataFrame, param: DetectionParam = DetectionParam(), floor: float = 20.0) -> DataFrame:
     """Flagged buckets of every meter that has any flag, from raw readings."""
-    return suspect_rows(scan(resample(df, param.freq), param, floor))
+    return scan(resample(df, param.freq), param, floor, flagged_only=True)
 
 
 def suspect_rows(flags: DataFrame) -> DataFrame:

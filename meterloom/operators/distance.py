@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from meterloom.errors import TooManySeriesError
 from meterloom.functions import kernels
-from meterloom.functions.kernels import dtw
-from meterloom.operators.ordered import hash_rank
+from meterloom.functions.kernels import dtw, dtw_below
 from meterloom.operators.resample import resample
 from meterloom.operators.windows import minmax_by_series, segments
+from meterloom.session import spread
 
 TILE = 128  # series per side of one tile of the matrix
 
@@ -99,19 +99,14 @@ def representatives(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.join(reps, [*keys, "values"]).select(*keys, "id", "rep")
 
 
-def _outside(values: Column, low: Column, high: Column) -> Column:
-    """Sum of squared excursions of an array beyond [low, high]: a lower bound of squared DTW."""
-    square = lambda x: F.pow(F.greatest(x - high, low - x, F.lit(0.0)), 2)
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + square(x))
-
-
 def dtw_within(df: DataFrame, radius: float, keys: Sequence[str] = ()) -> DataFrame:
     """Every pair of distinct arrays at DTW distance below ``radius``: ``keys, a, b, dist`` with a < b.
 
     A path matches both first and both last values, so those may differ by at
-    most the radius: candidates come from a grid on (first, last), are cut by
-    the end, range and envelope bounds, and only the rest is measured.  Exact copies share
-    one representative (see ``representatives``) instead of forming pairs.
+    most the radius: candidates come from a grid on (first, last) and are cut by
+    the end and range bounds; measuring a pair stops once it exceeds the radius.
+    Exact copies share one representative (see ``representatives``) instead of
+    forming pairs.
     """
     keys = list(keys)
     v = F.col("values")
@@ -133,13 +128,9 @@ def dtw_within(df: DataFrame, radius: float, keys: Sequence[str] = ()) -> DataFr
     long = (F.size("avalues") > 1) | (F.size("bvalues") > 1)
     ends = F.when(long, first + last).otherwise(first) < square
     ranges = (F.abs(F.col("a_lo") - F.col("b_lo")) < radius) & (F.abs(F.col("a_hi") - F.col("b_hi")) < radius)
-    near = left.join(right, [*keys, "_x", "_y"]).filter((F.col("aid") < F.col("bid")) & ends & ranges)
-    near = near.filter(
-        (_outside(F.col("avalues"), F.col("b_lo"), F.col("b_hi")) < square)
-        & (_outside(F.col("bvalues"), F.col("a_lo"), F.col("a_hi")) < square)
-    )
-    pairs = near.select(*keys, F.col("aid").alias("a"), F.col("bid").alias("b"), dtw("avalues", "bvalues").alias("dist"))
-    return pairs.filter(F.col("dist") < radius)
+    near = spread(left, "aid").join(right, [*keys, "_x", "_y"]).filter((F.col("aid") < F.col("bid")) & ends & ranges)
+    pairs = near.select(*keys, F.col("aid").alias("a"), F.col("bid").alias("b"), dtw_below("avalues", "bvalues", radius).alias("dist"))
+    return pairs.filter("dist IS NOT NULL")
 
 
 def similar_pairs(df: DataFrame, k: int = 10, users: int = 100, freq="7D", seed=0) -> DataFrame:

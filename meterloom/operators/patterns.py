@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.kernels import dtw
+from meterloom.session import spread
 
 
 def cluster_label_counts(df: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
@@ -45,7 +46,7 @@ def nearest_pattern(test: DataFrame, centers: DataFrame, patterns: DataFrame, it
     All centres compete, but only those in ``patterns`` carry a label.  Centres
     are few per feature (one per cluster); Spark broadcasts them when small.
     """
-    pairs = test.select(*item, *keys, "values").join(centers.select(*keys, "cluster", "centroid"), list(keys))
+    pairs = spread(test.select(*item, *keys, "values"), *item, *keys).join(centers.select(*keys, "cluster", "centroid"), list(keys))
     measured = pairs.select(*item, *keys, "cluster", dtw("values", "centroid").alias("dist"))
     best = measured.groupBy(*item, *keys).agg(F.min(F.struct("dist", "cluster")).alias("_b"))
     found = best.select(*item, *keys, "_b.cluster", "_b.dist")

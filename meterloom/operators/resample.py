@@ -29,9 +29,9 @@ def resample(df: DataFrame, freq="1H", aggs: dict[str, str] | None = None, fill:
     start = (F.floor(F.unix_seconds(F.col("date").cast("timestamp")) / base) * base).alias("_b")
     fine = df.groupBy("id", start).agg(*[MERGE[how](c).alias(c) for c, how in aggs.items()])
     per_meter = Window.partitionBy("id")
-    anchor = F.floor(F.min("_b").over(per_meter) / DAY_SECONDS) * DAY_SECONDS
-    # the bucket of the day anchor, so that idx 0 is the first bucket holding a reading
-    coarse = fine.withColumn("_k", F.floor((F.col("_b") - anchor) / step)).withColumn("_a", anchor)
+    # a bucket dividing the day needs no anchor of its own
+    anchor = F.lit(0) if base == step else F.floor(F.min("_b").over(per_meter) / DAY_SECONDS) * DAY_SECONDS
+    coarse = fine.withColumn("_a", anchor.cast("long")).withColumn("_k", F.floor((F.col("_b") - F.col("_a")) / step))
     if base != step:
         coarse = coarse.groupBy("id", "_a", "_k").agg(*[MERGE[how](c).alias(c) for c, how in aggs.items()])
     nxt = F.lead("_k").over(per_meter.orderBy("_k"))

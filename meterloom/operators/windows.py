@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.operators.ordered import RowOrder, lagged, positions, running_sum
+from meterloom.session import cut
 
 
 def lag_diff(df: DataFrame, k: int = 1, order: RowOrder = RowOrder()) -> DataFrame:
@@ -188,6 +189,8 @@ def standard_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def standardize(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
     """z-scores with the mean and population deviation of ``stats`` (by default of ``df``)."""
-    stats = standard_stats(df, cols) if stats is None else stats
+    if stats is None:
+        df = cut(df)  # read twice: for the statistics and for the scores
+        stats = standard_stats(df, cols)
     fitted = stats.select(F.struct(*stats.columns)).scalar()
     return df.withColumns({c: (F.col(c) - fitted[f"_m_{c}"]) / fitted[f"_s_{c}"] for c in cols})

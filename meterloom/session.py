@@ -19,6 +19,8 @@ def build_session(app: str = "meterloom", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # series are small but costly to process: keep them on many tasks
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
@@ -69,3 +71,12 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._meterloom_shipped = True
+
+
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Keep ``df`` on the configured number of shuffle partitions.
+
+    For inputs whose bytes say little about the work done on them (pair joins):
+    adaptive execution would merge them into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
