@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -218,8 +218,8 @@ def param_search(df: DataFrame, labels: DataFrame, clusters: DataFrame, params:
     meter's array is paired with every set of its frequency.
     """
     spark = df.sparkSession
-    table = spark.createDataFrame([(i, *asdict(p).values()) for i, p in enumerate(params)],
-                                  "param int, freq int, window int, std double, m int, n double")
+    rows = [(i, int(p.freq), p.window, float(p.std), p.m, float(p.n)) for i, p in enumerate(params)]
+    table = spark.createDataFrame(rows, "param int, freq int, window int, std double, m int, n double")
     members = clusters.join(labels, "id")
     useful = df.join(members.select("id").distinct(), "id", "left_semi")
     from meterloom.operators.distance import series_arrays
