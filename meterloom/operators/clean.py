@@ -43,7 +43,7 @@ def require_calendar(df: DataFrame, col: str = "date") -> str:
 
 def usage_kind(df: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
     """One row ``cumulative``: does every meter start at its minimum and end at its maximum?"""
-    at = F.struct(*by)
+    at = F.col(by[0]) if len(by) == 1 else F.struct(*by)  # a plain column keeps the hash aggregate
     meters = df.groupBy("id").agg(
         F.min_by("usage", at).alias("first"), F.max_by("usage", at).alias("last"),
         F.min("usage").alias("lo"), F.max("usage").alias("hi"),

@@ -158,10 +158,10 @@ def reconstruction_error(series: DataFrame, length: int = 168, components: int =
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
+    series = cut(series.select("id", "idx", "usage"))  # windows are rebuilt from it for every pass, never stored
     windows = sliding_windows(series, length)
     counts = series.groupBy("id").agg((F.count(F.lit(1)) - (length - 1)).alias("_n"))
-    # written once: the fit, the mean and the scoring all read the windows
-    marked = cut(windows.join(counts, "id").withColumn("train", F.col("idx") < F.floor(F.col("_n") * train_share)).drop("_n"))
+    marked = windows.join(counts, "id").withColumn("train", F.col("idx") < F.floor(F.col("_n") * train_share)).drop("_n")
     training = marked.filter("train").select(array_to_vector("values").alias("v"))
     basis = PCA(k=components, inputCol="v", outputCol="p").fit(training).pc.toArray()  # length x components
     centre = training.select(Summarizer.mean(F.col("v"))).first()[0].toArray()  # one window
@@ -172,6 +172,7 @@ def reconstruction_error(series: DataFrame, length: int = 168, components: int =
         return pd.Series(np.abs(x - x @ basis @ basis.T).mean(axis=1))
 
     scored = marked.select("id", "idx", "train", error("values").alias("error"))
+    scored = cut(scored)  # four narrow columns
     limit = scored.filter("train").agg(F.max("error")).scalar()
     return scored.withColumn("anomaly", ~F.col("train") & (F.col("error") > limit))
 

@@ -104,7 +104,7 @@ def sampled_square_image(df: DataFrame, side: int = 64, order: RowOrder = RowOrd
         .groupBy("id", "segment")
         .agg(_collected(F.col("usage"), F.col("_p")).alias("values"))
     )
-    picked = hash_rank(chunks, ("id", "segment"), seed, ("id",), name="_r", total="_c", bits=4).filter(F.col("_r") <= side)
+    picked = hash_rank(chunks, ("id", "segment"), seed, ("id",), name="_r", total="_c").filter(F.col("_r") <= side)
     ends = picked.groupBy("id").agg(
         F.min(F.array_min("values")).alias("_lo"), F.max(F.array_max("values")).alias("_hi"), F.sort_array(F.collect_list("segment")).alias("_s")
     )

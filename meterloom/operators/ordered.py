@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterloom.functions.seeded import digest
+from meterloom.session import cut
+
 CHUNK = "_chunk"
 BEFORE_ALL = -(2**40)
 
@@ -160,31 +163,67 @@ def neighbours(df: DataFrame, col: str, order: RowOrder = RowOrder()) -> DataFra
     )
 
 
-def hash_rank(df: DataFrame, key: Sequence[str], seed, strata: Sequence[str] = (), name: str = "rank", total: str = "n", bits: int = 12) -> DataFrame:
-    """Rank rows by a seeded digest of ``key`` (unique per stratum), without a global sort task.
+DIGEST_HEX = 4  # leading hex digits that form a bucket: 65,536 buckets per stratum
 
-    The digest's leading bits spread every stratum evenly over ``2**bits``
-    buckets, so no task sees a whole stratum however large it is.
-    """
-    from meterloom.functions.seeded import digest
 
-    strata = list(strata)
-    marked = df.withColumn("_digest", digest(seed, *key)).withColumn(
-        "_bucket", F.substring("_digest", 1, max(1, bits // 4))
-    )
+def _buckets(df: DataFrame, key: Sequence[str], seed, strata: Sequence[str], total: str):
+    """Rows with digest and bucket, and per bucket the rows before it, its own rows and the stratum's rows.
+
+    The bucket table has at most 65,536 rows per stratum whatever the input size.
+    """
+    marked = df.withColumn("_digest", digest(seed, *key)).withColumn("_bucket", F.substring("_digest", 1, DIGEST_HEX))
     sizes = marked.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
     earlier = every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *strata,
-        "_bucket",
+        *strata, "_bucket", "_n",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(every).alias(total),
     )
+    return marked, offsets
+
+
+def hash_rank(df: DataFrame, key: Sequence[str], seed, strata: Sequence[str] = (), name: str = "rank", total: str = "n") -> DataFrame:
+    """Rank rows by a seeded digest of ``key`` (unique per stratum), without a global sort task.
+
+    The digest's leading digits spread every stratum evenly over its buckets,
+    so no task sees a whole stratum however large it is.
+    """
+    strata = list(strata)
+    marked, offsets = _buckets(df, key, seed, strata, total)
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_digest", *key)
     return (
         marked.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*strata, "_bucket"])
+        .join(offsets.drop("_n"), [*strata, "_bucket"])
         .withColumn(name, F.col("_before") + F.col("_rn"))
         .drop("_digest", "_bucket", "_before", "_rn")
     )
+
+
+def hash_head(df: DataFrame, key: Sequence[str], seed, wanted, strata: Sequence[str] = (), name: str = "head") -> DataFrame:
+    """Flag the first ``wanted(n)`` rows of each stratum of n rows in the order of ``hash_rank``.
+
+    Only the one bucket per stratum where the cut falls is ranked; every other
+    row is compared with the cut, so the rows themselves are never shuffled.
+    """
+    strata = list(strata)
+    slim = df.select(*strata, *[k for k in key if k not in strata])
+    marked, offsets = _buckets(slim, key, seed, strata, "_total")
+    goal = wanted(F.col("_total"))
+    border = offsets.withColumn("_k", goal).filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
+    border = cut(border.select(*strata, "_bucket", (F.col("_k") - F.col("_before")).alias("_r")))  # one row per stratum
+    inside = Window.partitionBy(*strata, "_bucket").orderBy("_digest", *key)
+    last = (
+        marked.join(border, [*strata, "_bucket"])
+        .withColumn("_rn", F.row_number().over(inside))
+        .filter("_rn = _r")
+        .select(*strata, F.struct("_digest", *key).alias("_cut"))
+    )
+    here = F.struct(digest(seed, *key).alias("_digest"), *key)
+    if strata:
+        # written first, so the join is planned from the table's true size
+        out = df.join(cut(last), strata, "left")
+    else:
+        out = df.withColumn("_cut", last.select("_cut").scalar())
+    return out.withColumn(name, F.coalesce(here <= F.col("_cut"), F.lit(False))).drop("_cut")
+

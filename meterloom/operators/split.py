@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.seeded import digest
-from meterloom.operators.ordered import RowOrder, hash_rank, positions
+from meterloom.operators.ordered import RowOrder, hash_head, hash_rank, positions
+from meterloom.session import cut
 
 
 def _count(share: float, n) -> Column:
@@ -16,6 +17,10 @@ def _count(share: float, n) -> Column:
     return F.floor(F.lit(share) * n + F.lit(1e-9))
 
 
+def _roof(share: float, n) -> Column:
+    return F.ceil(n * F.lit(share) - F.lit(1e-9))
+
+
 def sample_users(df: DataFrame, n: int, seed=0) -> DataFrame:
     """All rows of n meters drawn without replacement."""
     drawn = df.select("id").distinct().orderBy(digest(seed, "id"), "id").limit(n)
@@ -24,7 +29,7 @@ def sample_users(df: DataFrame, n: int, seed=0) -> DataFrame:
 
 def sample_fraction(df: DataFrame, share: float, key: Sequence[str] = ("id",), seed=0) -> DataFrame:
     """Exactly int(share * n) rows without replacement; ``key`` identifies a row."""
-    return hash_rank(df, key, seed, name="_r", total="_n").filter(F.col("_r") <= _count(share, F.col("_n"))).drop("_r", "_n")
+    return hash_head(df, key, seed, lambda n: _count(share, n), name="_in").filter("_in").drop("_in")
 
 
 def shuffle(df: DataFrame, key: Sequence[str] = ("id",), seed=0) -> DataFrame:
@@ -34,15 +39,13 @@ def shuffle(df: DataFrame, key: Sequence[str] = ("id",), seed=0) -> DataFrame:
 
 def split_users(df: DataFrame, test_share: float = 0.25, seed=0) -> DataFrame:
     """Add ``test``: whole meters go to one side."""
-    ranked = hash_rank(df.select("id").distinct(), ("id",), seed, name="_r", total="_n")
-    sides = ranked.select("id", (F.col("_r") <= F.ceil(F.col("_n") * test_share - 1e-9)).alias("test"))
-    return df.join(sides, "id")
+    ids = cut(df.select("id").distinct())  # read three times below
+    return df.join(hash_head(ids, ("id",), seed, lambda n: _roof(test_share, n), name="test"), "id")
 
 
 def split_rows(df: DataFrame, test_share: float = 0.33, key: Sequence[str] = ("id",), seed=0, stratify: Sequence[str] = ()) -> DataFrame:
     """Add ``test``: a random share of rows (of every class, with ``stratify``), rounded up."""
-    ranked = hash_rank(df, key, seed, stratify, name="_r", total="_n")
-    return ranked.withColumn("test", F.col("_r") <= F.ceil(F.col("_n") * test_share - 1e-9)).drop("_r", "_n")
+    return hash_head(df, key, seed, lambda n: _roof(test_share, n), stratify, "test")
 
 
 def split_stratified_tail(df: DataFrame, order: Sequence[str] = ("segment",), train_share: float = 0.7) -> DataFrame:
@@ -59,6 +62,7 @@ def split_half(windows: DataFrame, order: RowOrder = RowOrder(("id",), ("idx",))
 
 def undersample(df: DataFrame, ratio: int = 2, key: Sequence[str] = ("id",), seed=0) -> DataFrame:
     """All positives and ``ratio`` times as many random negatives."""
-    ranked = hash_rank(df, key, seed, ("label",), name="_r", total="_n")
-    positives = df.filter("label = 1").agg(F.count(F.lit(1))).scalar()
-    return ranked.filter((F.col("label") == 1) | ((F.col("label") == 0) & (F.col("_r") <= positives * ratio))).drop("_r", "_n")
+    positives = df.filter("label = 1").count()
+    negatives = df.filter("label = 0")
+    drawn = hash_head(negatives, key, seed, lambda n: F.least(n, F.lit(positives * ratio)), name="_in").filter("_in").drop("_in")
+    return df.filter("label = 1").unionByName(drawn)

@@ -133,7 +133,7 @@ def segment_to_row(blocks: DataFrame, length: int = 30, keep: Sequence[str] = ("
 
 def day_grid(df: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
     """``id, day, h0..h23``; the first reading of an hour wins."""
-    at = F.struct(*by)
+    at = F.col(by[0]) if len(by) == 1 else F.struct(*by)  # a plain column keeps the hash aggregate
     hour = F.hour("date")
     cells = [F.min_by(F.when(hour == h, F.col("usage")), F.when(hour == h, at)).alias(f"h{h}") for h in range(24)]
     return df.groupBy("id", F.to_date("date").alias("day")).agg(*cells)

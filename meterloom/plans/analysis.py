@@ -9,7 +9,7 @@ from meterloom.operators.ordered import RowOrder
 from meterloom.operators.resample import resample
 from meterloom.plans.catalog import query
 from meterloom.plans.cleaning import BAND_CTE, R4, SEG_SQL
-from meterloom.plans.tables import BY_SEQ, Tables, digest_sql, resample_sql, sql, uniform_sql
+from meterloom.plans.tables import BY_SEQ, BY_SEQ_MONTHS, Tables, digest_sql, resample_sql, sql, uniform_sql
 
 PARAM = dt.DetectionParam("7D", 20, 2.5, 10, 8)
 
@@ -124,21 +124,33 @@ def _(t: Tables):
     return dt.plot_points(flags, 7, "theft")
 
 
-@query("x8_matrix_profile", sql("""
+PROFILE = """
     SELECT p.id, p.idx, round(sqrt(min(greatest(CASE WHEN p.s = 0 AND q.s = 0 THEN 0 WHEN p.s = 0 OR q.s = 0 THEN 4 ELSE
         pow((p.u0 - p.m) / p.s - (q.u0 - q.m) / q.s, 2) + pow((p.u1 - p.m) / p.s - (q.u1 - q.m) / q.s, 2)
         + pow((p.u2 - p.m) / p.s - (q.u2 - q.m) / q.s, 2) + pow((p.u3 - p.m) / p.s - (q.u3 - q.m) / q.s, 2) END, 0))), 3) AS distance
-    FROM z p JOIN z q ON p.id = q.id AND abs(p.idx - q.idx) > 1 GROUP BY 1, 2""", "long_weeks",
-    l="SELECT id, idx, usage AS u0, " + ", ".join(f"lead(usage, {i}) OVER (PARTITION BY id ORDER BY idx) AS u{i}" for i in (1, 2, 3)) + " FROM long_weeks",
-    z="SELECT *, (u0 + u1 + u2 + u3) / 4 AS m, list_aggregate([u0, u1, u2, u3], 'stddev_pop') AS s FROM l WHERE u3 IS NOT NULL"))
+    FROM z p JOIN z q ON p.id = q.id AND abs(p.idx - q.idx) > 1 GROUP BY 1, 2"""
+PROFILE_CTE = {
+    "l": "SELECT id, idx, usage AS u0, " + ", ".join(f"lead(usage, {i}) OVER (PARTITION BY id ORDER BY idx) AS u{i}" for i in (1, 2, 3)) + " FROM weeks",
+    "z": "SELECT *, (u0 + u1 + u2 + u3) / 4 AS m, list_aggregate([u0, u1, u2, u3], 'stddev_pop') AS s FROM l WHERE u3 IS NOT NULL",
+}
+REDUCED = f"""SELECT id, date, seq, CASE WHEN hit THEN usage * f ELSE usage END AS usage, hit AS anomaly FROM (
+      SELECT s.id, s.date, s.seq, s.usage, epoch_us(s.date) BETWEEN lo AND least(lo + span + CASE WHEN span < 60 * 86400 * 1e6 THEN 60 * 86400 * 1e6 ELSE 0 END, e) AS hit, f
+      FROM series_long s JOIN (
+        SELECT id, e, f, q + (e - q) * {uniform_sql(5, "'start'", 'id')} * 0.5 AS lo, (e - q) * {uniform_sql(5, "'span'", 'id')} AS span FROM (
+          SELECT id, CAST(epoch_us(max(date)) AS DOUBLE) AS e, epoch_us(min(date)) + (epoch_us(max(date)) - epoch_us(min(date))) / 4 AS q,
+            0.2 + {uniform_sql(5, "'factor'", 'id')} * 0.3 AS f FROM series_long GROUP BY id)) p ON s.id = p.id)"""
+
+
+@query("x8_matrix_profile", sql(PROFILE, "long_weeks", weeks="SELECT * FROM long_weeks", **PROFILE_CTE))
 def _(t: Tables):
     profile = dt.matrix_profile(resample(t.series_long, "7D"), 4)
     return profile.select("id", "idx", F.round("distance", 3).alias("distance"))
 
 
-@query("x8_matrix_profile_anomaly")
+@query("x8_matrix_profile_anomaly", sql(PROFILE, "series_long", reduced=REDUCED, weeks=resample_sql("reduced", 604800), **PROFILE_CTE))
 def _(t: Tables):
-    return dt.matrix_profile(resample(inject.reduce_random_interval(t.series_long, 5), "7D"), 4)
+    profile = dt.matrix_profile(resample(inject.reduce_random_interval(t.series_long, 5), "7D"), 4)
+    return profile.select("id", "idx", F.round("distance", 3).alias("distance"))
 
 
 @query("x9_reconstruction_error")
@@ -164,13 +176,7 @@ def _(t: Tables):
 
 # ---------------------------------------------------------------- injection
 
-@query("g1_reduce_interval", sql(f"""
-    SELECT id, seq, round(CASE WHEN hit THEN usage * f ELSE usage END, 4) AS usage, hit AS anomaly FROM (
-      SELECT s.id, s.seq, s.usage, epoch_us(s.date) BETWEEN lo AND least(lo + span + CASE WHEN span < 60 * 86400 * 1e6 THEN 60 * 86400 * 1e6 ELSE 0 END, e) AS hit, f
-      FROM series_long s JOIN (
-        SELECT id, e, f, q + (e - q) * {uniform_sql(5, "'start'", 'id')} * 0.5 AS lo, (e - q) * {uniform_sql(5, "'span'", 'id')} AS span FROM (
-          SELECT id, CAST(epoch_us(max(date)) AS DOUBLE) AS e, epoch_us(min(date)) + (epoch_us(max(date)) - epoch_us(min(date))) / 4 AS q,
-            0.2 + {uniform_sql(5, "'factor'", 'id')} * 0.3 AS f FROM series_long GROUP BY id)) p ON s.id = p.id)""", "series_long"))
+@query("g1_reduce_interval", sql("SELECT id, seq, round(usage, 4) AS usage, anomaly FROM reduced", "series_long", reduced=REDUCED))
 def _(t: Tables):
     got = inject.reduce_random_interval(t.series_long, 5)
     return got.select("id", "seq", R4("usage").alias("usage"), "anomaly")
@@ -216,14 +222,14 @@ INJECT_CTE = {
 
 @query("g8_inject_attacks", sql("SELECT id, segment, label, unnest(range(168)) AS pos, round(unnest(vals), 4) AS usage FROM attacked", "series_long", **INJECT_CTE))
 def _(t: Tables):
-    return inject.weekly_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ)).withColumn("usage", R4("usage"))
+    return inject.weekly_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ_MONTHS)).withColumn("usage", R4("usage"))
 
 
 @query("g9_daily_layout", sql("""
     SELECT id, segment, label, p // 24 AS day, round(sum(u), 3) AS total, round(max(CASE WHEN p % 24 = 23 THEN u END), 4) AS last_hour
     FROM (SELECT id, segment, label, unnest(range(168)) AS p, unnest(vals) AS u FROM attacked) GROUP BY 1, 2, 3, 4""", "series_long", **INJECT_CTE))
 def _(t: Tables):
-    days = inject.daily_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ))
+    days = inject.daily_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ_MONTHS))
     total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
     return days.select("id", "segment", "label", "day", F.round(total, 3).alias("total"), R4(F.element_at("values", 24)).alias("last_hour"))
 
@@ -363,7 +369,7 @@ row_total = lambda: F.round(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x
 
 
 def blocks168(t: Tables):
-    return w.segments(t.series_long, 168, BY_SEQ)
+    return w.segments(t.series_long, 168, BY_SEQ_MONTHS)
 
 
 @query("e4_gramian_field", sql("""
@@ -424,14 +430,42 @@ def _(t: Tables):
     return spectral.lowpass_fft(resample(t.series_long, "7D")).withColumn("usage", F.round("usage", 3))
 
 
-@query("w15_wavelet_dwt")
+def dwt_ctes(levels: int = 4) -> dict[str, str]:
+    from meterloom.functions.kernels import DB3
+
+    taps = ", ".join(f"({j}, {h!r}::DOUBLE, {(-1 if j % 2 == 0 else 1) * DB3[5 - j]!r}::DOUBLE)" for j, h in enumerate(DB3))
+    out = {"taps": f"SELECT * FROM (VALUES {taps}) AS v(j, low, high)",
+           "s0": "SELECT id, idx, usage AS approx, count(*) OVER (PARTITION BY id) AS n FROM long_weeks"}
+    for level in range(levels):
+        out[f"o{level}"] = f"SELECT id, n, unnest(range((n + 5) // 2)) AS o FROM (SELECT DISTINCT id, n FROM s{level})"
+        # positions beyond an end are mirrored back, the end itself repeated
+        out[f"i{level}"] = f"""SELECT id, n, o, low, high, CASE WHEN 2 * o + 1 - j < 0 THEN j - 2 * o - 2
+            WHEN 2 * o + 1 - j >= n THEN 2 * n - 2 - 2 * o + j ELSE 2 * o + 1 - j END AS idx FROM o{level} CROSS JOIN taps"""
+        out[f"d{level}"] = f"""SELECT i.id, o AS idx, sum(low * approx) AS lo, sum(high * approx) AS hi
+            FROM i{level} i JOIN s{level} s ON i.id = s.id AND i.idx = s.idx GROUP BY 1, 2"""
+        out[f"s{level + 1}"] = f"SELECT id, idx, lo AS approx, count(*) OVER (PARTITION BY id) AS n FROM d{level}"
+    return out
+
+
+@query("w15_wavelet_dwt", sql(" UNION ALL ".join(
+    f"SELECT id, {level} AS level, '{part}' AS part, idx AS pos, round({col}, 3) AS value FROM d{level}" for level in range(4) for part, col in (("approx", "lo"), ("detail", "hi"))),
+    "long_weeks", **dwt_ctes()))
 def _(t: Tables):
-    return spectral.wavelet_dwt(resample(t.series_long, "7D"))
+    return spectral.wavelet_dwt(resample(t.series_long, "7D")).withColumn("value", F.round("value", 3))
 
 
-@query("w16_spectrogram")
+@query("w16_spectrogram", sql("""
+    SELECT id, k / 256.0 AS f, CAST(128 + 224 * frame AS DOUBLE) AS t,
+      round((pow(sum(x * cos(2 * pi() * ((k * pos) % 256) / 256)), 2) + pow(sum(x * sin(2 * pi() * ((k * pos) % 256) / 256)), 2))
+        * CASE WHEN k BETWEEN 1 AND 127 THEN 2 ELSE 1 END / max(power), 2) AS power
+    FROM tapered CROSS JOIN (SELECT unnest(range(129)) AS k) GROUP BY id, frame, k""", "readings", b=resample_sql("readings", 3600),
+    frames="SELECT id, unnest(range((count(*) - 256) // 224 + 1)) AS frame FROM b GROUP BY id HAVING count(*) >= 256",
+    cells="SELECT b.id, frame, idx - 224 * frame AS pos, usage - avg(usage) OVER (PARTITION BY b.id, frame) AS y FROM b JOIN frames ON b.id = frames.id AND idx BETWEEN 224 * frame AND 224 * frame + 255",
+    weights="""SELECT pos, CASE WHEN least(pos, 256 - pos) < 32 THEN 0.5 * (1 - cos(2 * pi() * least(pos, 256 - pos) / 256 / 0.25)) ELSE 1 END AS w
+      FROM (SELECT unnest(range(256)) AS pos)""",
+    tapered="SELECT id, frame, cells.pos, y * w AS x, sum(w * w) OVER (PARTITION BY id, frame) AS power FROM cells JOIN weights ON cells.pos = weights.pos"))
 def _(t: Tables):
-    return spectral.spectrogram(resample(t.readings, "1H"))
+    return spectral.spectrogram(resample(t.readings, "1H")).withColumn("power", F.round("power", 2))
 
 
 @query("w17_scalogram")

@@ -8,7 +8,7 @@ from meterloom.functions.calendar import date_to_jalali, jalali_to_date, jalali_
 from meterloom.operators import clean, fill, filters, resample as rs, windows as w
 from meterloom.operators.ordered import RowOrder, positions
 from meterloom.plans.catalog import query
-from meterloom.plans.tables import BY_SEQ, Tables, resample_sql, sql, uniform_sql, digest_sql
+from meterloom.plans.tables import BY_SEQ, BY_SEQ_MONTHS, Tables, resample_sql, sql, uniform_sql, digest_sql
 
 R4 = lambda c: F.round(c, 4)
 
@@ -403,7 +403,7 @@ def _(t: Tables):
 
 @query("w4_segments_long", sql(SEG_SQL.format(L=30, src="series_long"), "series_long"))
 def _(t: Tables):
-    return w.segments(t.series_long, 30, BY_SEQ).select("id", "segment", F.posexplode("values").alias("pos", "usage"))
+    return w.segments(t.series_long, 30, BY_SEQ_MONTHS).select("id", "segment", F.posexplode("values").alias("pos", "usage"))
 
 
 RUNS = """SELECT *, sum(CASE WHEN label = prev THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM
@@ -471,7 +471,7 @@ def _(t: Tables):
 @query("w10_day_grid", sql("SELECT id, CAST(date AS DATE) AS day, " + ", ".join(
     f"arg_min(usage, date) FILTER (WHERE hour(date) = {h}) AS h{h}" for h in range(24)) + " FROM readings GROUP BY 1, 2", "readings"))
 def _(t: Tables):
-    return w.day_grid(t.readings, ("date", "seq"))
+    return w.day_grid(t.readings)
 
 
 @query("w11_minmax_by_series", sql("""

@@ -7,12 +7,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterloom.operators.ordered import RowOrder, running_sum
 from meterloom.operators.resample import resample
 from meterloom.session import ship
 
 BY_SEQ = RowOrder(("id",), ("date", "seq", "usage"))
+BY_SEQ_MONTHS = RowOrder(("id",), ("date", "seq", "usage"), 30 * 86400)  # for meters with a few rows a month
 
 
 @dataclass
@@ -26,11 +28,15 @@ class Tables:
         ship(self.spark)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A driver table; zone-less times are read as UTC instants in the scan, so filters on them push down."""
+        path = f"{self.folder}/{name}.parquet"
+        raw = self.spark.read.parquet(path)
+        fields = [T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType) for f in raw.schema]
+        return self.spark.read.schema(T.StructType(fields)).parquet(path)
 
     @cached_property
     def events(self) -> DataFrame:
-        return self.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+        return self.table("events")
 
     @cached_property
     def readings(self) -> DataFrame:
@@ -52,7 +58,7 @@ class Tables:
 
     @cached_property
     def lineitem(self) -> DataFrame:
-        return self.table("lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+        return self.table("lineitem")
 
     @cached_property
     def series_long(self) -> DataFrame:
@@ -95,7 +101,7 @@ class Tables:
 
     @cached_property
     def order_days(self) -> DataFrame:
-        return self.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("date"))
+        return self.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("date"))
 
     @cached_property
     def vectors(self) -> DataFrame:
