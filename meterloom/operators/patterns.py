@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.kernels import dtw
-from meterloom.session import spread
+from meterloom.session import cut, spread
 
 
 def cluster_label_counts(df: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
@@ -79,7 +79,8 @@ def linear_svm(train: DataFrame, test: DataFrame, c: float = 1.0, max_iter: int
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
-    rows = train.withColumn("_v", array_to_vector("values")).withColumn("_y", F.col("label").cast("double"))
+    # written first: the count and every optimiser pass read it
+    rows = cut(train.select("values", "label")).withColumn("_v", array_to_vector("values")).withColumn("_y", F.col("label").cast("double"))
     n = max(1, rows.count())
     model = LinearSVC(featuresCol="_v", labelCol="_y", predictionCol="_p", regParam=1.0 / (c * n), maxIter=max_iter).fit(rows)
     scored = model.transform(test.withColumn("_v", array_to_vector("values")))
