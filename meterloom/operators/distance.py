@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from meterloom.errors import TooManySeriesError
 from meterloom.functions import kernels
 from meterloom.functions.kernels import dtw, dtw_below
+from meterloom.operators.ordered import SERIES
 from meterloom.operators.resample import resample
 from meterloom.operators.windows import minmax_by_series, segments
 from meterloom.session import spread
@@ -146,9 +147,7 @@ def week_on_week_dtw(df: DataFrame) -> DataFrame:
 
     Only complete weeks of hours count; day 0 is the meter's first day.
     """
-    from meterloom.operators.ordered import RowOrder
-
-    weeks = segments(resample(df, "1H"), 168, RowOrder(("id",), ("idx",)))
+    weeks = segments(resample(df, "1H"), 168, SERIES)
     cut = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: F.slice("values", d * 24 + 1, 24))
     days = weeks.select("id", "segment", F.posexplode(cut).alias("day", "values"))
     nxt = F.lead("values").over(Window.partitionBy("id", "day").orderBy("segment"))

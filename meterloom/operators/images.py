@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.operators.ordered import RowOrder, hash_rank, positions
+from meterloom.operators.ordered import SERIES, RowOrder, hash_rank, positions
 from meterloom.operators.resample import resample
 from meterloom.operators.windows import _collected, minmax_by_series, segments
 
@@ -36,12 +36,12 @@ def gray_month_image(df: DataFrame, order: RowOrder = RowOrder()) -> DataFrame:
 
 def gray_week_image(df: DataFrame) -> DataFrame:
     """One image per meter: a row per complete week of hourly sums."""
-    return _gray(resample(df, "1H"), RowOrder(("id",), ("idx",)), 168, 168, None)
+    return _gray(resample(df, "1H"), SERIES, 168, 168, None)
 
 
 def gray_half_image(df: DataFrame) -> DataFrame:
     """The same from the first half of the hours; a partial row is dropped."""
-    return _gray(resample(df, "1H"), RowOrder(("id",), ("idx",)), 168, 168, None, half=True)
+    return _gray(resample(df, "1H"), SERIES, 168, 168, None, half=True)
 
 
 def gramian_field(blocks: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Row-order operations that never put one whole meter into one task.
-
-A plain ``Window.partitionBy('id')`` over raw readings gives a meter holding a
-third of all rows to a single task.  Here rows are grouped by (keys, chunk),
-where a chunk is a fixed slice of the ordering column, and only one summary
-row per chunk is windowed per key.  Raw rows are shuffled once; summaries are
-bounded by the number of slices (days of the calendar by default).
+"""Row-order operations that never put one oversized meter into one task.
+
+A plain ``Window.partitionBy('id')`` gives a meter holding a third of all rows
+to a single task.  Meters are therefore measured first, by one map-side
+combined count over the key and order columns only.  While every meter fits a
+task the plain window is used.  Otherwise the oversized meters (and only they)
+are cut into slices of the ordering column; rows are windowed per slice, one
+summary row per slice is windowed per meter, and the summary is joined back on
+the partitioning the rows already have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,150 +21,203 @@ from pyspark.sql import types as T
 from meterloom.functions.seeded import digest
 from meterloom.session import cut
 
+SLICE_ROWS = 1_000_000  # rows of one key a task takes without slicing
+HOT_KEYS = 100_000  # at most this many keys can be oversized, which bounds the table of them
 CHUNK = "_chunk"
-BEFORE_ALL = -(2**40)
 
 
 @dataclass(frozen=True)
 class RowOrder:
     """Rows of each key, ordered by ``by`` (which must identify a row of the key).
 
-    ``width`` slices the first ordering column: seconds for times, units for numbers.
+    ``bounded`` states that every key is small by construction (a resampled
+    series, bounded by the calendar), so it need not be measured.
     """
 
     keys: Sequence[str] = ("id",)
     by: Sequence[str] = ("date",)
-    width: int | None = None
+    bounded: bool = False
+
+    def measured(self, df: DataFrame) -> "Slices":
+        """Count rows per key; keys above the limit get slices of about that many rows."""
+        if self.bounded:
+            return Slices(self.keys, self.by)
+        at = _number(df, self.by[0])
+        per_key = df.groupBy(*self.keys).agg(
+            F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
+        )
+        all_rows, most = per_key.agg(F.sum("_rows"), F.max("_rows")).first()
+        limit = max(SLICE_ROWS, (all_rows or 0) // HOT_KEYS)
+        if (most or 0) <= limit:
+            return Slices(self.keys, self.by)
+        width = (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(limit)) / F.col("_rows")
+        # fewer than HOT_KEYS rows by the choice of limit; written, so its true size plans the join
+        hot = cut(per_key.filter(F.col("_rows") > limit).select(*self.keys, "_lo", width.alias("_width")))
+        return Slices(self.keys, self.by, hot)
+
+
+@dataclass(frozen=True)
+class Slices:
+    """A measured order: plain windows per key, or per (key, slice) where keys are oversized."""
 
-    def slice_of(self, df: DataFrame) -> Column:
-        kind = df.schema[self.by[0]].dataType
-        col = F.col(self.by[0])
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            raw = F.floor(F.unix_seconds(col.cast("timestamp")) / F.lit(self.width or 86400))
-        else:
-            raw = F.floor(col / F.lit(self.width or 65536))
-        return F.coalesce(raw, F.lit(BEFORE_ALL)).cast("long")
+    keys: Sequence[str]
+    by: Sequence[str]
+    hot: DataFrame | None = field(default=None, repr=False)
 
     def chunked(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(CHUNK, self.slice_of(df))
+        at = _number(df, self.by[0])
+        piece = F.floor((at - F.col("_lo")) / F.col("_width")).cast("long")
+        # keys of normal size form one slice; unknown times sort first
+        chunk = F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(F.coalesce(piece, F.lit(-1)))
+        return df.join(self.hot, list(self.keys), "left").withColumn(CHUNK, chunk).drop("_lo", "_width")
 
     @property
     def place(self) -> list[str]:
-        return [*self.keys, CHUNK]
+        return list(self.keys) if self.hot is None else [*self.keys, CHUNK]
 
     @property
     def local(self):
         return Window.partitionBy(*self.place).orderBy(*self.by)
 
     @property
-    def chunks(self):
-        return Window.partitionBy(*self.keys).orderBy(CHUNK)
+    def backward(self):
+        # reading backwards costs a sort; a frame up to the end would cost a pass per row
+        return Window.partitionBy(*self.place).orderBy(*[F.col(c).desc() for c in self.by])
 
     @property
     def earlier(self):
-        return self.chunks.rowsBetween(Window.unboundedPreceding, -1)
+        return Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
     @property
     def later(self):
-        return self.chunks.rowsBetween(1, Window.unboundedFollowing)
+        return Window.partitionBy(*self.keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """The ordering column as a number that keeps its order."""
+    if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return F.col(name).cast("double")
+
+
+def measured(df: DataFrame, order: RowOrder | Slices) -> Slices:
+    return order if isinstance(order, Slices) else order.measured(df)
 
 
-def positions(df: DataFrame, order: RowOrder = RowOrder(), name: str = "pos", total: str | None = None) -> DataFrame:
+UPTO = (Window.unboundedPreceding, Window.currentRow)
+
+
+def positions(df: DataFrame, order: RowOrder | Slices = RowOrder(), name: str = "pos", total: str | None = None) -> DataFrame:
     """Add the 1-based row position within the key and, if asked, the key's row count."""
+    order = measured(df, order)
+    if order.hot is None:
+        out = df.withColumn(name, F.row_number().over(order.local).cast("long"))
+        return out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*order.keys))) if total else out
     sizes = order.chunked(df).groupBy(*order.place).agg(F.count(F.lit(1)).alias("_n"))
     cols = [F.coalesce(F.sum("_n").over(order.earlier), F.lit(0)).alias("_before")]
     if total:
         cols.append(F.sum("_n").over(Window.partitionBy(*order.keys)).alias(total))
-    offsets = sizes.select(*order.place, *cols)
     rows = order.chunked(df).withColumn("_rn", F.row_number().over(order.local))
     return (
-        rows.join(offsets, order.place)
+        rows.join(sizes.select(*order.place, *cols), order.place)
         .withColumn(name, F.col("_before") + F.col("_rn"))
         .drop("_rn", "_before", CHUNK)
     )
 
 
-def running_sum(df: DataFrame, col: str, name: str, order: RowOrder = RowOrder()) -> DataFrame:
+def running_sum(df: DataFrame, col: str, name: str, order: RowOrder | Slices = RowOrder()) -> DataFrame:
     """Add the sum of ``col`` over the key's rows up to and including this one."""
+    order = measured(df, order)
+    part = F.coalesce(F.sum(col).over(order.local.rowsBetween(*UPTO)), F.lit(0))
+    if order.hot is None:
+        return df.withColumn(name, part)
     sums = order.chunked(df).groupBy(*order.place).agg(F.sum(col).alias("_s"))
     offsets = sums.select(*order.place, F.coalesce(F.sum("_s").over(order.earlier), F.lit(0)).alias("_before"))
-    upto = order.local.rowsBetween(Window.unboundedPreceding, 0)
-    rows = order.chunked(df).withColumn("_part", F.sum(col).over(upto))
     return (
-        rows.join(offsets, order.place)
-        .withColumn(name, F.col("_before") + F.coalesce("_part", F.lit(0)))
+        order.chunked(df).withColumn("_part", part)
+        .join(offsets, order.place)
+        .withColumn(name, F.col("_before") + F.col("_part"))
         .drop("_part", "_before", CHUNK)
     )
 
 
-def lagged(df: DataFrame, cols: dict[str, str], k: int = 1, order: RowOrder = RowOrder(), seen: str | None = None) -> DataFrame:
+def lagged(df: DataFrame, cols: dict[str, str], k: int = 1, order: RowOrder | Slices = RowOrder(), seen: str | None = None) -> DataFrame:
     """Add, for ``cols = {new: old}``, the value of ``old`` k rows earlier.
 
     ``seen`` names a boolean column telling whether such a row exists.
     """
+    order = measured(df, order)
+    if order.hot is None:
+        out = df.withColumns({new: F.lag(old, k).over(order.local) for new, old in cols.items()})
+        return out.withColumn(seen, F.row_number().over(order.local) > k) if seen else out
     rows = (
         order.chunked(df)
         .withColumn("_rn", F.row_number().over(order.local))
         .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*order.place)))
     )
-    # each earlier non-empty chunk has at least one row, so k of them always suffice
+    # each earlier non-empty slice has at least one row, so k of them always suffice
+    last_slices = Window.partitionBy(*order.keys).orderBy(CHUNK).rowsBetween(-k, -1)
     tails = (
         rows.filter(F.col("_rn") > F.col("_size") - k)
         .groupBy(*order.place)
         .agg(F.sort_array(F.collect_list(F.struct("_rn", *set(cols.values())))).alias("_tail"))
-        .select(*order.place, F.flatten(F.collect_list("_tail").over(order.chunks.rowsBetween(-k, -1))).alias("_carry"))
+        .select(*order.place, F.flatten(F.collect_list("_tail").over(last_slices)).alias("_carry"))
     )
     reach = F.try_element_at("_carry", (F.col("_rn") - F.lit(k + 1)).cast("int"))
     out = rows.join(tails, order.place)
-    for new, old in cols.items():
-        inside = F.lag(old, k).over(order.local)
-        out = out.withColumn(
-            f"_new_{new}", F.when(F.col("_rn") > k, inside).otherwise(reach.getField(old))
-        )
+    out = out.withColumns({
+        new: F.when(F.col("_rn") > k, F.lag(old, k).over(order.local)).otherwise(reach.getField(old))
+        for new, old in cols.items()
+    })
     if seen:
         out = out.withColumn(seen, (F.col("_rn") > k) | reach.isNotNull())
-    for new in cols:
-        out = out.drop(new).withColumnRenamed(f"_new_{new}", new)
     return out.drop("_rn", "_size", "_carry", CHUNK)
 
 
-def neighbours(df: DataFrame, col: str, order: RowOrder = RowOrder()) -> DataFrame:
+def neighbours(df: DataFrame, col: str, order: RowOrder | Slices = RowOrder()) -> DataFrame:
     """Add ``pos`` and the nearest known values of ``col``.
 
     ``prev`` and ``next`` are ``struct(pos, value)`` of the last known row at or
     before this one and the first at or after it, null when there is none.
     """
-    rows = order.chunked(df).withColumn("_rn", F.row_number().over(order.local))
-    known = F.when(F.col(col).isNotNull(), F.struct(F.col("_rn").cast("long").alias("pos"), F.col(col).alias("value")))
+    order = measured(df, order)
+    known = F.when(F.col(col).isNotNull(), F.struct(F.col("pos"), F.col(col).alias("value")))
+
+    def near(rows: DataFrame) -> DataFrame:
+        """``prev`` and ``next`` within the window partition of ``order.local``."""
+        return rows.withColumn("_known", known).withColumn(
+            "prev", F.last("_known", ignorenulls=True).over(order.local.rowsBetween(*UPTO))
+        ).withColumn("next", F.last("_known", ignorenulls=True).over(order.backward.rowsBetween(*UPTO))).drop("_known")
+
+    if order.hot is None:
+        return near(df.withColumn("pos", F.row_number().over(order.local).cast("long")))
+    rows = order.chunked(df).withColumn("pos", F.row_number().over(order.local).cast("long"))
     ends = rows.groupBy(*order.place).agg(
         F.count(F.lit(1)).alias("_n"), F.max(known).alias("_last"), F.min(known).alias("_first")
     ).withColumn("_before", F.coalesce(F.sum("_n").over(order.earlier), F.lit(0)))
 
-    def shifted(c: str) -> Column:
+    def moved(c: str) -> Column:
         entry = F.col(c)
-        moved = F.struct((entry["pos"] + F.col("_before")).alias("pos"), entry["value"].alias("value"))
-        return F.when(entry.isNotNull(), moved)
-
-    carry = ends.select(
-        *order.place,
-        "_before",
-        F.last(shifted("_last"), ignorenulls=True).over(order.earlier).alias("_prev"),
-        F.first(shifted("_first"), ignorenulls=True).over(order.later).alias("_next"),
-    )
-    upto = order.local.rowsBetween(Window.unboundedPreceding, 0)
-    onward = order.local.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("_lp", F.last(known, ignorenulls=True).over(upto)).withColumn(
-        "_ln", F.first(known, ignorenulls=True).over(onward)
+        shifted = F.struct((entry["pos"] + F.col("_before")).alias("pos"), entry["value"].alias("value"))
+        return F.when(entry.isNotNull(), shifted)
+
+    carry = ends.withColumn("_last", moved("_last")).withColumn("_first", moved("_first")).select(
+        *order.place, "_before",
+        F.last("_last", ignorenulls=True).over(order.earlier).alias("_prev"),
+        F.last("_first", ignorenulls=True).over(order.later).alias("_next"),
     )
     return (
-        rows.join(carry, order.place)
-        .withColumn("pos", F.col("_before") + F.col("_rn"))
-        .withColumn("prev", F.coalesce(shifted("_lp"), F.col("_prev")))
-        .withColumn("next", F.coalesce(shifted("_ln"), F.col("_next")))
-        .drop("_rn", "_lp", "_ln", "_before", "_prev", "_next", CHUNK)
+        near(rows).join(carry, order.place)
+        .withColumn("prev", F.coalesce(moved("prev"), F.col("_prev")))
+        .withColumn("next", F.coalesce(moved("next"), F.col("_next")))
+        .withColumn("pos", F.col("pos") + F.col("_before"))
+        .drop("_before", "_prev", "_next", CHUNK)
     )
 
 
+SERIES = RowOrder(("id",), ("idx",), bounded=True)  # a resampled series
+
+
 DIGEST_HEX = 4  # leading hex digits that form a bucket: 65,536 buckets per stratum
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.calendar import DAY_SECONDS, seconds
-from meterloom.operators.ordered import RowOrder, positions
+from meterloom.operators.ordered import RowOrder, measured, positions
 
 MERGE = {"sum": F.sum, "any": F.bool_or, "max": F.max, "min": F.min}
 
@@ -109,6 +109,7 @@ def segment_means(df: DataFrame, modulus: int = 7, order: RowOrder = RowOrder())
     """First differences grouped by position modulo ``modulus``: mean and sample variance."""
     from meterloom.operators.windows import lag_diff
 
+    order = measured(df, order)
     numbered = positions(lag_diff(df, 1, order), order)
     return numbered.groupBy("id", ((F.col("pos") - 1) % modulus).alias("segment")).agg(
         F.avg("usage").alias("mean"), F.var_samp("usage").alias("var")

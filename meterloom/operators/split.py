@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.seeded import digest
-from meterloom.operators.ordered import RowOrder, hash_head, hash_rank, positions
+from meterloom.operators.ordered import SERIES, RowOrder, hash_head, hash_rank, positions
 from meterloom.session import cut
 
 
@@ -54,7 +54,7 @@ def split_stratified_tail(df: DataFrame, order: Sequence[str] = ("segment",), tr
     return placed.withColumn("test", F.col("_p") > _count(train_share, F.col("_n"))).drop("_p", "_n")
 
 
-def split_half(windows: DataFrame, order: RowOrder = RowOrder(("id",), ("idx",))) -> DataFrame:
+def split_half(windows: DataFrame, order: RowOrder = SERIES) -> DataFrame:
     """Add ``test``: the first half of each meter's windows trains, the second tests."""
     placed = positions(windows, order, "_p", "_n")
     return placed.withColumn("test", F.col("_p") > F.floor(F.col("_n") / 2)).drop("_p", "_n")

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterloom.operators.ordered import RowOrder, lagged, positions, running_sum
+from meterloom.operators.ordered import SERIES, RowOrder, Slices, lagged, measured, positions, running_sum
 from meterloom.session import cut
 
 
-def lag_diff(df: DataFrame, k: int = 1, order: RowOrder = RowOrder()) -> DataFrame:
+def lag_diff(df: DataFrame, k: int = 1, order: RowOrder | Slices = RowOrder()) -> DataFrame:
     """Usage minus usage k rows earlier; rows without a difference are dropped."""
     return (
         lagged(df, {"_prev": "usage"}, k, order)
@@ -90,6 +90,7 @@ def _blocks(df: DataFrame, length: int, features: Sequence[str], keys: Sequence[
 
 def label_runs(df: DataFrame, order: RowOrder = RowOrder(("id",), ("order",))) -> DataFrame:
     """Add ``run``: the 1-based number of the maximal stretch of equal labels in row order."""
+    order = measured(df, order)
     seen = lagged(df, {"_prev": "label"}, 1, order, seen="_has")
     starts = F.when(F.col("_has") & (F.col("label") == F.col("_prev")), 0).otherwise(1)
     return running_sum(seen.withColumn("_start", starts).drop("_prev", "_has"), "_start", "run", order).drop("_start")
@@ -119,7 +120,7 @@ def round_values(col, decimals: int) -> Column:
     return F.bround(col, decimals)
 
 
-def segment_label(df: DataFrame, length: int = 30, order: RowOrder = RowOrder(("id",), ("idx",)), full: int = 30) -> DataFrame:
+def segment_label(df: DataFrame, length: int = 30, order: RowOrder = SERIES, full: int = 30) -> DataFrame:
     """Blocks with ``label`` 1 iff some but fewer than ``full`` of their days are anomalous."""
     blocks = segments(df, length, order, extra=[F.sum(F.col("anomaly").cast("int")).alias("_a")])
     label = F.when((F.col("_a") > 0) & (F.col("_a") < full), 1).otherwise(0)

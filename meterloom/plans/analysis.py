@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterloom.operators import detect as dt, images, inject, labels, spectral, split, windows as w
-from meterloom.operators.ordered import RowOrder
+from meterloom.operators.ordered import SERIES
 from meterloom.operators.resample import resample
 from meterloom.plans.catalog import query
 from meterloom.plans.cleaning import BAND_CTE, R4, SEG_SQL
-from meterloom.plans.tables import BY_SEQ, BY_SEQ_MONTHS, Tables, digest_sql, resample_sql, sql, uniform_sql
+from meterloom.plans.tables import BY_SEQ, Tables, digest_sql, resample_sql, sql, uniform_sql
 
 PARAM = dt.DetectionParam("7D", 20, 2.5, 10, 8)
 
@@ -222,14 +222,14 @@ INJECT_CTE = {
 
 @query("g8_inject_attacks", sql("SELECT id, segment, label, unnest(range(168)) AS pos, round(unnest(vals), 4) AS usage FROM attacked", "series_long", **INJECT_CTE))
 def _(t: Tables):
-    return inject.weekly_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ_MONTHS)).withColumn("usage", R4("usage"))
+    return inject.weekly_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ)).withColumn("usage", R4("usage"))
 
 
 @query("g9_daily_layout", sql("""
     SELECT id, segment, label, p // 24 AS day, round(sum(u), 3) AS total, round(max(CASE WHEN p % 24 = 23 THEN u END), 4) AS last_hour
     FROM (SELECT id, segment, label, unnest(range(168)) AS p, unnest(vals) AS u FROM attacked) GROUP BY 1, 2, 3, 4""", "series_long", **INJECT_CTE))
 def _(t: Tables):
-    days = inject.daily_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ_MONTHS))
+    days = inject.daily_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ))
     total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
     return days.select("id", "segment", "label", "day", F.round(total, 3).alias("total"), R4(F.element_at("values", 24)).alias("last_hour"))
 
@@ -369,7 +369,7 @@ row_total = lambda: F.round(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x
 
 
 def blocks168(t: Tables):
-    return w.segments(t.series_long, 168, BY_SEQ_MONTHS)
+    return w.segments(t.series_long, 168, BY_SEQ)
 
 
 @query("e4_gramian_field", sql("""

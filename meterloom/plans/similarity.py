@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterloom.operators import cluster as cl, distance as ds, labels, patterns as pt, split, windows as w
-from meterloom.operators.ordered import RowOrder
+from meterloom.operators.ordered import SERIES
 from meterloom.operators.resample import resample
 from meterloom.plans.analysis import BINARY, binary, ranked_sql
 from meterloom.plans.catalog import query
@@ -92,7 +92,7 @@ def _(t: Tables):
 def _(t: Tables):
     from pyspark.sql import Window
 
-    weeks = w.segments(resample(t.readings, "1D"), 7, RowOrder(("id",), ("idx",)))
+    weeks = w.segments(resample(t.readings, "1D"), 7, SERIES)
     nxt = F.lead("values").over(Window.partitionBy("id").orderBy("segment"))
     paired = weeks.withColumn("nxt", nxt).filter("nxt IS NOT NULL")
     rows = paired.select("id", "segment", F.posexplode(F.arrays_zip("values", "nxt")).alias("pos", "v"))

@@ -14,7 +14,6 @@ from meterloom.operators.resample import resample
 from meterloom.session import ship
 
 BY_SEQ = RowOrder(("id",), ("date", "seq", "usage"))
-BY_SEQ_MONTHS = RowOrder(("id",), ("date", "seq", "usage"), 30 * 86400)  # for meters with a few rows a month
 
 
 @dataclass

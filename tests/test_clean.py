@@ -137,10 +137,15 @@ def test_per_meter_files_images_and_names(spark, tmp_path):
     assert [r.label for r in readers.read_label_names(spark, str(tmp_path / "names.txt")).collect()] == ["normal", "theft"]
 
 
-def test_hot_meter_gives_the_same_order_results(spark):
-    """One meter holds most rows; chunked results equal a plain window's."""
+@pytest.mark.parametrize("limit", [10, 700, 10**6])
+def test_hot_meter_gives_the_same_order_results(spark, monkeypatch, limit):
+    """One meter holds most rows; sliced results equal a plain window's."""
     from pyspark.sql import Window
 
+    from meterloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "SLICE_ROWS", limit)
+
     rows = spark.range(6000).select(
         F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 40).cast("long").alias("id"),
         F.timestamp_seconds(F.col("id") * 700).alias("date"),
@@ -153,7 +158,8 @@ def test_hot_meter_gives_the_same_order_results(spark):
         F.last("usage", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("prev0"),
         F.first("usage", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("next0"),
     )
-    order = RowOrder()
+    order = RowOrder().measured(plain)
+    assert (order.hot is None) == (limit > 6000)
     got = lagged(running_sum(neighbours(plain, "usage", order), "usage", "sum1", order), {"lag1": "usage"}, 5, order)
     wrong = got.filter(
         "pos <> pos0 OR NOT lag1 <=> lag0 OR abs(sum1 - coalesce(sum0, 0)) > 1e-6 OR NOT prev.value <=> prev0 OR NOT next.value <=> next0")
