@@ -54,8 +54,16 @@ def resample(df: DataFrame, freq="1H", aggs: dict[str, str] | None = None, fill:
 
 
 def multi_resample(df: DataFrame, freqs=("1H", "1D", "7D")) -> DataFrame:
-    """The same meters at several frequencies, told apart by ``freq``."""
-    parts = [resample(df, f).withColumn("freq", F.lit(f)) for f in freqs]
+    """The same meters at several frequencies, told apart by ``freq``.
+
+    All frequencies start from one shared aggregate to their common bucket, so
+    the readings are scanned and shuffled once.
+    """
+    common = reduce(math.gcd, [seconds(f) for f in freqs], DAY_SECONDS)
+    start = (F.floor(F.unix_seconds(F.col("date").cast("timestamp")) / common) * common).alias("_b")
+    fine = df.groupBy("id", start).agg(F.sum("usage").alias("usage"))
+    fine = fine.select("id", F.timestamp_seconds("_b").alias("date"), "usage")
+    parts = [resample(fine, f).withColumn("freq", F.lit(f)) for f in freqs]
     return reduce(DataFrame.unionByName, parts)
 
 

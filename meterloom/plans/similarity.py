@@ -73,6 +73,28 @@ def _(t: Tables):
     return ds.similar_pairs(t.series_long, 10, 100, "7D", 1)
 
 
+MONTHS = {
+    **SAMPLE,
+    "chosen": "SELECT * FROM series_long WHERE id IN (SELECT id FROM drawn)",
+    "months": resample_sql("chosen", 28 * 86400),
+    "curves": "SELECT id, list(CAST(usage AS DOUBLE) ORDER BY idx) AS vals FROM months GROUP BY id",
+    "pairs": "SELECT {'a': p.id, 'b': q.id} AS k, p.vals AS x, q.vals AS y FROM curves p JOIN curves q ON p.id < q.id",
+    **dtw_ctes("pairs"),
+}
+
+
+@query("c2_dtw_matrix_months", recursive(sql("SELECT k.a AS a, k.b AS b, round(dist, 4) AS dist FROM measured", "series_long", **MONTHS)))
+def _(t: Tables):
+    months = ds.series_arrays(resample(split.sample_users(t.series_long, 100, 1), "28D"))
+    return ds.dtw_matrix(months, bound=100).withColumn("dist", R4("dist"))
+
+
+@query("c3_similar_pairs_months", recursive(sql("""
+    SELECT k.a AS a, k.b AS b, round(dist, 4) AS dist FROM measured ORDER BY measured.dist, k.a, k.b LIMIT 10""", "series_long", **MONTHS)))
+def _(t: Tables):
+    return ds.similar_pairs(t.series_long, 10, 100, "28D", 1).withColumn("dist", R4("dist"))
+
+
 @query("c4_week_on_week_dtw", recursive(sql("""
     SELECT k.id AS id, k.week AS week, k.day AS day,
       round(CASE WHEN max(dist) OVER w = min(dist) OVER w THEN 0 ELSE (dist - min(dist) OVER w) / (max(dist) OVER w - min(dist) OVER w) * 255 END, 4) AS usage
@@ -146,13 +168,17 @@ def _(t: Tables):
 DIST = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in NAMES)
 
 
-@query("c10_dbscan", sql(f"""
-    SELECT id, core, CASE WHEN core THEN false ELSE NOT near END AS noise FROM (
-      SELECT p.id, any_value(p.core) AS core, bool_or(q.core AND {DIST} <= 0.64) AS near FROM c p CROSS JOIN c q GROUP BY p.id)""", "z_features",
-    c=f"SELECT p.*, p.id IN (SELECT p.id FROM z_features p JOIN z_features q ON {DIST} <= 0.64 GROUP BY p.id HAVING count(*) >= 5) AS core FROM z_features p"))
+@query("c10_dbscan", recursive(sql("""
+    SELECT c.id, c.core, CASE WHEN c.core THEN n.cluster ELSE coalesce(b.cluster, -1) END AS cluster FROM c
+    LEFT JOIN names n ON n.id = c.id
+    LEFT JOIN (SELECT near.p AS id, min(names.cluster) AS cluster FROM near JOIN names ON names.id = near.q GROUP BY 1) b ON b.id = c.id""", "z_features",
+    near=f"SELECT p.id AS p, q.id AS q FROM z_features p JOIN z_features q ON {DIST} <= 0.64",
+    c="SELECT p AS id, count(*) >= 5 AS core FROM near GROUP BY 1",
+    reach="""SELECT id AS a, id AS b FROM c WHERE core
+      UNION SELECT r.a, n.q FROM reach r JOIN near n ON n.p = r.b JOIN c ON c.id = n.q AND c.core""",
+    names="SELECT b AS id, min(a) AS cluster FROM reach GROUP BY 1")))
 def _(t: Tables):
-    got = cl.dbscan(t.features.select("id", "features"), 0.8, 5)
-    return got.select("id", "core", (F.col("cluster") == -1).alias("noise"))
+    return cl.dbscan(t.features.select("id", "features"), 0.8, 5)
 
 
 @query("c11_mean_shift")
