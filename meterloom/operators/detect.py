@@ -110,16 +110,17 @@ def detect(df: DataFrame, param: DetectionParam = DetectionParam(), floor: float
 
 
 def suspect_rows(flags: DataFrame) -> DataFrame:
-    """The whole flagged series of meters with at least one flag."""
-    suspects = flags.filter("mining OR theft").select("id").distinct()
-    return flags.join(suspects, "id", "left_semi")
+    """The whole flagged series of meters with at least one flag (one pass: a series is bounded by the calendar)."""
+    any_flag = F.max(F.col("mining") | F.col("theft")).over(Window.partitionBy("id"))
+    return flags.withColumn("_any", any_flag).filter("_any").drop("_any")
 
 
 def verdicts(flags: DataFrame) -> DataFrame:
     """``id, mining, theft``: one row per meter and kind, so a meter with both has two."""
-    miners = flags.filter("mining").select("id").distinct().withColumn("mining", F.lit(True))
-    thieves = flags.filter("theft").select("id").distinct().withColumn("theft", F.lit(True))
-    return miners.unionByName(thieves, allowMissingColumns=True).na.fill(False)
+    found = flags.groupBy("id").agg(F.bool_or("mining").alias("_m"), F.bool_or("theft").alias("_t"))
+    kind = lambda mining: F.struct(F.lit(mining).alias("mining"), F.lit(not mining).alias("theft"))
+    kinds = F.array_compact(F.array(F.when(F.col("_m"), kind(True)), F.when(F.col("_t"), kind(False))))
+    return found.select("id", F.explode(kinds).alias("_k")).select("id", "_k.mining", "_k.theft")
 
 
 def plot_points(flags: DataFrame, user_id, kind: str) -> DataFrame:

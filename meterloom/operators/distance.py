@@ -153,4 +153,4 @@ def week_on_week_dtw(df: DataFrame) -> DataFrame:
     nxt = F.lead("values").over(Window.partitionBy("id", "day").orderBy("segment"))
     paired = days.withColumn("_next", nxt).filter("_next IS NOT NULL")
     measured = paired.select("id", F.col("segment").alias("week"), "day", dtw("values", "_next").alias("usage"))
-    return minmax_by_series(measured, 0, 255, keys=("id", "day"))
+    return minmax_by_series(measured, 0, 255, keys=("id", "day"), bounded=True)

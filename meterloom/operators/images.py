@@ -14,7 +14,7 @@ from meterloom.operators.windows import _collected, minmax_by_series, segments
 
 def _gray(df: DataFrame, order: RowOrder, width: int, complete: int, height: int | None, half: bool = False) -> DataFrame:
     """Scale to 0-255, keep complete blocks, truncate, lay out ``width`` pixels a row."""
-    placed = positions(minmax_by_series(df, 0, 255), order, "_p", "_n")
+    placed = positions(minmax_by_series(df, 0, 255, bounded=order.bounded), order, "_p", "_n")
     at = F.col("_p") - 1
     last = F.floor(F.col("_n") / 2) if half else F.col("_n")
     whole = F.floor(last / complete) * complete  # an incomplete tail is dropped

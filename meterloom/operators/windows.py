@@ -145,14 +145,19 @@ def _rescale(x: Column, low: Column, high: Column, lo: float, hi: float) -> Colu
     return (x - low) / span * F.lit(float(hi - lo)) + F.lit(float(lo))
 
 
-def minmax_by_series(df: DataFrame, lo: float = 0.0, hi: float = 1.0, col: str = "usage", keys: Sequence[str] = ("id",)) -> DataFrame:
+def minmax_by_series(df: DataFrame, lo: float = 0.0, hi: float = 1.0, col: str = "usage", keys: Sequence[str] = ("id",), bounded: bool = False) -> DataFrame:
     """Scale each meter to [lo, hi]; a constant meter becomes lo.
 
     The range is a map-side combined aggregate joined back, not a window over
-    all rows of the meter.
+    all rows of the meter.  For ``bounded`` series (resampled ones) the window
+    is used: it reads its input once.
     """
-    span = df.groupBy(*keys).agg(F.min(col).alias("_min"), F.max(col).alias("_max"))
-    return df.join(span, list(keys)).withColumn(col, _rescale(F.col(col), F.col("_min"), F.col("_max"), lo, hi)).drop("_min", "_max")
+    if bounded:
+        w = Window.partitionBy(*keys)
+        ranged = df.withColumn("_min", F.min(col).over(w)).withColumn("_max", F.max(col).over(w))
+    else:
+        ranged = df.join(df.groupBy(*keys).agg(F.min(col).alias("_min"), F.max(col).alias("_max")), list(keys))
+    return ranged.withColumn(col, _rescale(F.col(col), F.col("_min"), F.col("_max"), lo, hi)).drop("_min", "_max")
 
 
 def position_ranges(df: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:

@@ -155,7 +155,7 @@ def _(t: Tables):
 
 @query("x9_reconstruction_error")
 def _(t: Tables):
-    scaled = w.minmax_by_series(resample(t.readings, "1H"), 0, 1)
+    scaled = w.minmax_by_series(resample(t.readings, "1H"), 0, 1, bounded=True)
     return dt.reconstruction_error(scaled, 168, 4)
 
 

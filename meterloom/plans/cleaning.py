@@ -252,10 +252,10 @@ def _(t: Tables):
     SELECT DISTINCT user_id AS id, true AS mining, false AS theft FROM events WHERE event_type = 'error'
     UNION ALL SELECT DISTINCT user_id, false, true FROM events WHERE event_type = 'signup'"""))
 def _(t: Tables):
-    kinds = t.events.withColumn("mining", F.col("event_type") == "error").withColumn("theft", F.col("event_type") == "signup")
-    from meterloom.operators.detect import verdicts
-
-    return verdicts(kinds.select(F.col("user_id").alias("id"), "mining", "theft"))
+    id_ = F.col("user_id").alias("id")
+    miners = t.events.filter("event_type = 'error'").select(id_).distinct().withColumn("mining", F.lit(True))
+    thieves = t.events.filter("event_type = 'signup'").select(id_).distinct().withColumn("theft", F.lit(True))
+    return miners.unionByName(thieves, allowMissingColumns=True).na.fill(False)
 
 
 @query("o1_sort", sql("SELECT id, date, usage FROM series_long ORDER BY id, date, seq", "series_long"))
