@@ -195,11 +195,18 @@ def _(t: Tables):
     return cl.silhouette_points(t.features).withColumn("silhouette", R4("silhouette"))
 
 
-@query("c12_edge_silhouette")
+@query("c12_edge_silhouette", recursive(sql("""
+    SELECT id, cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 4) AS silhouette FROM (
+      SELECT id, cluster, max(CASE WHEN oc = cluster THEN d END) AS a, min(CASE WHEN oc <> cluster THEN d END) AS b FROM (
+        SELECT id, p.region AS cluster, q.region AS oc, avg(dist) AS d FROM
+          (SELECT k.a AS id, k.b AS o, dist FROM measured UNION ALL SELECT k.b, k.a, dist FROM measured)
+          JOIN supplier_region p ON p.s_suppkey = id JOIN supplier_region q ON q.s_suppkey = o GROUP BY 1, 2, 3) GROUP BY 1, 2)""",
+    "series_long", "supplier_region", **MONTHS)))
 def _(t: Tables):
     members = t.supplier_region.select(F.col("s_suppkey").alias("id"), F.col("region").alias("cluster"))
-    arrays = sampled_weeks(t)
-    return cl.edge_silhouette(ds.dtw_matrix(arrays, bound=100), members.join(arrays.select("id"), "id", "left_semi"))
+    arrays = ds.series_arrays(resample(split.sample_users(t.series_long, 100, 1), "28D"))
+    points = cl.edge_silhouette(ds.dtw_matrix(arrays, bound=100), members.join(arrays.select("id"), "id", "left_semi"))
+    return points.withColumn("silhouette", R4("silhouette"))
 
 
 @query("c13_series_kmeans")
