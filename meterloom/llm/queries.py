@@ -19,7 +19,19 @@ def op4_exact_dedup(spark, folder):
     return exact_groups(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_exact_dedup)}
+def op5_simhash(spark, folder):
+    from meterloom.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, folder, "documents"))
+
+
+def op10_packing(spark, folder):
+    from meterloom.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_exact_dedup, op5_simhash, op10_packing)}
 
 SQL = {
     "op4_exact_dedup": r"""
