@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from meterloom.llm.common import table
+from meterloom.llm.common import remainder, table
 
 
 def op3_byte_bpe(spark, folder):
@@ -25,13 +26,29 @@ def op5_simhash(spark, folder):
     return simhash_components(table(spark, folder, "documents"))
 
 
+def op8_toxicity(spark, folder):
+    from meterloom.llm.toxicity import fit, with_score
+
+    docs = table(spark, folder, "documents")
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = fit(docs.where(~held), table(spark, folder, "labels"))
+    scored = with_score(docs, model, "text", "score", ["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_html(spark, folder):
+    from meterloom.llm.html_text import extract
+
+    return extract(table(spark, folder, "pages"))
+
+
 def op10_packing(spark, folder):
     from meterloom.llm.packing import pack
 
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_exact_dedup, op5_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_exact_dedup, op5_simhash, op8_toxicity, op9_html, op10_packing)}
 
 SQL = {
     "op4_exact_dedup": r"""
