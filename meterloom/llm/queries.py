@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from meterloom.llm.common import remainder, table
 
 
+def op2_lattice_lm(spark, folder):
+    from meterloom.llm.lattice_lm import lm_scores
+
+    docs = table(spark, folder, "documents").withColumn("__held", remainder("doc_id", 10) == 0)
+    return lm_scores(docs, public_tokenizers.path("piece_bpe_32k.model"), held_col="__held")
+
+
 def op3_byte_bpe(spark, folder):
     from meterloom.llm.byte_bpe import encode_digest
 
@@ -48,7 +55,7 @@ def op10_packing(spark, folder):
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_exact_dedup, op5_simhash, op8_toxicity, op9_html, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_lattice_lm, op3_byte_bpe, op4_exact_dedup, op5_simhash, op8_toxicity, op9_html, op10_packing)}
 
 SQL = {
     "op4_exact_dedup": r"""
