@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from meterloom.llm.common import remainder, table
 
 
+def secret_model(docs):
+    """Forest fitted on the findings of ``docs`` that format or place label, ids with crc32 modulo 5 equal to 0 left out."""
+    from meterloom.llm.secrets import Context, dictionary, find, fit, labelled, pair_counts
+
+    context = Context(pair_counts(docs), dictionary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    learned = docs.where(F.coalesce(remainder("doc_id", 5) != 0, F.lit(True)))
+    return fit(labelled(find(learned)), context)
+
+
+def toxicity_model(docs, labels):
+    """Network fitted on the labelled rows of ``docs``, ids with crc32 modulo 5 equal to 0 left out."""
+    from meterloom.llm.toxicity import fit
+
+    return fit(docs.where(F.coalesce(remainder("doc_id", 5) != 0, F.lit(True))), labels)
+
+
+def op1_secrets(spark, folder):
+    from meterloom.llm.secrets import scan
+
+    docs = table(spark, folder, "documents")
+    return scan(docs, secret_model(docs))
+
+
 def op2_lattice_lm(spark, folder):
     from meterloom.llm.lattice_lm import lm_scores
 
@@ -33,12 +56,24 @@ def op5_simhash(spark, folder):
     return simhash_components(table(spark, folder, "documents"))
 
 
+def op6_cover_tree(spark, folder):
+    from meterloom.llm.cover_tree import top_k
+
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_substring_dedup(spark, folder):
+    from meterloom.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark, folder):
-    from meterloom.llm.toxicity import fit, with_score
+    from meterloom.llm.toxicity import with_score
 
     docs = table(spark, folder, "documents")
     held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    model = fit(docs.where(~held), table(spark, folder, "labels"))
+    model = toxicity_model(docs, table(spark, folder, "labels"))
     scored = with_score(docs, model, "text", "score", ["doc_id"])
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -55,7 +90,7 @@ def op10_packing(spark, folder):
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lattice_lm, op3_byte_bpe, op4_exact_dedup, op5_simhash, op8_toxicity, op9_html, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_lattice_lm, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_cover_tree, op7_substring_dedup, op8_toxicity, op9_html, op10_packing)}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -67,5 +102,16 @@ WITH d AS (
     FROM d WINDOW w AS (PARTITION BY sha ORDER BY points DESC, doc_id ASC NULLS LAST)
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha AS text_sha256 FROM r
+""",
+    "op6_cover_tree": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+    FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """,
 }
