@@ -11,6 +11,7 @@ so a length that a third of all pieces share is spread over many tasks.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import insort
 from collections import defaultdict
@@ -28,7 +29,7 @@ from meterloom.session import cut
 SEQUENCE = 4096
 END_ID = 2
 #: Words remembered by a worker before it starts afresh.
-MEMO = 400_000
+MEMO = 600_000
 #: More than the pieces of any one length.
 RANKS = 1 << 48
 #: Rows that share a (length, salt) at most, about.
@@ -39,6 +40,11 @@ LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9
 BEYOND = re.compile(r"[^!-~¡-ÿ]|<\|")
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokens:
     """Ids of white-space separated words, each tokenized once and remembered.
 
@@ -63,29 +69,30 @@ class WordTokens:
         others = [b for b in range(256) if b not in set(plain)]
         self.letters = {**{b: b for b in plain}, **{b: 256 + i for i, b in enumerate(others)}}  # bytes as printable letters
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.ready = True
 
-    def _piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = [t.id for t in self.model.tokenize(spelled)]
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        found = self.pieces[piece] = packed([t.id for t in self.model.tokenize(spelled)])
         return found
 
     def _word(self, word: str) -> bytes:
         if BEYOND.search(word):
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        else:
-            ids = [i for piece in LATIN_PIECES.findall(word.lower()) for i in self._piece(piece)]
-        return np.array(ids, dtype="<u4").tobytes()
+            return packed(self.whole.encode(word, add_special_tokens=False).ids)
+        own = LATIN_PIECES.findall(word.lower())
+        get = self.pieces.get
+        if len(own) == 1:
+            return get(own[0]) or self._piece(own[0])
+        return b"".join([get(p) or self._piece(p) for p in own])
 
     def of(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
         if not self.ready:
             self._setup()
-        if len(self.words) > MEMO or len(self.pieces) > MEMO:
+        if len(self.words) > MEMO:
             self.words.clear()
+        if len(self.pieces) > MEMO:
             self.pieces.clear()
         memo = self.words
         for word in words:
@@ -114,7 +121,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     prepare(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(WordTokens(file.read()))  # the size of the vocabulary
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "key"]

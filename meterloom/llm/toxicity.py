@@ -58,7 +58,14 @@ class Words:
 
 
 def features(words: list[str]) -> Words:
-    """Hash whole words and their character n-grams, boundaries marked, over one array of code points."""
+    """Hash whole words and their character n-grams, in blocks of words."""
+    parts = [_features(words[lo : lo + BLOCK]) for lo in range(0, max(1, len(words)), BLOCK)]
+    sizes = np.concatenate([p.sizes for p in parts])
+    return Words(np.concatenate([p.word for p in parts]), np.concatenate([p.grams for p in parts]), np.cumsum(sizes) - sizes, sizes)
+
+
+def _features(words: list[str]) -> Words:
+    """Of one block: words and n-grams with boundary marks, over one array of code points."""
     marked = ["<" + (w.strip(string.punctuation) or w) + ">" for w in words]
     text = "".join(marked)
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -87,7 +94,7 @@ def features(words: list[str]) -> Words:
         owners.append(owner[: len(value)][inside])
     own = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     order = np.argsort(own, kind="stable")
-    grams = (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))[order].astype(np.int64)
+    grams = (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))[order].astype(np.int32)
     counts = np.bincount(own, minlength=len(words))
     return Words(((whole >> np.uint64(9)) % np.uint64(BUCKETS)).astype(np.int64), grams, np.cumsum(counts) - counts, counts)
 
@@ -121,14 +128,19 @@ class Network:
 
     def restrict(self, words: Words, numbers: np.ndarray, text: np.ndarray) -> None:
         """Zero the buckets that fewer than ``LEAST_TEXTS`` texts meet, for good."""
-        pairs = np.unique(text * np.int64(1 << 32) + numbers)
-        met, owner = pairs & ((1 << 32) - 1), pairs >> 32
-        self.fixed = {"word": np.ones(BUCKETS, bool), "gram": np.ones(BUCKETS, bool)}
-        grams, _, sizes = _runs(words, met)
-        for name, rows, texts in (("word", words.word[met], owner), ("gram", grams, np.repeat(owner, sizes))):
-            each = np.unique(texts * np.int64(BUCKETS) + rows) % BUCKETS
-            self.fixed[name] = np.bincount(each, minlength=BUCKETS) < LEAST_TEXTS
-            self.p[name][self.fixed[name]] = 0
+        met = {"word": np.zeros(BUCKETS, np.int64), "gram": np.zeros(BUCKETS, np.int64)}
+        edges = np.searchsorted(text, np.arange(0, text[-1] + 65, 64))
+        for lo, hi in zip(edges, edges[1:]):  # 64 texts at a time, to bound the pairs held
+            if lo == hi:
+                continue
+            pairs = np.unique((text[lo:hi] - text[lo]) << 32 | numbers[lo:hi])
+            own, owner = pairs & ((1 << 32) - 1), pairs >> 32
+            grams, _, sizes = _runs(words, own)
+            for name, rows, texts in (("word", words.word[own], owner), ("gram", grams, np.repeat(owner, sizes))):
+                met[name] += np.bincount(np.unique(texts * BUCKETS + rows) % BUCKETS, minlength=BUCKETS)
+        self.fixed = {name: n < LEAST_TEXTS for name, n in met.items()}
+        for name, rows in self.fixed.items():
+            self.p[name][rows] = 0
 
     def inputs(self, words: Words) -> np.ndarray:
         """One vector per distinct word."""
@@ -332,7 +344,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityMod
     rounds = max(EPOCHS, -(-EPOCHS * 1200 // max(1, 2 * max(map(len, pools)))))
     for epoch in range(rounds):
         done = epoch / rounds
-        if done >= 0.5 and (epoch == rounds // 2 or epoch == 3 * rounds // 4):
+        if epoch and epoch in (rounds // 2, 3 * rounds // 4):
             clean = np.flatnonzero(labels[text] == 0)
             logit = _window_logits(network, words, numbers, first[clean], length[clean], len(distinct))
             hard = clean[logit > -1.0][np.argsort(-logit[logit > -1.0], kind="stable")][:4000]
