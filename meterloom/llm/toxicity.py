@@ -6,7 +6,7 @@ n-gram vectors, so unseen forms of a known stem still count. Each window of
 states, and one logit comes out. A text scores as its highest window; every
 word lies in a window and neighbouring windows overlap.
 
-The fit takes labelled rows only, at most ``SAMPLE`` per class in the order of a
+The fit takes labelled rows only, at most ``SAMPLE`` of each class in the order of a
 hash of the id. Training starts from the short texts of the sample, where a
 label says most about a window, then adds the windows of long clean texts that
 score too high.
@@ -27,14 +27,16 @@ from pyspark.sql import types as T
 
 from meterloom.llm.common import prepare
 
-#: Most labelled rows of each class that the model is fitted on.
-SAMPLE = 2000
+#: Most labelled rows that the model is fitted on: toxic ones, clean ones.
+SAMPLE = (2000, 4000)
 #: Training texts have at most so many words; longer ones of the sample serve to find errors.
 SHORT = 320
 WINDOW, STRIDE = 12, 8
 BUCKETS, SIZE, STATE, HEADS = 1 << 16, 16, 8, 8
 GRAMS = (3, 4, 5)
-EPOCHS, BAGS = 5, 24
+EPOCHS, BAGS = 6, 24
+#: Short texts of each class seen in an epoch, drawn anew each time.
+EPOCH_TEXTS = 1500
 #: Buckets met in fewer training texts stay zero: a rare word says nothing about its text.
 LEAST_TEXTS = 4
 DECAY = np.float32(1e-4)
@@ -341,14 +343,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityMod
         picked = Words(words.word[own], *_runs(words, own))
         network.learn(picked, inverse, real, bag, marks, sharp, rate)
 
-    rounds = max(EPOCHS, -(-EPOCHS * 1200 // max(1, 2 * max(map(len, pools)))))
+    rounds = max(EPOCHS, -(-EPOCHS * 600 // max(map(len, pools))))
     for epoch in range(rounds):
         done = epoch / rounds
-        if epoch and epoch in (rounds // 2, 3 * rounds // 4):
+        if epoch and epoch >= rounds // 2:
             clean = np.flatnonzero(labels[text] == 0)
             logit = _window_logits(network, words, numbers, first[clean], length[clean], len(distinct))
             hard = clean[logit > -1.0][np.argsort(-logit[logit > -1.0], kind="stable")][:4000]
-        most = max(map(len, pools))
+        most = min(EPOCH_TEXTS, max(map(len, pools)))
         order = [np.concatenate([draw.permutation(p) for _ in range(-(-most // len(p)))])[:most] for p in pools]
         for lo in range(0, most, BAGS):
             docs = np.concatenate([o[lo : lo + BAGS] for o in order])
@@ -387,8 +389,8 @@ def _cut(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((edge[k] + edge[k + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled rows of each class, whole texts.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> ToxicityModel:
+    """Fit on at most ``sample`` labelled rows (toxic, clean), whole texts.
 
     Ids with several labels count as toxic if one says so; null ids, labels and
     rows without a text take no part.
@@ -396,7 +398,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prepare(docs.sparkSession)
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     mixed = F.xxhash64("id")
-    chosen = own.where("y = 1").orderBy(mixed, "id").limit(sample).unionByName(own.where("y = 0").orderBy(mixed, "id").limit(sample))
+    chosen = own.where("y = 1").orderBy(mixed, "id").limit(sample[0]).unionByName(own.where("y = 0").orderBy(mixed, "id").limit(sample[1]))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # the sample's bound is the bound of this broadcast and of what comes to the driver
     found = rows.join(F.broadcast(chosen), "id").select("id", "y", "text").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).toArrow()
