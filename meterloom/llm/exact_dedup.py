@@ -35,19 +35,28 @@ def _cells(key: str, cells: int) -> list[Column]:
     return [F.pmod(F.xxhash64(mixed, F.lit(half)), F.lit(cells)) + F.lit(half * cells) for half in (0, 1)]
 
 
-def repeated_filter(keys: DataFrame, key: str, cells: int) -> Column:
-    """Scalar array of 64-bit words: a bit is set where more than one row of ``keys`` falls."""
-    spark = keys.sparkSession
-    hits = keys.select(F.explode(F.array(*_cells(key, cells))).alias("cell")).groupBy("cell").count().where("count > 1")
+def _packed(hits: DataFrame, cells: int) -> Column:
+    """Scalar array of 64-bit words with the bits at ``cell`` set."""
     words = hits.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
-    every = spark.range(2 * cells // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    every = hits.sparkSession.range(2 * cells // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
     # one row per word, their number fixed by ``cells``
     full = every.unionByName(words).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     packed = full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("filter"))
     return packed.select(F.transform("filter", lambda x: x["bits"])).scalar()
 
 
-def maybe_repeated(seen: Column, key: str, cells: int) -> Column:
+def repeated_filter(keys: DataFrame, key: str, cells: int) -> Column:
+    """Filter of the cells on which more than one row of ``keys`` falls."""
+    return _packed(keys.select(F.explode(F.array(*_cells(key, cells))).alias("cell")).groupBy("cell").count().where("count > 1"), cells)
+
+
+def member_filter(keys: DataFrame, key: str, cells: int) -> Column:
+    """Filter of the cells of all ``keys``."""
+    return _packed(keys.select(F.explode(F.array(*_cells(key, cells))).alias("cell")), cells)
+
+
+def may_hold(seen: Column, key: str, cells: int) -> Column:
+    """Whether both cells of ``key`` are in the filter."""
     tests = [F.getbit(F.get(seen, F.shiftright(c, 6).cast("int")), c.bitwiseAND(F.lit(63)).cast("int")) == 1 for c in _cells(key, cells)]
     return tests[0] & tests[1]
 
@@ -69,7 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut(texts(docs, id_col, text_col).select("doc_id", F.length("text").cast("long").alias("points"), digest(F.col("text")).alias("sha")))
     cells = filter_cells(rows.count())
     seen = repeated_filter(rows, "sha", cells)
-    told = rows.withColumn("again", maybe_repeated(seen, "sha", cells))
+    told = rows.withColumn("again", may_hold(seen, "sha", cells))
     alone = told.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # nulls last among equal lengths: they rank as larger than any id
     rank = F.struct("points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus"))
@@ -97,7 +106,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = cut(docs.select(digest(text).alias("__sha")))
     cells = filter_cells(keys.count())
     seen = repeated_filter(keys, "__sha", cells)
-    told = docs.withColumn("__sha", digest(text)).withColumn("__again", maybe_repeated(seen, "__sha", cells))
+    told = docs.withColumn("__sha", digest(text)).withColumn("__again", may_hold(seen, "__sha", cells))
     best = Window.partitionBy("__sha").orderBy(F.length(text).desc(), F.col(id_col).asc_nulls_last(), text)
     kept = told.where("__again").withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
     return told.where("not __again").select(docs.columns).unionByName(kept.select(docs.columns))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.llm.common import attach, prepare, slices
+from meterloom.llm.exact_dedup import filter_cells, may_hold, member_filter
 from meterloom.session import cut
 
 REACH = 8
@@ -116,11 +117,11 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     continue
                 origin = np.searchsorted(text, text[starts])  # first word of the text
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][text[starts]]), pa.array(starts - origin), pa.array(ends - starts), pa.array(first[starts]), pa.array(last[ends - 1]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    [pa.array(ids[lo:hi][text[starts]]), *(pa.array(x.astype(np.int32)) for x in (starts - origin, ends - starts, first[starts], last[ends - 1])), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
                     ["doc", "word", "words", "start", "stop", "one", "two"],
                 )
 
-    return rows.mapInArrow(run, "doc long, word long, words long, start long, stop long, one long, two long")
+    return rows.mapInArrow(run, "doc long, word int, words int, start int, stop int, one long, two long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reported: int = REPORTED) -> DataFrame:
@@ -134,7 +135,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     found = cut(runs(docs, id_col, text_col))
     digest = F.struct("one", "two").alias("digest")
-    # the smallest place of each digest; combined in each task before the shuffle
+    # only digest halves are counted over all runs; whatever repeats none of them is not shuffled any further
+    twice = cut(found.groupBy("one").count().where("count > 1").select("one"))
+    cells = filter_cells(twice.count())
+    found = found.where(may_hold(member_filter(twice, "one", cells), "one", cells))
     groups = found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "word")).alias("keep"), F.max("doc").alias("last")).where(F.col("n") > 1).where(F.col("keep.doc") != F.col("last"))
     groups = cut(groups.select(digest, "n", F.col("keep.doc").alias("keep_doc"), F.col("keep.word").alias("keep_word")))
     rows = found.select("doc", "word", "words", "start", "stop", digest)
@@ -148,4 +152,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("n_words"), F.min("keep_word").alias("keep_word"), F.max("n").alias("copies")
     ).where(F.col("n_words") >= reported)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return passages.select(real("doc").alias("doc_id"), "start", "stop", "n_words", real("keep_doc").alias("keep_doc_id"), "keep_word", "copies")
+    return passages.select(real("doc").alias("doc_id"), *(F.col(c).cast("long") for c in ("start", "stop", "n_words")), real("keep_doc").alias("keep_doc_id"), F.col("keep_word").cast("long"), "copies")
