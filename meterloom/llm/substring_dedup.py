@@ -7,7 +7,7 @@ a run of chunks of at least ``LEAST`` words from each cut on, by its 128-bit
 digest. A passage of more than 50 words always holds such a run whole: up to
 ``REACH + 2`` words in front and ``REACH`` behind may shift the cuts, the first
 cut comes within ``REACH`` words and the run ends within ``LEAST + REACH - 1``.
-Runs of one document that repeat another document side by side are joined.
+Runs of one document that overlap and repeat the same other document are joined.
 """
 
 from __future__ import annotations
@@ -142,13 +142,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "word")).alias("keep"), F.max("doc").alias("last")).where(F.col("n") > 1).where(F.col("keep.doc") != F.col("last"))
     groups = cut(groups.select(digest, "n", F.col("keep.doc").alias("keep_doc"), F.col("keep.word").alias("keep_word")))
     rows = found.select("doc", "word", "words", "start", "stop", digest)
-    met = attach(rows, groups, "digest", "n").where(F.col("doc") != F.col("keep_doc")).withColumn("shift", F.col("word") - F.col("keep_word"))
-    # a group is one document's runs along one other document: bounded by the document
-    along = Window.partitionBy("doc", "keep_doc", "shift").orderBy("word")
+    met = attach(rows, groups, "digest", "n").where(F.col("doc") != F.col("keep_doc"))
+    # a group is one document's runs that one other document keeps: bounded by the document
+    along = Window.partitionBy("doc", "keep_doc").orderBy("word", "words")
     reach = F.max(F.col("word") + F.col("words")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (reach.isNull() | (F.col("word") > reach)).cast("int")
+    opens = (reach.isNull() | (F.col("word") >= reach)).cast("int")
     joined = met.withColumn("opens", opens).withColumn("passage", F.sum("opens").over(along))
-    passages = joined.groupBy("doc", "keep_doc", "shift", "passage").agg(
+    passages = joined.groupBy("doc", "keep_doc", "passage").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("n_words"), F.min("keep_word").alias("keep_word"), F.max("n").alias("copies")
     ).where(F.col("n_words") >= reported)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
