@@ -74,6 +74,15 @@ def normalize_cycles(df: DataFrame, calendar: str = "gregorian") -> DataFrame:
     )
 
 
+def bad_rows(df: DataFrame, calendar: str = "gregorian", dates: Sequence[str] = ("date",), numbers: Sequence[str] = ("usage",)) -> DataFrame:
+    """``id, column, text, reason`` for every raw value that normalisation cannot read; missing numbers are no fault, missing dates are."""
+    convert = (jalali_to_timestamp if list(dates) == ["date"] else jalali_to_date) if calendar == "jalali" else (lambda c: c.try_cast("timestamp"))
+    text = lambda c: F.col(c).cast("string")
+    faults = [F.when(convert(text(c)).isNull(), F.struct(F.lit(c).alias("column"), text(c).alias("text"), F.when(text(c).isNull(), "missing date").otherwise("unreadable date").alias("reason"))) for c in dates]
+    faults += [F.when(text(c).isNotNull() & text(c).try_cast("double").isNull(), F.struct(F.lit(c).alias("column"), text(c).alias("text"), F.lit("not a number").alias("reason"))) for c in numbers]
+    return df.select("id", F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull())).alias("f")).select("id", "f.column", "f.text", "f.reason")
+
+
 def require_dates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Raise the typed error if a date could not be read; one aggregate over the input."""
     broken = F.lit(False)
@@ -107,7 +116,7 @@ def cycle_days(df: DataFrame) -> DataFrame:
 def drop_short_cycles(df: DataFrame) -> DataFrame:
     """Add ``days`` and remove every row of a meter that has a cycle shorter than one day."""
     measured = cycle_days(df)
-    short = measured.filter("days < 1").select("id").distinct()
+    short = measured.filter("days < 1").select("id")
     return measured.join(short, "id", "left_anti")
 
 

@@ -42,14 +42,14 @@ def in_users(df: DataFrame, users: DataFrame | Iterable, col: str = "id") -> Dat
     """Rows whose id appears in a table column or in a literal list."""
     if isinstance(users, DataFrame):
         kind = df.schema["id"].dataType
-        ids = users.select(F.col(col).try_cast(kind).alias("id")).distinct()
+        ids = users.select(F.col(col).try_cast(kind).alias("id"))
         return df.join(ids, "id", "left_semi")
     return df.filter(F.col("id").isin(list(users)))
 
 
 def not_in_users(df: DataFrame, users: DataFrame, col: str = "id") -> DataFrame:
     kind = df.schema["id"].dataType
-    return df.join(users.select(F.col(col).try_cast(kind).alias("id")).distinct(), "id", "left_anti")
+    return df.join(users.select(F.col(col).try_cast(kind).alias("id")), "id", "left_anti")
 
 
 def _keep_meters(df: DataFrame, per_meter: DataFrame, condition: Column) -> DataFrame:

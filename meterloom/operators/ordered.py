@@ -1,88 +1,59 @@
 """Row-order operations that never put one oversized meter into one task.
 
 A plain ``Window.partitionBy('id')`` gives a meter holding a third of all rows
-to a single task.  Meters are therefore measured first, by one map-side
-combined count over the key and order columns only.  While every meter fits a
-task the plain window is used.  Otherwise the oversized meters (and only they)
-are cut into slices of the ordering column; rows are windowed per slice, one
-summary row per slice is windowed per meter, and the summary is joined back on
-the partitioning the rows already have.
+to a single task. Rows are therefore dealt by range over the keys, all order
+columns and a hash of the row, and written with the number of their range, the
+*chunk*: a large meter covers many chunks, many small ones share one, and ties
+or unknown times are split like anything else. Rows are windowed per (key,
+chunk), one summary row per (key, chunk) is windowed per key, and the summary is
+joined back on the partitioning the rows already have. There is one plan for
+all sizes, and nothing is counted beforehand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meterloom.functions.seeded import digest
 from meterloom.session import cut
 
-SLICE_ROWS = 1_000_000  # rows of one key a task takes without slicing
-HOT_KEYS = 100_000  # at most this many keys can be oversized, which bounds the table of them
-CHUNK = "_chunk"
+CHUNK, TIE = "_chunk", "_tie"
 
 
 @dataclass(frozen=True)
 class RowOrder:
-    """Rows of each key, ordered by ``by`` (which must identify a row of the key).
+    """Rows of each key, ordered by ``by``; rows that tie follow a hash of all their columns.
 
     ``bounded`` states that every key is small by construction (a resampled
-    series, bounded by the calendar), so it need not be measured.
+    series, bounded by the calendar), so it need not be dealt out. ``dealt``
+    states that the rows carry their chunk (see ``deal``).
     """
 
     keys: Sequence[str] = ("id",)
     by: Sequence[str] = ("date",)
     bounded: bool = False
-
-    def measured(self, df: DataFrame) -> "Slices":
-        """Count rows per key; keys above the limit get slices of about that many rows."""
-        if self.bounded:
-            return Slices(self.keys, self.by)
-        at = _number(df, self.by[0])
-        per_key = df.groupBy(*self.keys).agg(
-            F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-        )
-        all_rows, most = per_key.agg(F.sum("_rows"), F.max("_rows")).first()
-        limit = max(SLICE_ROWS, (all_rows or 0) // HOT_KEYS)
-        if (most or 0) <= limit:
-            return Slices(self.keys, self.by)
-        width = (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(limit)) / F.col("_rows")
-        # fewer than HOT_KEYS rows by the choice of limit; written, so its true size plans the join
-        hot = cut(per_key.filter(F.col("_rows") > limit).select(*self.keys, "_lo", width.alias("_width")))
-        return Slices(self.keys, self.by, hot)
-
-
-@dataclass(frozen=True)
-class Slices:
-    """A measured order: plain windows per key, or per (key, slice) where keys are oversized."""
-
-    keys: Sequence[str]
-    by: Sequence[str]
-    hot: DataFrame | None = field(default=None, repr=False)
-
-    def chunked(self, df: DataFrame) -> DataFrame:
-        at = _number(df, self.by[0])
-        piece = F.floor((at - F.col("_lo")) / F.col("_width")).cast("long")
-        # keys of normal size form one slice; unknown times sort first
-        chunk = F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(F.coalesce(piece, F.lit(-1)))
-        return df.join(self.hot, list(self.keys), "left").withColumn(CHUNK, chunk).drop("_lo", "_width")
+    dealt: bool = False
 
     @property
     def place(self) -> list[str]:
-        return list(self.keys) if self.hot is None else [*self.keys, CHUNK]
+        return [*self.keys, CHUNK] if self.dealt else list(self.keys)
+
+    @property
+    def within(self) -> list[str]:
+        return [*self.by, TIE] if self.dealt else list(self.by)
 
     @property
     def local(self):
-        return Window.partitionBy(*self.place).orderBy(*self.by)
+        return Window.partitionBy(*self.place).orderBy(*self.within)
 
     @property
     def backward(self):
         # reading backwards costs a sort; a frame up to the end would cost a pass per row
-        return Window.partitionBy(*self.place).orderBy(*[F.col(c).desc() for c in self.by])
+        return Window.partitionBy(*self.place).orderBy(*[F.col(c).desc() for c in self.within])
 
     @property
     def earlier(self):
@@ -93,94 +64,104 @@ class Slices:
         return Window.partitionBy(*self.keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """The ordering column as a number that keeps its order."""
-    if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.col(name).cast("double")
+def deal(df: DataFrame, order: RowOrder) -> tuple[DataFrame, RowOrder, bool]:
+    """Rows with their chunk, the order on them, and whether this call dealt them out.
+
+    Written, so that every later reading sees the same ranges.
+    """
+    if order.bounded or order.dealt:
+        return df, order, False
+    tied = df.withColumn(TIE, F.xxhash64(*df.columns))
+    ranged = tied.repartitionByRange(*order.keys, *order.by, TIE).withColumn(CHUNK, F.spark_partition_id())
+    return cut(ranged), RowOrder(order.keys, order.by, dealt=True), True
+
+
+def undealt(df: DataFrame, own: bool) -> DataFrame:
+    return df.drop(CHUNK, TIE) if own else df
 
 
-def measured(df: DataFrame, order: RowOrder | Slices) -> Slices:
-    return order if isinstance(order, Slices) else order.measured(df)
+def _back(rows: DataFrame, side: DataFrame, place: Sequence[str], also: Column | None = None, how: str = "inner") -> DataFrame:
+    """Rows with the summary of their (key, chunk); an unknown key is a key like any other."""
+    named = side.withColumnsRenamed({c: f"_at_{c}" for c in place})
+    here = F.lit(True) if also is None else also
+    for c in place:
+        here = here & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    return rows.join(named, here, how).drop(*(f"_at_{c}" for c in place))
 
 
 UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
-def positions(df: DataFrame, order: RowOrder | Slices = RowOrder(), name: str = "pos", total: str | None = None) -> DataFrame:
+def positions(df: DataFrame, order: RowOrder = RowOrder(), name: str = "pos", total: str | None = None) -> DataFrame:
     """Add the 1-based row position within the key and, if asked, the key's row count."""
-    order = measured(df, order)
-    if order.hot is None:
-        out = df.withColumn(name, F.row_number().over(order.local).cast("long"))
+    rows, order, own = deal(df, order)
+    if not order.dealt:
+        out = rows.withColumn(name, F.row_number().over(order.local).cast("long"))
         return out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*order.keys))) if total else out
-    sizes = order.chunked(df).groupBy(*order.place).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*order.place).agg(F.count(F.lit(1)).alias("_n"))
     cols = [F.coalesce(F.sum("_n").over(order.earlier), F.lit(0)).alias("_before")]
     if total:
         cols.append(F.sum("_n").over(Window.partitionBy(*order.keys)).alias(total))
-    rows = order.chunked(df).withColumn("_rn", F.row_number().over(order.local))
-    return (
-        rows.join(sizes.select(*order.place, *cols), order.place)
+    out = (
+        _back(rows.withColumn("_rn", F.row_number().over(order.local)), sizes.select(*order.place, *cols), order.place)
         .withColumn(name, F.col("_before") + F.col("_rn"))
-        .drop("_rn", "_before", CHUNK)
+        .drop("_rn", "_before")
     )
+    return undealt(out, own)
 
 
-def running_sum(df: DataFrame, col: str, name: str, order: RowOrder | Slices = RowOrder()) -> DataFrame:
+def running_sum(df: DataFrame, col: str, name: str, order: RowOrder = RowOrder()) -> DataFrame:
     """Add the sum of ``col`` over the key's rows up to and including this one."""
-    order = measured(df, order)
+    rows, order, own = deal(df, order)
     part = F.coalesce(F.sum(col).over(order.local.rowsBetween(*UPTO)), F.lit(0))
-    if order.hot is None:
-        return df.withColumn(name, part)
-    sums = order.chunked(df).groupBy(*order.place).agg(F.sum(col).alias("_s"))
+    if not order.dealt:
+        return rows.withColumn(name, part)
+    sums = rows.groupBy(*order.place).agg(F.sum(col).alias("_s"))
     offsets = sums.select(*order.place, F.coalesce(F.sum("_s").over(order.earlier), F.lit(0)).alias("_before"))
-    return (
-        order.chunked(df).withColumn("_part", part)
-        .join(offsets, order.place)
+    out = (
+        _back(rows.withColumn("_part", part), offsets, order.place)
         .withColumn(name, F.col("_before") + F.col("_part"))
-        .drop("_part", "_before", CHUNK)
+        .drop("_part", "_before")
     )
+    return undealt(out, own)
 
 
-def lagged(df: DataFrame, cols: dict[str, str], k: int = 1, order: RowOrder | Slices = RowOrder(), seen: str | None = None) -> DataFrame:
+def lagged(df: DataFrame, cols: dict[str, str], k: int = 1, order: RowOrder = RowOrder(), seen: str | None = None) -> DataFrame:
     """Add, for ``cols = {new: old}``, the value of ``old`` k rows earlier.
 
     ``seen`` names a boolean column telling whether such a row exists.
     """
-    order = measured(df, order)
-    if order.hot is None:
-        out = df.withColumns({new: F.lag(old, k).over(order.local) for new, old in cols.items()})
+    rows, order, own = deal(df, order)
+    if not order.dealt:
+        out = rows.withColumns({new: F.lag(old, k).over(order.local) for new, old in cols.items()})
         return out.withColumn(seen, F.row_number().over(order.local) > k) if seen else out
-    rows = (
-        order.chunked(df)
-        .withColumn("_rn", F.row_number().over(order.local))
-        .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*order.place)))
-    )
-    # each earlier non-empty slice has at least one row, so k of them always suffice
-    last_slices = Window.partitionBy(*order.keys).orderBy(CHUNK).rowsBetween(-k, -1)
+    rows = rows.withColumn("_rn", F.row_number().over(order.local)).withColumns({new: F.lag(old, k).over(order.local) for new, old in cols.items()})
+    # the last k rows of each chunk, from the back; every earlier chunk of the key has a row, so k chunks suffice
+    back = F.row_number().over(order.backward)
+    ends = rows.select(*order.place, "_rn", back.alias("_back"), *dict.fromkeys(cols.values())).filter(F.col("_back") <= k)
+    last = Window.partitionBy(*order.keys).orderBy(CHUNK).rowsBetween(-k, -1)
     tails = (
-        rows.filter(F.col("_rn") > F.col("_size") - k)
-        .groupBy(*order.place)
-        .agg(F.sort_array(F.collect_list(F.struct("_rn", *set(cols.values())))).alias("_tail"))
-        .select(*order.place, F.flatten(F.collect_list("_tail").over(last_slices)).alias("_carry"))
+        ends.groupBy(*order.place)
+        .agg(F.sort_array(F.collect_list(F.struct("_rn", *dict.fromkeys(cols.values())))).alias("_tail"))
+        .select(*order.place, F.flatten(F.collect_list("_tail").over(last)).alias("_carry"))
+        .withColumn("_carry", F.slice("_carry", F.greatest(F.size("_carry") - F.lit(k - 1), F.lit(1)), F.lit(k)))
     )
+    # only a chunk's first k rows look into earlier chunks
+    out = _back(rows, tails, order.place, F.col("_rn") <= k, "left")
     reach = F.try_element_at("_carry", (F.col("_rn") - F.lit(k + 1)).cast("int"))
-    out = rows.join(tails, order.place)
-    out = out.withColumns({
-        new: F.when(F.col("_rn") > k, F.lag(old, k).over(order.local)).otherwise(reach.getField(old))
-        for new, old in cols.items()
-    })
+    out = out.withColumns({new: F.when(F.col("_rn") > k, F.col(new)).otherwise(reach.getField(old)) for new, old in cols.items()})
     if seen:
         out = out.withColumn(seen, (F.col("_rn") > k) | reach.isNotNull())
-    return out.drop("_rn", "_size", "_carry", CHUNK)
+    return undealt(out.drop("_rn", "_carry"), own)
 
 
-def neighbours(df: DataFrame, col: str, order: RowOrder | Slices = RowOrder()) -> DataFrame:
+def neighbours(df: DataFrame, col: str, order: RowOrder = RowOrder()) -> DataFrame:
     """Add ``pos`` and the nearest known values of ``col``.
 
     ``prev`` and ``next`` are ``struct(pos, value)`` of the last known row at or
     before this one and the first at or after it, null when there is none.
     """
-    order = measured(df, order)
+    rows, order, own = deal(df, order)
     known = F.when(F.col(col).isNotNull(), F.struct(F.col("pos"), F.col(col).alias("value")))
 
     def near(rows: DataFrame) -> DataFrame:
@@ -189,9 +170,9 @@ def neighbours(df: DataFrame, col: str, order: RowOrder | Slices = RowOrder()) -
             "prev", F.last("_known", ignorenulls=True).over(order.local.rowsBetween(*UPTO))
         ).withColumn("next", F.last("_known", ignorenulls=True).over(order.backward.rowsBetween(*UPTO))).drop("_known")
 
-    if order.hot is None:
-        return near(df.withColumn("pos", F.row_number().over(order.local).cast("long")))
-    rows = order.chunked(df).withColumn("pos", F.row_number().over(order.local).cast("long"))
+    rows = rows.withColumn("pos", F.row_number().over(order.local).cast("long"))
+    if not order.dealt:
+        return near(rows)
     ends = rows.groupBy(*order.place).agg(
         F.count(F.lit(1)).alias("_n"), F.max(known).alias("_last"), F.min(known).alias("_first")
     ).withColumn("_before", F.coalesce(F.sum("_n").over(order.earlier), F.lit(0)))
@@ -206,13 +187,14 @@ def neighbours(df: DataFrame, col: str, order: RowOrder | Slices = RowOrder()) -
         F.last("_last", ignorenulls=True).over(order.earlier).alias("_prev"),
         F.last("_first", ignorenulls=True).over(order.later).alias("_next"),
     )
-    return (
-        near(rows).join(carry, order.place)
+    out = (
+        _back(near(rows), carry, order.place)
         .withColumn("prev", F.coalesce(moved("prev"), F.col("_prev")))
         .withColumn("next", F.coalesce(moved("next"), F.col("_next")))
         .withColumn("pos", F.col("pos") + F.col("_before"))
-        .drop("_before", "_prev", "_next", CHUNK)
+        .drop("_before", "_prev", "_next")
     )
+    return undealt(out, own)
 
 
 SERIES = RowOrder(("id",), ("idx",), bounded=True)  # a resampled series

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.kernels import dtw
-from meterloom.session import cut, spread
+from meterloom.session import cut
 
 
 def cluster_label_counts(df: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
@@ -40,13 +40,20 @@ def label_lookup(df: DataFrame, patterns: DataFrame, keys: Sequence[str] = ("fea
     return df.join(known, [*keys, "cluster"], "left")
 
 
+def item_centre_pairs(items: DataFrame, centers: DataFrame, item: Sequence[str] = ("item",), keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """Every item with every centre of its keys. Keys are few, so items are salted and centres (one row per cluster) repeated per salt."""
+    salts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*item), F.lit(salts)))
+    copied = centers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def nearest_pattern(test: DataFrame, centers: DataFrame, patterns: DataFrame, item: Sequence[str] = ("item",), keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Per item and feature the DTW-nearest centre and its label: ``item, keys, cluster, dist, pred``.
 
-    All centres compete, but only those in ``patterns`` carry a label.  Centres
-    are few per feature (one per cluster); Spark broadcasts them when small.
+    All centres compete, but only those in ``patterns`` carry a label.
     """
-    pairs = spread(test.select(*item, *keys, "values"), *item, *keys).join(centers.select(*keys, "cluster", "centroid"), list(keys))
+    pairs = item_centre_pairs(test.select(*item, *keys, "values"), centers.select(*keys, "cluster", "centroid"), item, keys)
     measured = pairs.select(*item, *keys, "cluster", dtw("values", "centroid").alias("dist"))
     best = measured.groupBy(*item, *keys).agg(F.min(F.struct("dist", "cluster")).alias("_b"))
     found = best.select(*item, *keys, "_b.cluster", "_b.dist")

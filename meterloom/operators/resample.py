@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.calendar import DAY_SECONDS, seconds
-from meterloom.operators.ordered import RowOrder, measured, positions
+from meterloom.operators.ordered import RowOrder, deal, positions
 
 MERGE = {"sum": F.sum, "any": F.bool_or, "max": F.max, "min": F.min}
 
@@ -27,7 +27,8 @@ def resample(df: DataFrame, freq="1H", aggs: dict[str, str] | None = None, fill:
     step = seconds(freq)
     base = math.gcd(step, DAY_SECONDS)
     start = (F.floor(F.unix_seconds(F.col("date").cast("timestamp")) / base) * base).alias("_b")
-    fine = df.groupBy("id", start).agg(*[MERGE[how](c).alias(c) for c, how in aggs.items()])
+    # a reading without a time belongs to no bucket
+    fine = df.filter(F.col("date").isNotNull()).groupBy("id", start).agg(*[MERGE[how](c).alias(c) for c, how in aggs.items()])
     per_meter = Window.partitionBy("id")
     # a bucket dividing the day needs no anchor of its own
     anchor = F.lit(0) if base == step else F.floor(F.min("_b").over(per_meter) / DAY_SECONDS) * DAY_SECONDS
@@ -61,7 +62,8 @@ def multi_resample(df: DataFrame, freqs=("1H", "1D", "7D")) -> DataFrame:
     """
     common = reduce(math.gcd, [seconds(f) for f in freqs], DAY_SECONDS)
     start = (F.floor(F.unix_seconds(F.col("date").cast("timestamp")) / common) * common).alias("_b")
-    fine = df.groupBy("id", start).agg(F.sum("usage").alias("usage"))
+    # a reading without a time belongs to no bucket
+    fine = df.filter(F.col("date").isNotNull()).groupBy("id", start).agg(F.sum("usage").alias("usage"))
     fine = fine.select("id", F.timestamp_seconds("_b").alias("date"), "usage")
     parts = [resample(fine, f).withColumn("freq", F.lit(f)) for f in freqs]
     return reduce(DataFrame.unionByName, parts)
@@ -117,7 +119,7 @@ def segment_means(df: DataFrame, modulus: int = 7, order: RowOrder = RowOrder())
     """First differences grouped by position modulo ``modulus``: mean and sample variance."""
     from meterloom.operators.windows import lag_diff
 
-    order = measured(df, order)
+    df, order, _ = deal(df, order)
     numbered = positions(lag_diff(df, 1, order), order)
     return numbered.groupBy("id", ((F.col("pos") - 1) % modulus).alias("segment")).agg(
         F.avg("usage").alias("mean"), F.var_samp("usage").alias("var")

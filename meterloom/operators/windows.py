@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterloom.operators.ordered import SERIES, RowOrder, Slices, lagged, measured, positions, running_sum
+from meterloom.operators.ordered import SERIES, RowOrder, deal, lagged, positions, running_sum, undealt
 from meterloom.session import cut
 
 
-def lag_diff(df: DataFrame, k: int = 1, order: RowOrder | Slices = RowOrder()) -> DataFrame:
+def lag_diff(df: DataFrame, k: int = 1, order: RowOrder = RowOrder()) -> DataFrame:
     """Usage minus usage k rows earlier; rows without a difference are dropped."""
     return (
         lagged(df, {"_prev": "usage"}, k, order)
@@ -90,10 +90,10 @@ def _blocks(df: DataFrame, length: int, features: Sequence[str], keys: Sequence[
 
 def label_runs(df: DataFrame, order: RowOrder = RowOrder(("id",), ("order",))) -> DataFrame:
     """Add ``run``: the 1-based number of the maximal stretch of equal labels in row order."""
-    order = measured(df, order)
+    df, order, own = deal(df, order)
     seen = lagged(df, {"_prev": "label"}, 1, order, seen="_has")
     starts = F.when(F.col("_has") & (F.col("label") == F.col("_prev")), 0).otherwise(1)
-    return running_sum(seen.withColumn("_start", starts).drop("_prev", "_has"), "_start", "run", order).drop("_start")
+    return undealt(running_sum(seen.withColumn("_start", starts).drop("_prev", "_has"), "_start", "run", order).drop("_start"), own)
 
 
 def run_segments(df: DataFrame, length: int, features: Sequence[str], drop_label=None) -> DataFrame:
@@ -172,11 +172,10 @@ def position_ranges(df: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFr
 def minmax_by_position(df: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("feature",), lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """Scale each vector position by the training ranges, unclipped.
 
-    ``ranges`` holds one row per key whose size is the vector length, so it is
-    broadcast by construction only as large as features x length.
+    ``ranges`` holds one row per key; Spark broadcasts it when it is small.
     """
     if keys:
-        joined, los, his = df.join(F.broadcast(ranges), list(keys)), F.col("_los"), F.col("_his")
+        joined, los, his = df.join(ranges, list(keys)), F.col("_los"), F.col("_his")
     else:
         both = ranges.select(F.struct("_los", "_his")).scalar()
         joined, los, his = df.withColumn("_both", both), F.col("_both")["_los"], F.col("_both")["_his"]

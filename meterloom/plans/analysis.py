@@ -159,13 +159,18 @@ def _(t: Tables):
     return dt.reconstruction_error(scaled, 168, 4)
 
 
-@query("x10_class_score", sql("""
-    SELECT round(avg(CASE WHEN p.id % 2 = 0 THEN CAST(coalesce(event = 'mining', false) AS INT) ELSE CAST(coalesce(event = 'theft', false) AS INT) END), 4) AS score
-    FROM (SELECT DISTINCT id FROM planted) p LEFT JOIN first_hits f ON p.id = f.id""", "planted", **event_ctes("planted")))
+JUDGED = "SELECT id, bool_or(mining) AS mining, bool_or(theft) AS theft FROM flags GROUP BY id"
+
+
+@query("x10_class_score", scan_sql(f"SELECT round(avg(CAST(CASE WHEN id % 2 = 0 THEN mining ELSE theft END AS INT)), 4) AS score FROM ({JUDGED})", "planted"))
+def _(t: Tables):
+    return dt.class_score(dt.verdicts(dt.scan(t.planted, PARAM)), t.truth).select(R4("score").alias("score"))
+
+
+@query("j6_label_join", scan_sql(f"SELECT id, mining, theft, CASE WHEN id % 2 = 0 THEN 'mining' ELSE 'theft' END AS truth, CASE WHEN id % 2 = 0 THEN mining ELSE theft END AS hit FROM ({JUDGED})", "planted"))
 def _(t: Tables):
-    found = dt.first_events(t.planted, PARAM)
-    verdict = found.select("id", (F.col("event") == "mining").alias("mining"), (F.col("event") == "theft").alias("theft"))
-    return dt.class_score(verdict, t.truth).select(R4("score").alias("score"))
+    rows = dt.judged(dt.verdicts(dt.scan(t.planted, PARAM)), t.truth)
+    return rows.select("id", F.col("_m").alias("mining"), F.col("_t").alias("theft"), F.when(F.col("mining") != 0, "mining").otherwise("theft").alias("truth"), F.col("right").alias("hit"))
 
 
 @query("x11_param_search")

@@ -11,6 +11,7 @@ from meterloom.plans.analysis import BINARY, binary, ranked_sql
 from meterloom.plans.catalog import query
 from meterloom.plans.cleaning import R4
 from meterloom.plans.tables import Tables, digest_sql, resample_sql, sql
+from meterloom.session import cut
 
 NAMES = ("mean", "max", "min", "std", "median")
 
@@ -181,6 +182,14 @@ def _(t: Tables):
     return cl.dbscan(t.features.select("id", "features"), 0.8, 5)
 
 
+@query("c11_bandwidth", sql(f"""
+    SELECT round(avg(d), 6) AS bandwidth FROM (SELECT p.id, sqrt({" + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in NAMES)}) AS d, row_number() OVER (PARTITION BY p.id ORDER BY d) AS r, count(*) OVER (PARTITION BY p.id) AS n
+      FROM s p CROSS JOIN s q) WHERE r = greatest(floor(n * 0.3), 1)""", "z_features", s=f"SELECT * FROM z_features ORDER BY {digest_sql(0, 'id')}, id LIMIT 500"))
+def _(t: Tables):
+    value = cl.estimate_bandwidth(t.features.select("id", "features"))
+    return t.spark.range(1).select(F.round(F.lit(value), 6).alias("bandwidth"))
+
+
 @query("c11_mean_shift")
 def _(t: Tables):
     return cl.mean_shift(t.features.select("id", "features"), 2.0)
@@ -243,7 +252,7 @@ def _(t: Tables):
 
 
 def train_test(t: Tables):
-    sides = split.split_rows(t.vectors.select("id"), 0.33, ("id",), 6)
+    sides = cut(split.split_rows(t.vectors.select("id"), 0.33, ("id",), 6))  # read for both sides
     rows = t.parts.join(sides.select(F.col("id").alias("item"), "test"), "item")
     return rows.filter("NOT test").drop("test"), rows.filter("test").drop("test")
 
@@ -270,29 +279,52 @@ def _(t: Tables):
     return predictions(t).select("item", "feature", "cluster", "pred")
 
 
-@query("c16_nearest_pattern", recursive(sql("""
-    SELECT n.item, n.feature, n.cluster, round(n.dist, 6) AS dist, t.label AS pred FROM (
+NEAREST = {
+    **{k: SIDES[k] for k in ("sides", "rows0", "counts", "tops")},
+    "flat": """SELECT item, label, feature, cluster, test, pos, (v - min(v) FILTER (WHERE NOT test) OVER w) / (max(v) FILTER (WHERE NOT test) OVER w - min(v) FILTER (WHERE NOT test) OVER w) AS v
+      FROM (SELECT item, label, feature, cluster, test, unnest(range(16)) AS pos, unnest(vals) AS v FROM rows0) WINDOW w AS (PARTITION BY feature, pos)""",
+    "mids": "SELECT feature, cluster, list(m ORDER BY pos) AS c FROM (SELECT feature, cluster, pos, avg(v) AS m FROM flat WHERE NOT test GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    "asked": "SELECT item, feature, list(v ORDER BY pos) AS vals FROM flat WHERE test GROUP BY 1, 2",
+    "pairs": "SELECT {'item': item, 'feature': feature, 'cluster': cluster} AS k, vals AS x, c AS y FROM asked JOIN mids USING (feature)", **dtw_ctes("pairs"),
+    "preds": """SELECT n.item, n.feature, n.cluster, n.dist, t.label AS pred FROM (
       SELECT k.item AS item, k.feature AS feature, k.cluster AS cluster, dist FROM measured
       QUALIFY row_number() OVER (PARTITION BY k.item, k.feature ORDER BY dist, k.cluster) = 1) n
-    LEFT JOIN (SELECT * FROM tops WHERE confidence > 0.18) t ON n.feature = t.feature AND n.cluster = t.cluster""", "parts", **SIDES,
-    flat="""SELECT item, label, feature, cluster, test, pos, (v - min(v) FILTER (WHERE NOT test) OVER w) / (max(v) FILTER (WHERE NOT test) OVER w - min(v) FILTER (WHERE NOT test) OVER w) AS v
-      FROM (SELECT item, label, feature, cluster, test, unnest(range(16)) AS pos, unnest(vals) AS v FROM rows0) WINDOW w AS (PARTITION BY feature, pos)""",
-    mids="SELECT feature, cluster, list(m ORDER BY pos) AS c FROM (SELECT feature, cluster, pos, avg(v) AS m FROM flat WHERE NOT test GROUP BY 1, 2, 3) GROUP BY 1, 2",
-    asked="SELECT item, feature, list(v ORDER BY pos) AS vals FROM flat WHERE test GROUP BY 1, 2",
-    pairs="SELECT {'item': item, 'feature': feature, 'cluster': cluster} AS k, vals AS x, c AS y FROM asked JOIN mids USING (feature)", **dtw_ctes("pairs"))))
-def _(t: Tables):
+    LEFT JOIN (SELECT * FROM tops WHERE confidence > 0.18) t ON n.feature = t.feature AND n.cluster = t.cluster""",
+    "votes": SIDES["votes"],
+}
+
+
+def nearest(t: Tables):
+    """Test items' nearest patterns, mined and scaled on the training items."""
     train, test = train_test(t)
     ranges = w.position_ranges(train)
     train, test = w.minmax_by_position(train, ranges), w.minmax_by_position(test, ranges)
-    found = pt.nearest_pattern(test, pt.cluster_centers(train), pt.cluster_label_counts(train).filter("confidence > 0.18"))
-    return found.withColumn("dist", F.round("dist", 6))
+    return pt.nearest_pattern(test, pt.cluster_centers(train), pt.cluster_label_counts(train).filter("confidence > 0.18"))
+
+
+@query("c16_nearest_pattern", recursive(sql("SELECT item, feature, cluster, round(dist, 6) AS dist, pred FROM preds", "parts", **NEAREST)))
+def _(t: Tables):
+    return nearest(t).withColumn("dist", F.round("dist", 6))
+
+
+@query("c17_vote_nearest", recursive(sql("SELECT item, vote FROM votes", "parts", **NEAREST)))
+def _(t: Tables):
+    return pt.vote_label(nearest(t))
+
+
+@query("c18_classifier_accuracy", recursive(sql("""
+    SELECT count(*) AS n, round(avg(CAST(vote = label AS INT)), 4) AS accuracy FROM votes JOIN (SELECT DISTINCT item, label FROM parts) USING (item)""", "parts", **NEAREST)))
+def _(t: Tables):
+    """The classifier from end to end: split, scale, mine, nearest patterns, vote, score."""
+    votes = pt.vote_label(nearest(t)).join(t.vectors.select(F.col("id").alias("item"), "label"), "item")
+    return pt.pattern_accuracy(votes).withColumn("accuracy", R4("accuracy"))
 
 
 @query("j5_item_centre_pairs", sql("""
     SELECT r.item, r.feature, c.cluster FROM rows0 r JOIN (SELECT DISTINCT feature, cluster FROM rows0 WHERE NOT test) c USING (feature) WHERE r.test""", "parts", **SIDES))
 def _(t: Tables):
     train, test = train_test(t)
-    return test.select("item", "feature").join(train.select("feature", "cluster").distinct(), "feature")
+    return pt.item_centre_pairs(test.select("item", "feature"), train.select("feature", "cluster").distinct())
 
 
 @query("c17_vote_label", sql("SELECT item, vote FROM votes", "parts", **SIDES))
@@ -307,15 +339,15 @@ def _(t: Tables):
     return pt.pattern_accuracy(votes).withColumn("accuracy", R4("accuracy"))
 
 
-@query("c18_feature_accuracy", sql("""
-    SELECT feature, count(*) AS n, round(avg(CAST(pred = label AS INT)), 4) AS accuracy FROM
-      (SELECT p.*, list_max(vals) AS dist FROM preds p JOIN parts USING (item, feature)) WHERE pred IS NOT NULL AND dist < 0.2 GROUP BY 1""", "parts", **SIDES))
+@query("c18_feature_accuracy", recursive(sql("""
+    SELECT feature, count(*) AS n, round(avg(CAST(pred = label AS INT)), 4) AS accuracy
+    FROM preds JOIN (SELECT DISTINCT item, label FROM parts) USING (item) WHERE pred IS NOT NULL AND dist < 1.2 GROUP BY 1""", "parts", **NEAREST)))
 def _(t: Tables):
-    rows = predictions(t).withColumn("dist", F.array_max("values"))
-    return pt.feature_accuracy(rows, 0.2).withColumn("accuracy", R4("accuracy"))
+    rows = nearest(t).join(t.vectors.select(F.col("id").alias("item"), "label"), "item")
+    return pt.feature_accuracy(rows, 1.2).withColumn("accuracy", R4("accuracy"))
 
 
-@query("j6_label_join", sql("SELECT id, label, r <= ceil(n * 0.33 - 1e-9) AS test FROM (" + ranked_sql(6) + ")", "vectors"))
+@query("j6_split_join", sql("SELECT id, label, r <= ceil(n * 0.33 - 1e-9) AS test FROM (" + ranked_sql(6) + ")", "vectors"))
 def _(t: Tables):
     sides = split.split_rows(t.vectors.select("id"), 0.33, ("id",), 6)
     return t.vectors.select("id", "label").join(sides, "id")

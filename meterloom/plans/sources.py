@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meterloom.operators.clean import bad_rows
+from meterloom.operators.detect import detect, verdicts
+from meterloom.operators.fill import fill
+from meterloom.plans.analysis import SENSITIVE, scan_sql
 from meterloom.plans.catalog import query
 from meterloom.plans.cleaning import MONTHLY, MONTHLY_PARTS, R4, meter_codes
 from meterloom.plans.tables import Tables, sql
@@ -50,6 +54,46 @@ def _(t: Tables):
     return readers.read_meter_text(t.spark, csv_of(t, meter_codes(t), "meter-text", " ", False))
 
 
+@query("s5_per_meter_files", sql("SELECT CAST(user_id AS VARCHAR) AS id, date_trunc('second', ts) AS date, value AS usage FROM events"))
+def _(t: Tables):
+    rows = t.events.select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH:mm:ss").alias("time"), F.col("value").alias("usage"))
+    path = shared_path(t.spark, "meter-files")
+    rows.repartition("id").write.partitionBy("id").csv(path)
+    return readers.read_per_meter_files(t.spark, f"{path}/*/*.csv")
+
+
+@query("s13_list_images", sql("SELECT DISTINCT CAST(quality AS VARCHAR) AS folder, 'jpg' AS kind FROM labels"))
+def _(t: Tables):
+    path = shared_path(t.spark, "images")
+    rows = t.table("labels").select("quality", F.col("doc_id").cast("string"))
+    rows.write.partitionBy("quality").option("extension", "jpg").csv(path)
+    rows.write.mode("append").partitionBy("quality").csv(path)  # files of another kind beside them
+    found = readers.list_images(t.spark, path)
+    return found.select(F.regexp_extract("path", "quality=([^/]+)/", 1).alias("folder"), F.regexp_extract("path", "([a-z]+)$", 1).alias("kind")).distinct()
+
+
+BROKEN = """SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'no date' WHEN event_type = 'view' THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
+    CASE WHEN event_type = 'click' THEN 'n/a' WHEN event_type = 'signup' THEN NULL ELSE CAST(event_id AS VARCHAR) END AS usage FROM events"""
+
+
+@query("d16_bad_rows", sql("""
+    SELECT id, 'date' AS "column", date AS text, CASE WHEN date IS NULL THEN 'missing date' ELSE 'unreadable date' END AS reason FROM b WHERE try_cast(date AS TIMESTAMP) IS NULL
+    UNION ALL SELECT id, 'usage', usage, 'not a number' FROM b WHERE usage IS NOT NULL AND try_cast(usage AS DOUBLE) IS NULL""", b=BROKEN))
+def _(t: Tables):
+    is_a = lambda kind: F.col("event_type") == kind
+    date = F.when(is_a("error"), "no date").when(~is_a("view"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    usage = F.when(is_a("click"), "n/a").when(~is_a("signup"), F.col("event_id").cast("string"))
+    return bad_rows(t.events.select(F.col("event_id").alias("id"), date.alias("date"), usage.alias("usage")))
+
+
+@query("x6_file_to_verdicts", scan_sql("""
+    SELECT DISTINCT id, true AS mining, false AS theft FROM flags WHERE mining UNION ALL SELECT DISTINCT id, false, true FROM flags WHERE theft""", "long_weeks", 10, 1.0, 6, 4))
+def _(t: Tables):
+    """Detection from end to end: file, reading, gap filling, scan, verdicts."""
+    readings = readers.read_usage(t.spark, csv_of(t, t.series_long.select("id", "date", "usage"), "readings"), cumulative=False)
+    return verdicts(detect(fill(readings, "next"), SENSITIVE))
+
+
 LABELS = "SELECT doc_id AS img, quality AS normal, toxic AS mining, 0 AS theft, CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END AS unknown FROM labels"
 
 

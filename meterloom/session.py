@@ -31,12 +31,15 @@ def build_session(app: str = "meterloom", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    A local session that names none gets a temporary folder; on a cluster that
+    is an error, since executors would not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
         if named is None:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="meterloom-")
         spark.sparkContext.setCheckpointDir(named)
         current = spark.sparkContext.getCheckpointDir()

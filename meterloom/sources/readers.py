@@ -43,13 +43,9 @@ def read_usage(spark: SparkSession, path: str, limit: int | None = None, calenda
         raw = bounded(raw, limit, (F.col("id").cast("long"), when))
     calendar = calendar or require_calendar(raw, when)
     if kind == "billing":
-        cycles = normalize_cycles(raw, calendar)
-        if calendar == "jalali":
-            cycles = require_dates(cycles, ["start_date", "end_date"])
+        cycles = require_dates(normalize_cycles(raw, calendar), ["start_date", "end_date"])
         return cycles_to_monthly(drop_short_cycles(cycles))
-    readings = normalize_readings(raw, calendar)
-    if calendar == "jalali":
-        readings = require_dates(readings, ["date"])
+    readings = require_dates(normalize_readings(raw, calendar), ["date"])
     if cumulative is None:
         cumulative = bool(usage_kind(readings).first()["cumulative"])
     return counter_to_usage(readings) if cumulative else readings
@@ -68,10 +64,11 @@ def read_meter_text(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_per_meter_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Headerless ``date,time,usage`` files named after their meter (before the first dot)."""
+    """Headerless ``date,time,usage`` files named after their meter (before the first dot) or in a folder ``id=...``."""
     raw = spark.read.schema("day string, time string, usage double").csv(glob)
+    folder = F.regexp_extract("_metadata.file_path", "/id=([^/]+)/[^/]*$", 1)
     return raw.select(
-        F.split_part("_metadata.file_name", F.lit("."), F.lit(1)).alias("id"),
+        F.when(folder != "", folder).otherwise(F.split_part("_metadata.file_name", F.lit("."), F.lit(1))).alias("id"),
         F.to_timestamp(F.concat_ws(" ", "day", "time")).alias("date"), "usage",
     )
 

@@ -1,6 +1,7 @@
 from datetime import date, datetime
 
 import pytest
+
 from pyspark.sql import functions as F
 
 from meterloom.errors import HourlyDateError, UserNotFoundError, WrongColumnsError, WrongDateFormatError
@@ -137,17 +138,22 @@ def test_per_meter_files_images_and_names(spark, tmp_path):
     assert [r.label for r in readers.read_label_names(spark, str(tmp_path / "names.txt")).collect()] == ["normal", "theft"]
 
 
-@pytest.mark.parametrize("limit", [10, 700, 10**6])
-def test_hot_meter_gives_the_same_order_results(spark, monkeypatch, limit):
-    """One meter holds most rows; sliced results equal a plain window's."""
-    from pyspark.sql import Window
+@pytest.fixture
+def many_chunks(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
-    from meterloom.operators import ordered
 
-    monkeypatch.setattr(ordered, "SLICE_ROWS", limit)
+def test_hot_meter_gives_the_same_order_results(spark, many_chunks):
+    """One meter holds most rows; results over chunks equal a plain window's."""
+    from pyspark.sql import Window
+
+    from meterloom.operators.ordered import CHUNK, deal
 
     rows = spark.range(6000).select(
-        F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 40).cast("long").alias("id"),
+        F.when(F.col("id") % 3 < 2, 1).when(F.col("id") % 40 > 1, F.col("id") % 40).cast("long").alias("id"),
         F.timestamp_seconds(F.col("id") * 700).alias("date"),
         F.when(F.col("id") % 7 > 1, (F.col("id") * 37 % 101).cast("double")).alias("usage"),
     )
@@ -158,10 +164,37 @@ def test_hot_meter_gives_the_same_order_results(spark, monkeypatch, limit):
         F.last("usage", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("prev0"),
         F.first("usage", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("next0"),
     )
-    order = RowOrder().measured(plain)
-    assert (order.hot is None) == (limit > 6000)
-    got = lagged(running_sum(neighbours(plain, "usage", order), "usage", "sum1", order), {"lag1": "usage"}, 5, order)
+    dealt, order, _ = deal(plain, RowOrder())
+    assert dealt.filter("id = 1").select(CHUNK).distinct().count() > 2
+    got = lagged(running_sum(neighbours(dealt, "usage", order), "usage", "sum1", order), {"lag1": "usage"}, 5, order)
     wrong = got.filter(
         "pos <> pos0 OR NOT lag1 <=> lag0 OR abs(sum1 - coalesce(sum0, 0)) > 1e-6 OR NOT prev.value <=> prev0 OR NOT next.value <=> next0")
     assert got.count() == 6000 and wrong.count() == 0
-    assert positions(rows, order, "p", "n").filter("p = n").count() == rows.select("id").distinct().count()
+    assert positions(rows, RowOrder(), "p", "n").filter("p = n").count() == rows.select("id").distinct().count()
+    long_lag = lagged(rows, {"before": "usage"}, 900, seen="has")
+    assert long_lag.filter("has").count() == 4000 - 900 and long_lag.columns == [*rows.columns, "before", "has"]
+
+
+@pytest.mark.parametrize("kind", ["stray", "equal", "null"])
+def test_chunks_are_even(spark, many_chunks, kind):
+    """One stray date, all times equal, or no times at all: no chunk holds twice the even share."""
+    from meterloom.operators.ordered import CHUNK, deal
+
+    at = {"stray": F.when(F.col("id") == 0, F.lit(0)).otherwise(F.col("id") + 1_700_000_000), "equal": F.lit(5), "null": F.lit(None).cast("long")}[kind]
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("id"), F.timestamp_seconds(at).alias("date"), F.rand(1).alias("usage"))
+    sizes = [r["count"] for r in deal(rows, RowOrder())[0].groupBy(CHUNK).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert positions(rows).agg(F.max("pos")).first()[0] == 20_000
+
+
+def test_bad_dates_are_reported_and_raised(spark, tmp_path):
+    from meterloom.operators.clean import bad_rows
+    from meterloom.operators.resample import resample
+
+    (tmp_path / "r.csv").write_text("id,date,usage\n1,2024-01-01 00:00:00,1\n1,2024-01-0x,2\n1,2024-01-03 00:00:00,many\n")
+    with pytest.raises(HourlyDateError):
+        readers.read_usage(spark, str(tmp_path / "r.csv"))
+    raw = readers.read_text_columns(spark, str(tmp_path / "r.csv"))
+    assert sorted(map(tuple, bad_rows(raw).collect())) == [("1", "date", "2024-01-0x", "unreadable date"), ("1", "usage", "many", "not a number")]
+    known = spark.sql("SELECT 1L AS id, TIMESTAMP'2024-01-01' AS date, 2.0D AS usage UNION ALL SELECT 1L, NULL, 7.0D")
+    assert [tuple(r)[1:2] + (r["usage"],) for r in resample(known, "1D").collect()] == [(0, 2.0)]

@@ -37,20 +37,5 @@ def test_query_matches_sql(spark, con, name):
     compare(spark, con, name)
 
 
-ORDERED = (
-    "a12_segment_means", "d2_usage_kind_counter", "d6_counter_to_usage", "d9_cycle_counters", "d12_fill_previous", "d13_fill_next",
-    "d14_fill_linear", "e1_gray_month_image", "e7_sampled_square", "g8_inject_attacks", "p6_split_tail", "w1_lag_diff_7",
-    "w4_segments_long", "w5_run_segments",
-)
-
-
-@pytest.mark.parametrize("name", ORDERED)
-def test_query_matches_sql_with_every_meter_sliced(spark, con, monkeypatch, name):
-    from meterloom.operators import ordered
-
-    monkeypatch.setattr(ordered, "SLICE_ROWS", 20)
-    compare(spark, con, name)
-
-
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0

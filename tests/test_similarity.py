@@ -211,3 +211,23 @@ def test_pattern_classifier_end_to_end(spark):
     preds = pt.nearest_pattern(test, pt.cluster_centers(marked), patterns, item=("id",))
     votes = pt.vote_label(preds, item=("id",)).join(test.select("id", "label").distinct(), "id")
     assert pt.pattern_accuracy(votes).first().accuracy == 1.0
+
+
+def test_mean_shift_of_unusable_and_no_points(spark):
+    nan = float("nan")
+    rows = [(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [9.0, 9.0]), (4, None), (5, [nan, 0.0]), (6, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    got = {r["id"]: r["cluster"] for r in cl.mean_shift(df, 1.0).collect()}
+    assert got[1] == got[2] != got[3] and got[4] == got[5] == got[6] == -1
+    assert cl.mean_shift(df.filter("id > 9"), 1.0).count() == 0
+    assert {r["id"] for r in cl.mean_shift(df).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_silhouette_far_from_the_origin_and_with_many_clusters(spark, monkeypatch):
+    near = [(i, i % 3, [float(i % 3) * 5 + (i % 7) * 0.1, float(i % 5) * 0.1]) for i in range(60)]
+    far = [(i, c, [x + 1e8 for x in f]) for i, c, f in near]
+    score = lambda rows: {r["id"]: r["silhouette"] for r in cl.silhouette_points(spark.createDataFrame(rows, "id long, cluster int, features array<double>")).collect()}
+    a, b = score(near), score(far)
+    assert all(abs(a[i] - b[i]) < 1e-4 for i in a) and min(a.values()) < 0.9999
+    monkeypatch.setattr(cl, "PACKED", 1)
+    assert score(near) == pytest.approx(a)
