@@ -46,14 +46,3 @@ class UserNotFoundError(MeterError):
     def __init__(self, user_id):
         super().__init__(f"no readings for meter {user_id}", f"کنتور {user_id} پیدا نشد")
         self.user_id = user_id
-
-
-class TooManySeriesError(MeterError):
-    """An n-squared result was asked for on more series than its bound."""
-
-    def __init__(self, found, bound):
-        super().__init__(
-            f"a full distance matrix over {found} or more series exceeds the bound of {bound}: "
-            "sample the meters first, or use the threshold form",
-            f"تعداد سری‌ها از {bound} بیشتر است",
-        )

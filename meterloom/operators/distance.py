@@ -3,7 +3,7 @@
 Two forms.  ``dtw_within`` finds every pair closer than a radius through
 equi-joins on a grid of lower bounds and scales with its output; identical
 series are joined once, as one representative.  ``dtw_matrix`` is the full
-n-squared matrix and therefore refuses more series than its bound.
+n-squared matrix, dealt out in tiles of equal size.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterloom.errors import TooManySeriesError
 from meterloom.functions import kernels
 from meterloom.functions.kernels import dtw, dtw_below
 from meterloom.operators.ordered import SERIES
 from meterloom.operators.resample import resample
 from meterloom.operators.windows import minmax_by_series, segments
-from meterloom.session import spread
+from meterloom.session import cut, spread
 
 TILE = 128  # series per side of one tile of the matrix
 
@@ -40,18 +39,7 @@ def series_dataset(series: DataFrame) -> DataFrame:
     return arrays.withColumn("values", F.concat("values", padding))
 
 
-def _bounded(df: DataFrame, keys: Sequence[str], bound: int) -> int:
-    """Largest group of series, or the typed error beyond the bound."""
-    if keys:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    else:
-        largest = df.limit(bound + 1).count()
-    if largest > bound:
-        raise TooManySeriesError(largest, bound)
-    return largest
-
-
-def dtw_matrix(df: DataFrame, keys: Sequence[str] = (), bound: int = 5000) -> DataFrame:
+def dtw_matrix(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Full distance matrix as edges ``a < b`` of ``id, values``, per key: ``keys, a, b, dist``.
 
     Series are hashed to blocks; each pair of blocks is one tile of at most
@@ -59,7 +47,9 @@ def dtw_matrix(df: DataFrame, keys: Sequence[str] = (), bound: int = 5000) -> Da
     vector is shipped once per block, not once per pair.
     """
     keys = list(keys)
-    blocks = max(1, -(-_bounded(df, keys, bound) // TILE))
+    df = cut(df)  # read for the count and for the tiles
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-largest // TILE))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     tiles = (
@@ -106,10 +96,11 @@ def dtw_within(df: DataFrame, radius: float, keys: Sequence[str] = ()) -> DataFr
     A path matches both first and both last values, so those may differ by at
     most the radius: candidates come from a grid on (first, last) and are cut by
     the end and range bounds; measuring a pair stops once it exceeds the radius.
-    Exact copies share one representative (see ``representatives``) instead of
-    forming pairs.
+    Exact copies are linked at distance 0 to the smallest of them, which alone
+    pairs with other arrays: a copy has the links of its representative.
     """
     keys = list(keys)
+    df = cut(df)  # read for the representatives and for the copies
     v = F.col("values")
     marked = (
         copies(df, keys)
@@ -131,7 +122,8 @@ def dtw_within(df: DataFrame, radius: float, keys: Sequence[str] = ()) -> DataFr
     ranges = (F.abs(F.col("a_lo") - F.col("b_lo")) < radius) & (F.abs(F.col("a_hi") - F.col("b_hi")) < radius)
     near = spread(left, "aid").join(right, [*keys, "_x", "_y"]).filter((F.col("aid") < F.col("bid")) & ends & ranges)
     pairs = near.select(*keys, F.col("aid").alias("a"), F.col("bid").alias("b"), dtw_below("avalues", "bvalues", radius).alias("dist"))
-    return pairs.filter("dist IS NOT NULL")
+    same = representatives(df, keys).filter("id <> rep").select(*keys, F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("dist"))
+    return pairs.filter("dist IS NOT NULL").unionByName(same)
 
 
 def similar_pairs(df: DataFrame, k: int = 10, users: int = 100, freq="7D", seed=0) -> DataFrame:
@@ -139,7 +131,7 @@ def similar_pairs(df: DataFrame, k: int = 10, users: int = 100, freq="7D", seed=
     from meterloom.operators.split import sample_users
 
     arrays = series_arrays(resample(sample_users(df, users, seed), freq))
-    return dtw_matrix(arrays, bound=users).orderBy("dist", "a", "b").limit(k)
+    return dtw_matrix(arrays).orderBy("dist", "a", "b").limit(k)
 
 
 def week_on_week_dtw(df: DataFrame) -> DataFrame:
@@ -148,8 +140,8 @@ def week_on_week_dtw(df: DataFrame) -> DataFrame:
     Only complete weeks of hours count; day 0 is the meter's first day.
     """
     weeks = segments(resample(df, "1H"), 168, SERIES)
-    cut = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: F.slice("values", d * 24 + 1, 24))
-    days = weeks.select("id", "segment", F.posexplode(cut).alias("day", "values"))
+    by_day = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: F.slice("values", d * 24 + 1, 24))
+    days = weeks.select("id", "segment", F.posexplode(by_day).alias("day", "values"))
     nxt = F.lead("values").over(Window.partitionBy("id", "day").orderBy("segment"))
     paired = days.withColumn("_next", nxt).filter("_next IS NOT NULL")
     measured = paired.select("id", F.col("segment").alias("week"), "day", dtw("values", "_next").alias("usage"))

@@ -34,9 +34,17 @@ def recursive(text: str) -> str:
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def sampled_weeks(t: Tables):
-    """Weekly arrays of 100 sampled meters: the bound of every full matrix below."""
-    return ds.series_arrays(resample(split.sample_users(t.series_long, 100, 1), "7D"))
+def weeks(t: Tables):
+    """Weekly arrays of all meters."""
+    return ds.series_arrays(resample(t.series_long, "7D"))
+
+
+def months(t: Tables):
+    """Four-weekly arrays of all meters."""
+    return ds.series_arrays(resample(t.series_long, "28D"))
+
+
+NEAR = 480.0  # about the closest tenth of the pairs of four-weekly arrays
 
 
 SAMPLE = {
@@ -44,9 +52,6 @@ SAMPLE = {
 }
 
 
-@query("j4_pair_edges", sql("SELECT p.id AS a, q.id AS b FROM drawn p JOIN drawn q ON p.id < q.id", "series_long", **SAMPLE))
-def _(t: Tables):
-    return ds.dtw_matrix(sampled_weeks(t), bound=100).select("a", "b")
 
 
 @query("c1_dtw", recursive(sql("SELECT k AS id, round(dist, 6) AS dist FROM measured", "vectors",
@@ -66,7 +71,7 @@ def _(t: Tables):
 
 @query("c2_dtw_matrix_sample")
 def _(t: Tables):
-    return ds.dtw_matrix(sampled_weeks(t), bound=100)
+    return ds.dtw_matrix(weeks(t))
 
 
 @query("c3_similar_pairs")
@@ -84,10 +89,17 @@ MONTHS = {
 }
 
 
-@query("c2_dtw_matrix_months", recursive(sql("SELECT k.a AS a, k.b AS b, round(dist, 4) AS dist FROM measured", "series_long", **MONTHS)))
+EVERY_MONTH = {**MONTHS, "months": resample_sql("series_long", 28 * 86400)}
+
+
+@query("j4_pair_edges", recursive(sql(f"SELECT k.a AS a, k.b AS b FROM measured WHERE dist < {NEAR}", "series_long", **EVERY_MONTH)))
+def _(t: Tables):
+    return ds.dtw_matrix(months(t)).filter(F.col("dist") < NEAR).select("a", "b")
+
+
+@query("c2_dtw_matrix_months", recursive(sql(f"SELECT k.a AS a, k.b AS b, round(dist, 4) AS dist FROM measured WHERE dist < {NEAR}", "series_long", **EVERY_MONTH)))
 def _(t: Tables):
-    months = ds.series_arrays(resample(split.sample_users(t.series_long, 100, 1), "28D"))
-    return ds.dtw_matrix(months, bound=100).withColumn("dist", R4("dist"))
+    return ds.dtw_matrix(months(t)).filter(F.col("dist") < NEAR).withColumn("dist", R4("dist"))
 
 
 @query("c3_similar_pairs_months", recursive(sql("""
@@ -134,25 +146,19 @@ def _(t: Tables):
 
 @query("c5_agglomerate_threshold")
 def _(t: Tables):
-    scaled = w.minmax_by_position(sampled_weeks_equal(t), w.position_ranges(sampled_weeks_equal(t), ()), ())
-    return cl.agglomerate(ds.dtw_matrix(scaled, bound=100), threshold=2.0)
-
-
-def sampled_weeks_equal(t: Tables):
-    """The sampled arrays over the weeks every one of them has (a minmax per position needs one length)."""
-    arrays = sampled_weeks(t)
-    shortest = arrays.agg(F.min(F.size("values"))).scalar()
-    return arrays.withColumn("values", F.slice("values", F.lit(1), shortest))
+    whole = weeks(t)
+    scaled = w.minmax_by_position(whole, w.position_ranges(whole, ()), ())
+    return cl.agglomerate(ds.dtw_matrix(scaled), threshold=2.0)
 
 
 @query("c6_agglomerate_k")
 def _(t: Tables):
-    return cl.agglomerate(ds.dtw_matrix(sampled_weeks(t), bound=100), k=10)
+    return cl.agglomerate(ds.dtw_matrix(weeks(t)), k=10)
 
 
 @query("c7_linkage_table")
 def _(t: Tables):
-    return cl.linkage_table(ds.dtw_matrix(sampled_weeks(t), bound=100))
+    return cl.linkage_table(ds.dtw_matrix(weeks(t)))
 
 
 @query("c8_kmeans_sweep")
@@ -210,11 +216,11 @@ def _(t: Tables):
         SELECT id, p.region AS cluster, q.region AS oc, avg(dist) AS d FROM
           (SELECT k.a AS id, k.b AS o, dist FROM measured UNION ALL SELECT k.b, k.a, dist FROM measured)
           JOIN supplier_region p ON p.s_suppkey = id JOIN supplier_region q ON q.s_suppkey = o GROUP BY 1, 2, 3) GROUP BY 1, 2)""",
-    "series_long", "supplier_region", **MONTHS)))
+    "series_long", "supplier_region", **EVERY_MONTH)))
 def _(t: Tables):
     members = t.supplier_region.select(F.col("s_suppkey").alias("id"), F.col("region").alias("cluster"))
-    arrays = ds.series_arrays(resample(split.sample_users(t.series_long, 100, 1), "28D"))
-    points = cl.edge_silhouette(ds.dtw_matrix(arrays, bound=100), members.join(arrays.select("id"), "id", "left_semi"))
+    arrays = months(t)
+    points = cl.edge_silhouette(ds.dtw_matrix(arrays), members.join(arrays.select("id"), "id", "left_semi"))
     return points.withColumn("silhouette", R4("silhouette"))
 
 

@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterloom.errors import TooManySeriesError
 from meterloom.functions import kernels
 from meterloom.operators import cluster as cl, distance as ds, patterns as pt
 
@@ -48,10 +47,9 @@ def test_matrix_and_threshold_forms_agree(spark):
     assert len(edges) == 60 * 59 // 2
     assert all(abs(d - plain_dtw(arrays[a], arrays[b])) < 1e-9 for (a, b), d in edges.items())
     near = {(r.a, r.b): r.dist for r in ds.dtw_within(df, 1.5).collect()}
-    assert set(near) == {k for k, d in edges.items() if d < 1.5 and k[1] < 50}
+    assert set(near) == {k for k, d in edges.items() if d < 1.5 and k[1] < 50} | {(0, i) for i in range(50, 60)}
+    assert all(near[0, i] == 0 for i in range(50, 60))
     assert {r.id: r.rep for r in ds.representatives(df).collect()} == {i: 0 if i >= 50 else i for i in range(60)}
-    with pytest.raises(TooManySeriesError):
-        ds.dtw_matrix(df, bound=59)
 
 
 def plain_linkage(dist):
