@@ -5,7 +5,7 @@ cell, and keeps the cells met more than once. Pass two tests every row: one
 whose two cells are not both kept has no equal and passes straight through;
 only the others shuffle, by digest. A false positive costs a shuffled row and
 changes no result, so one plan serves every size: the filter follows the number
-of rows up to ``MOST_CELLS`` per half (32 MB in all), beyond which it lets more
+of rows up to ``MOST_CELLS`` per half (16 MB in all), beyond which it lets more
 rows through to the shuffle.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from meterloom.llm.common import BLANKS, attach, prepare, texts
 from meterloom.session import cut
 
-MOST_CELLS = 1 << 27
+MOST_CELLS = 1 << 26
 LEAST_CELLS = 1 << 12
 CELLS_PER_ROW = 16
 
@@ -61,9 +61,9 @@ def may_hold(seen: Column, key: str, cells: int) -> Column:
     return tests[0] & tests[1]
 
 
-def filter_cells(rows: int) -> int:
+def filter_cells(rows: int, per_row: int = CELLS_PER_ROW) -> int:
     """Cells per half for so many rows: a power of two, within the bounds."""
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_PER_ROW * max(rows, 1) - 1).bit_length()))
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (per_row * max(rows, 1) - 1).bit_length()))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,8 @@ REACH = 8
 LEAST = 12
 #: Joined runs of fewer words are not reported.
 REPORTED = 17
+#: Bytes of text hashed at once: every byte takes several 64-bit numbers on the way.
+SLICE = 1 << 20
 NO_ID = (1 << 63) - 1
 U = np.uint64
 # Odd multipliers of the word and run digests.
@@ -110,7 +112,7 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SLICE):
                 text, first, last, hashes = words_of(batch.column(1).slice(lo, hi - lo).to_pylist())
                 starts, ends, one, two = runs_of(text, hashes, cuts_of(text, hashes))
                 if not len(starts):
@@ -137,7 +139,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     digest = F.struct("one", "two").alias("digest")
     # only digest halves are counted over all runs; whatever repeats none of them is not shuffled any further
     twice = cut(found.groupBy("one").count().where("count > 1").select("one"))
-    cells = filter_cells(twice.count())
+    cells = filter_cells(twice.count(), 4)
     found = found.where(may_hold(member_filter(twice, "one", cells), "one", cells))
     groups = found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "word")).alias("keep"), F.max("doc").alias("last")).where(F.col("n") > 1).where(F.col("keep.doc") != F.col("last"))
     groups = cut(groups.select(digest, "n", F.col("keep.doc").alias("keep_doc"), F.col("keep.word").alias("keep_word")))
