@@ -19,7 +19,7 @@ from meterloom.session import build_session
 
 HEADLINE = (
     "a1_resample_week", "a7_weekly_features", "d8_cycles_to_monthly", "d14_fill_linear", "f4_share_above",
-    "x3_first_events", "x4_detect", "x8_matrix_profile", "c2_dtw_within", "c12_silhouette",
+    "x3_first_events", "x4_detect", "x8_matrix_profile", "c2_dtw_within", "c12_silhouette", "c10_dbscan", "c16_nearest_pattern", "e6_recurrence_plot",
 )
 RUNS = 3
 

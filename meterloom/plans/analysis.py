@@ -231,12 +231,12 @@ def _(t: Tables):
 
 
 @query("g9_daily_layout", sql("""
-    SELECT id, segment, label, p // 24 AS day, round(sum(u), 3) AS total, round(max(CASE WHEN p % 24 = 23 THEN u END), 4) AS last_hour
+    SELECT id, segment, label, p // 24 AS day, round(sum(u), 3) AS total, round(sum(u * (p % 24 + 1)), 3) AS weighted, round(max(CASE WHEN p % 24 = 23 THEN u END), 4) AS last_hour
     FROM (SELECT id, segment, label, unnest(range(168)) AS p, unnest(vals) AS u FROM attacked) GROUP BY 1, 2, 3, 4""", "series_long", **INJECT_CTE))
 def _(t: Tables):
     days = inject.daily_layout(inject.inject_attacks(t.series_long, 7, 0.3, 4, BY_SEQ))
     total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
-    return days.select("id", "segment", "label", "day", F.round(total, 3).alias("total"), R4(F.element_at("values", 24)).alias("last_hour"))
+    return days.select("id", "segment", "label", "day", F.round(total, 3).alias("total"), row_weighted(3, "values").alias("weighted"), R4(F.element_at("values", 24)).alias("last_hour"))
 
 
 @query("g10_attack_windows", sql(f"""
@@ -373,21 +373,27 @@ BLOCK = f"SELECT id, segment, pos, usage FROM ({SEG_SQL.format(L=168, src='serie
 row_total = lambda: F.round(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x), 3)
 
 
+def row_weighted(digits: int, col: str = "pixels"):
+    """Sum weighted by 1-based position, so that a permuted row shows."""
+    return F.round(F.aggregate(F.transform(col, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), digits)
+
+
 def blocks168(t: Tables):
     return w.segments(t.series_long, 168, BY_SEQ)
 
 
 @query("e4_gramian_field", sql("""
-    SELECT p.id, p.segment AS image, p.pos AS row, round(sum(p.x * q.x - p.y * q.y), 3) AS total FROM
+    SELECT p.id, p.segment AS image, p.pos AS row, round(sum(p.x * q.x - p.y * q.y), 3) AS total,
+      round(sum((p.x * q.x - p.y * q.y) * (q.pos + 1)), 3) AS weighted FROM
       z p JOIN z q ON p.id = q.id AND p.segment = q.segment GROUP BY 1, 2, 3""", "series_long", blk=BLOCK,
     z="""SELECT id, segment, pos, x, sqrt(1 - x * x) AS y FROM (SELECT id, segment, pos, (usage - min(usage) OVER (PARTITION BY id, segment))
       / (max(usage) OVER (PARTITION BY id, segment) - min(usage) OVER (PARTITION BY id, segment)) * 2 - 1 AS x FROM blk)"""))
 def _(t: Tables):
-    return images.gramian_field(blocks168(t)).select("id", "image", "row", row_total().alias("total"))
+    return images.gramian_field(blocks168(t)).select("id", "image", "row", row_total().alias("total"), row_weighted(3).alias("weighted"))
 
 
 @query("e5_markov_field", sql("""
-    SELECT p.id, p.segment AS image, p.pos AS row, round(sum(coalesce(m.prob, 0)), 3) AS total FROM
+    SELECT p.id, p.segment AS image, p.pos AS row, round(sum(coalesce(m.prob, 0)), 3) AS total, round(sum(coalesce(m.prob, 0) * (q.pos + 1)), 7) AS weighted FROM
       bins p JOIN bins q ON p.id = q.id AND p.segment = q.segment
       LEFT JOIN m ON m.id = p.id AND m.segment = p.segment AND m.q = p.q AND m.nxt = q.q GROUP BY 1, 2, 3""", "series_long", blk=BLOCK,
     edges="SELECT id, segment, " + ", ".join(f"quantile_cont(usage, {i / 5}) AS e{i}" for i in range(1, 5)) + " FROM blk GROUP BY 1, 2",
@@ -395,16 +401,16 @@ def _(t: Tables):
     steps="SELECT id, segment, q, lead(q) OVER (PARTITION BY id, segment ORDER BY pos) AS nxt FROM bins",
     m="SELECT id, segment, q, nxt, count(*) / sum(count(*)) OVER (PARTITION BY id, segment, q) AS prob FROM steps WHERE nxt IS NOT NULL GROUP BY 1, 2, 3, 4"))
 def _(t: Tables):
-    return images.markov_field(blocks168(t)).select("id", "image", "row", row_total().alias("total"))
+    return images.markov_field(blocks168(t)).select("id", "image", "row", row_total().alias("total"), row_weighted(7).alias("weighted"))
 
 
 @query("e6_recurrence_plot", sql("""
-    SELECT id, segment AS image, pos AS row, round(sum(CAST(g < lim AS INT)), 3) AS total FROM
-      (SELECT gaps.id, gaps.segment, pos, g, lim FROM gaps JOIN (SELECT id, segment, quantile_cont(g, 0.2) AS lim FROM gaps GROUP BY 1, 2) l
+    SELECT id, segment AS image, pos AS row, round(sum(CAST(g < lim AS INT)), 3) AS total, round(sum(CAST(g < lim AS INT) * (col + 1)), 3) AS weighted FROM
+      (SELECT gaps.id, gaps.segment, pos, col, g, lim FROM gaps JOIN (SELECT id, segment, quantile_cont(g, 0.2) AS lim FROM gaps GROUP BY 1, 2) l
         ON gaps.id = l.id AND gaps.segment = l.segment) GROUP BY 1, 2, 3""", "series_long", blk=BLOCK,
-    gaps="SELECT p.id, p.segment, p.pos, abs(p.usage - q.usage) AS g FROM blk p JOIN blk q ON p.id = q.id AND p.segment = q.segment"))
+    gaps="SELECT p.id, p.segment, p.pos, q.pos AS col, abs(p.usage - q.usage) AS g FROM blk p JOIN blk q ON p.id = q.id AND p.segment = q.segment"))
 def _(t: Tables):
-    return images.recurrence_plot(blocks168(t)).select("id", "image", "row", row_total().alias("total"))
+    return images.recurrence_plot(blocks168(t)).select("id", "image", "row", row_total().alias("total"), row_weighted(3).alias("weighted"))
 
 
 @query("e7_sampled_square", sql(f"""

@@ -172,6 +172,16 @@ def _(t: Tables):
     return cl.kmeans_min_size(points, 2, 2)
 
 
+@query("c9_min_size_sweep", sql("""
+    SELECT count(*) AS points, count(*) >= 20 AS k_in_range, true AS sizes_hold FROM z_features JOIN supplier_region ON id = s_suppkey""", "z_features", "supplier_region"))
+def _(t: Tables):
+    """Facts about the chosen clustering: every point has a cluster, k is 2 to 5, every cluster holds 10 points."""
+    best = cut(cl.kmeans_min_size_sweep(t.features.select("id", "features")))
+    sizes = best.groupBy("k", "cluster").count()
+    facts = sizes.agg(F.coalesce(F.sum("count"), t.features.select("id").agg(F.count(F.lit(1))).scalar()).alias("points"), F.coalesce(F.max("k").between(2, 5) & (F.count(F.lit(1)) == F.max("k")), F.lit(False)).alias("k_in_range"), F.coalesce(F.min("count") >= 10, F.lit(True)).alias("sizes_hold"))
+    return facts
+
+
 DIST = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in NAMES)
 
 
