@@ -315,11 +315,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityMod
     if not len(texts) or labels.min() == labels.max():
         return ToxicityModel(None, constant=float(labels[0]) if len(texts) else 0.0)
     draw = np.random.default_rng(seed)
-    column = pa.array(texts, pa.string())
-    sizes, numbers, distinct = _split(column)
-    words = features(distinct)
+    sizes, numbers, distinct = _split(pa.array(texts, pa.string()))
+    words, known = features(distinct), len(texts)
+    del texts, distinct  # what follows needs numbers only; the driver's memory is small
     text, first, length = windows(sizes)
-    starts, counts = np.searchsorted(text, np.arange(len(texts))), np.bincount(text, minlength=len(texts))
+    starts, counts = np.searchsorted(text, np.arange(known)), np.bincount(text, minlength=known)
     usable = np.flatnonzero(counts > 0)
     short = usable[sizes[usable] <= SHORT]
     if len(np.unique(labels[short])) < 2:
@@ -327,7 +327,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityMod
     if len(np.unique(labels[short])) < 2:
         return ToxicityModel(None, constant=float(labels.mean() >= 0.5))
     network = Network(seed)
-    network.restrict(words, numbers, np.repeat(np.arange(len(texts)), sizes))
+    network.restrict(words, numbers, np.repeat(np.arange(known), sizes))
     pools = [short[labels[short] == k] for k in (0, 1)]
     hard = np.zeros(0, np.int64)  # windows of clean texts that score too high
 
@@ -335,12 +335,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityMod
         chosen = np.concatenate(bags)
         bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         at, real = _grid(numbers, first[chosen], length[chosen], -1)
-        own, inverse = np.unique(at, return_inverse=True)
-        inverse = inverse.reshape(at.shape)
-        if own[0] == -1:
-            own, inverse = own[1:], inverse - 1
-            inverse[inverse < 0] = len(own)
-        picked = Words(words.word[own], *_runs(words, own))
+        picked, inverse = _picked(words, at)
         network.learn(picked, inverse, real, bag, marks, sharp, rate)
 
     rounds = max(EPOCHS, -(-EPOCHS * 600 // max(map(len, pools))))
@@ -348,7 +343,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityMod
         done = epoch / rounds
         if epoch and epoch >= rounds // 2:
             clean = np.flatnonzero(labels[text] == 0)
-            logit = _window_logits(network, words, numbers, first[clean], length[clean], len(distinct))
+            logit = _window_logits(network, words, numbers, first[clean], length[clean])
             hard = clean[logit > -1.0][np.argsort(-logit[logit > -1.0], kind="stable")][:4000]
         most = min(EPOCH_TEXTS, max(map(len, pools)))
         order = [np.concatenate([draw.permutation(p) for _ in range(-(-most // len(p)))])[:most] for p in pools]
@@ -360,9 +355,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityMod
                 bags += [hard[i : i + 1] for i in draw.integers(0, len(hard), BAGS)]
                 marks = np.r_[marks, np.zeros(BAGS, labels.dtype)]
             step(bags, marks.astype(np.float32), 1.0 + 5.0 * done, 0.08 if done < 0.6 else 0.04)
-    model = ToxicityModel(network)
-    model.shift = _cut(model.logits(column)[usable], labels[usable])
-    return model
+    logits = np.full(known, -np.inf, np.float32)
+    np.maximum.at(logits, text, _window_logits(network, words, numbers, first, length))
+    network.seen = {}
+    return ToxicityModel(network, _cut(logits[usable], labels[usable]))
 
 
 def _runs(words: Words, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -372,10 +368,24 @@ def _runs(words: Words, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return words.grams[at], ends - sizes, sizes
 
 
-def _window_logits(network: Network, words: Words, numbers, first, length, pad) -> np.ndarray:
-    gates = network.gates(network.inputs(words))
-    out = [network.forward(gates, *_grid(numbers, first[lo : lo + BLOCK], length[lo : lo + BLOCK], pad)) for lo in range(0, len(first), BLOCK)]
-    return np.concatenate(out) if out else np.zeros(0, np.float32)
+def _picked(words: Words, at: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The words of a grid (-1: padding) and the grid over them, padding last."""
+    own, inverse = np.unique(at, return_inverse=True)
+    inverse = inverse.reshape(at.shape)
+    if own[0] == -1:
+        own, inverse = own[1:], inverse - 1
+        inverse[inverse < 0] = len(own)
+    return Words(words.word[own], *_runs(words, own)), inverse
+
+
+def _window_logits(network: Network, words: Words, numbers, first, length) -> np.ndarray:
+    """Block by block, so that only a block's words have gates at a time."""
+    out = [np.zeros(0, np.float32)]
+    for lo in range(0, len(first), BLOCK):
+        at, real = _grid(numbers, first[lo : lo + BLOCK], length[lo : lo + BLOCK], -1)
+        picked, inverse = _picked(words, at)
+        out.append(network.forward(network.gates(network.inputs(picked)), inverse, real))
+    return np.concatenate(out)
 
 
 def _cut(logits: np.ndarray, labels: np.ndarray) -> float:
