@@ -236,7 +236,7 @@ def _(t: Tables):
 
 @query("c13_series_kmeans")
 def _(t: Tables):
-    return cl.series_kmeans_sweep(ds.series_arrays(resample(t.series_long, "7D")), (2, 3), max_iter=3)
+    return cl.series_kmeans_sweep(weeks(t), (2, 3, 4, 5))
 
 
 # ----------------------------------------------------------------- patterns

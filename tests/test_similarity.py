@@ -229,3 +229,27 @@ def test_silhouette_far_from_the_origin_and_with_many_clusters(spark, monkeypatc
     assert all(abs(a[i] - b[i]) < 1e-4 for i in a) and min(a.values()) < 0.9999
     monkeypatch.setattr(cl, "PACKED", 1)
     assert score(near) == pytest.approx(a)
+
+
+def test_series_kmeans_goes_on_until_centres_rest(spark):
+    # series of one value: soft-DTW is the squared difference; more rounds than the former default of 10
+    x = np.arange(300.0) ** 1.5
+    df = vectors(spark, x[:, None])
+    got = {r.id: r.cluster for r in cl.series_kmeans(df, 5, seed=3).collect()}
+    side = np.array([got[i] for i in range(len(x))])
+    mids = np.array([x[side == c].mean() for c in range(5)])
+    assert (np.abs(x[:, None] - mids).argmin(axis=1) == side).all()
+    with pytest.raises(RuntimeError, match="still move after 10 rounds"):
+        cl.series_kmeans(df, 5, max_iter=10, seed=3)
+
+
+def test_series_kmeans_sweep_tries_two_to_five(spark, monkeypatch):
+    from meterloom.plans import similarity
+    from meterloom.plans.catalog import load
+
+    rng = np.random.default_rng(11)
+    arrays = [rng.normal(10 * (i % 4), 0.1, size=4) for i in range(24)]
+    monkeypatch.setattr(similarity, "weeks", lambda t: vectors(spark, arrays))
+    rows = load()["c13_series_kmeans"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["k"] for r in rows) == [2, 3, 4, 5]
+    assert [r["k"] for r in rows if r["best"]] == [max(rows, key=lambda r: (r["silhouette"], -r["k"]))["k"]]
