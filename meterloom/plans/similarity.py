@@ -208,7 +208,7 @@ def _(t: Tables):
 
 @query("c11_mean_shift")
 def _(t: Tables):
-    return cl.mean_shift(t.features.select("id", "features"), 2.0)
+    return cl.mean_shift(t.features.select("id", "features"))
 
 
 @query("c12_silhouette", sql(f"""

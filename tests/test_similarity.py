@@ -253,3 +253,21 @@ def test_series_kmeans_sweep_tries_two_to_five(spark, monkeypatch):
     rows = load()["c13_series_kmeans"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r["k"] for r in rows) == [2, 3, 4, 5]
     assert [r["k"] for r in rows if r["best"]] == [max(rows, key=lambda r: (r["silhouette"], -r["k"]))["k"]]
+
+
+def test_bandwidth_uses_every_point(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.normal(size=(700, 3)), rng.normal(9, 3, size=(60, 3)), np.zeros((40, 3))])  # some equal
+    gaps = np.sort(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)), axis=1)
+    monkeypatch.setattr(cl, "BLOCK", 100)
+    assert abs(cl.estimate_bandwidth(points(spark, p)) - gaps[:, int(0.3 * len(p)) - 1].mean()) < 1e-9
+    assert abs(cl.estimate_bandwidth(points(spark, p[:700])) - np.sort(np.sqrt(((p[:700, None] - p[None, :700]) ** 2).sum(-1)), axis=1)[:, 209].mean()) < 1e-9
+
+
+def test_mean_shift_query_estimates_its_bandwidth(spark, monkeypatch):
+    from meterloom.plans.catalog import load
+
+    asked = []
+    monkeypatch.setattr(cl, "mean_shift", lambda df, *a, **b: asked.append((a, b)) or df)
+    load()["c11_mean_shift"](spark, "/root/testdata/sf0.001")
+    assert asked == [((), {})]
