@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree. What is never article text (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts, hidden parts) is cut off.
+sidebars, notices, adverts, forms, comments, scripts, hidden parts) is cut off;
+a container whose class or id only suggests that is weighed first (``_settle``).
 Each paragraph then passes points for its length and commas to its ancestors,
 less the further up; a container's points are discounted by the share of its
 text that is links. The best container is kept, with those siblings that score
@@ -26,8 +27,11 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
+RAW = frozenset("script style textarea title noscript iframe template svg xmp noframes".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mstyle mpadded mphantom menclose mtable mtr mtd".split()
+)
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
@@ -35,7 +39,7 @@ CLOSES_P = frozenset(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 #: The search for an open element stops here.
 SCOPE = frozenset("table ul ol dl div article section main aside body html blockquote".split())
-DROPPED = frozenset("nav header footer aside form button select input menu dialog object canvas head figure audio video".split()) | RAW
+DROPPED = frozenset("nav header footer aside form button select input menu dialog object canvas head audio video annotation annotation-xml".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status tooltip".split())
 #: Words of a class or id that tell what is not the article.
 UNLIKELY = frozenset(
@@ -44,9 +48,16 @@ UNLIKELY = frozenset(
     "popup promo promoted promotion recommend recommended related replies reply respond rss share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe "
     "subscription taboola tags toc toolbar topbar trackback widget widgets".split()
 )
+#: A class or id starting with one of these tells what a part has around it, not what it is.
+MODIFIERS = frozenset("has no non not with without".split())
+#: Words of a class or id that tell of the article.
+LIKELY = frozenset("content main article post entry".split())
+#: Containers that are weighed, not cut at once, for the words of their class or id.
+WEIGHED = frozenset("div section table tbody tr td center".split())
 KEPT = frozenset("html body article main".split())
+CUT, DOUBTED, MIXED = 1, 2, 3
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
+PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption".split())
 WORD = re.compile(r"[a-z]+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Starting points of a container by its element.
@@ -55,31 +66,52 @@ NEAR, LEAST_SIBLING = 0.2, 10.0
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "scored", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "score", "scored", "chars", "linked", "doubt")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.score, self.scored, self.chars, self.linked = 0.0, False, 0, 0
+        self.doubt = 0
 
 
-def _unwanted(tag: str, rest: str) -> bool:
-    """By element, role, visibility or the words of class and id."""
+def _named(found: dict[str, str]) -> int:
+    """What class and id tell: 0, ``DOUBTED``, or ``MIXED`` where one name tells of both the article and other parts."""
+    doubted = mixed = False
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = WORD.findall(HUMP.sub(" ", name).lower())
+        if not words or words[0] in MODIFIERS:
+            continue
+        likely = not LIKELY.isdisjoint(words)
+        if UNLIKELY.isdisjoint(words):
+            if likely:
+                return 0
+        elif likely:
+            mixed = True
+        else:
+            doubted = True
+    return MIXED if mixed else DOUBTED if doubted else 0
+
+
+def _unwanted(tag: str, rest: str, names: bool = True) -> int:
+    """0 or ``CUT``, by element, role or visibility; with ``names`` also by the words of class and id, then weighed containers get what ``_named`` says."""
     if tag in DROPPED:
-        return True
-    if not rest or tag in KEPT:
-        return False
+        return CUT
+    if not rest or tag in ("html", "body"):
+        return 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
+    if tag in KEPT:
+        return names and _named(found)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True
+        return CUT
     if "style" in found and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found["style"].lower()):
-        return True
-    named = " ".join(found[k] for k in ("class", "id") if k in found)
-    return bool(named) and tag not in HEADINGS and not UNLIKELY.isdisjoint(WORD.findall(HUMP.sub(" ", named).lower()))
+        return CUT
+    told = _named(found) if names and tag not in HEADINGS else 0
+    return told if tag in WEIGHED else CUT if told else 0
 
 
-def parse(page: str) -> Node:
-    """The page's tree without unwanted parts; unclosed and stray tags are tolerated."""
+def parse(page: str, names: bool = True) -> Node:
+    """The page's tree without unwanted parts; unclosed and stray tags are tolerated. Without ``names``, class and id cut nothing."""
     root = Node("html", None)
     at, here = 0, root
     skipped: list[str] = []  # open elements inside an unwanted one, itself first
@@ -151,14 +183,15 @@ def parse(page: str) -> Node:
             close(ENDS[tag])
         if tag == "html":
             continue
-        unwanted = _unwanted(tag, rest)
-        if unwanted and tag == "header" and inside:
-            unwanted = False  # an article's own header: its headings count
-        if unwanted:
+        unwanted = _unwanted(tag, rest, names)
+        if unwanted == CUT and tag == "header" and inside:
+            unwanted = 0  # an article's own header: its headings count
+        if unwanted == CUT:
             if not rest.rstrip().endswith("/") or tag not in ("input",):
                 skipped.append(tag)
             continue
         node = Node(tag, here)
+        node.doubt = unwanted
         here.children.append(node)
         here = node
         inside += tag in ("article", "main")
@@ -166,6 +199,7 @@ def parse(page: str) -> Node:
         rest_text = page[at:]
         cut = rest_text.find("<") if re.search(r"<[a-zA-Z/!]", rest_text) else -1
         text(rest_text if cut < 0 else rest_text[:cut])
+    _settle(root)
     return root
 
 
@@ -181,6 +215,7 @@ def _order(root: Node) -> list[Node]:
 
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
+        node.chars = node.linked = 0
         for c in node.children:
             if isinstance(c, Node):
                 node.chars += c.chars
@@ -207,10 +242,12 @@ def _own_text(node: Node) -> str:
     return " ".join("".join(parts).split())
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The best container and the siblings kept with it, in page order."""
+def _best(root: Node) -> tuple[Node | None, float]:
+    """The container with the best score."""
     nodes = _order(root)
     _measure(nodes)
+    for node in nodes:
+        node.score, node.scored = 0.0, False
     for node in nodes:
         direct = node.tag in PARAGRAPHS or node.tag not in INLINE and any(isinstance(c, str) and c.strip() for c in node.children)
         if not direct or node is root or node.tag in HEADINGS:
@@ -231,6 +268,62 @@ def main_nodes(root: Node) -> list[Node]:
             node.score *= 1 - _density(node)
             if node.score > best_score and node.tag not in INLINE:
                 best, best_score = node, node.score
+    return best, best_score
+
+
+def _without(nodes: list[Node]) -> dict[int, tuple[Node, list]]:
+    """Take nodes out of the tree; the former children of their parents."""
+    gone = {id(n) for n in nodes}
+    before = {id(n.parent): (n.parent, n.parent.children) for n in nodes}
+    for parent, children in before.values():
+        parent.children = [c for c in children if id(c) not in gone]
+    return before
+
+
+def _settle(root: Node) -> None:
+    """Decide about the containers that class or id make doubtful.
+
+    One around the page's main element stays, or around its articles if no
+    undoubted article or main stands outside such containers. Of the others
+    those with doubtful names only are taken out; one whose name also tells of
+    the article stays if it holds the best container, or if without such ones
+    less than half of the page's unlinked text would be left.
+    """
+    nodes = _order(root)
+    doubts = [n for n in nodes if n.doubt and n.tag not in KEPT]
+    if not doubts:
+        return
+    under: dict[int, Node | None] = {}  # the nearest doubtful container around
+    for n in nodes:
+        up = n.parent
+        under[id(n)] = None if up is None else up if up.doubt and up.tag not in KEPT else under[id(up)]
+    named = [n for n in nodes if n.tag == "main" or n.tag == "article" and not n.doubt]
+    free = any(under[id(n)] is None for n in named)
+    stays: set[int] = set()
+    for n in named:
+        if n.tag == "main" or not free:
+            up = under[id(n)]
+            while up is not None and id(up) not in stays:
+                stays.add(id(up))
+                up = under[id(up)]
+    _without([n for n in doubts if n.doubt == DOUBTED and id(n) not in stays])
+    if not any(n.doubt == MIXED and id(n) not in stays for n in doubts):
+        return
+    up, _ = _best(root)
+    whole = root.chars - root.linked
+    while up is not None:
+        stays.add(id(up))
+        up = up.parent
+    before = _without([n for n in _order(root) if n.doubt == MIXED and n.tag not in KEPT and id(n) not in stays])
+    _measure(_order(root))
+    if 2 * (root.chars - root.linked) < whole:
+        for parent, children in before.values():
+            parent.children = children
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The best container and the siblings kept with it, in page order."""
+    best, best_score = _best(root)
     if best is None:
         return [root]
     up = best
@@ -276,7 +369,7 @@ def blocks(node: Node) -> Iterator[str]:
                 continue
             if item.tag not in INLINE:
                 todo.append(None)
-            if item.tag in ("td", "th"):
+            if item.tag in ("td", "th", "mtd"):
                 parts.append(" ")
             todo.extend(reversed(item.children))
     said = " ".join("".join(parts).split())
@@ -288,7 +381,11 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line; empty if there is none."""
     if not page:
         return ""
-    return "\n\n".join(b for node in main_nodes(parse(page)) for b in blocks(node))
+    for names in (True, False):  # again without the class filter if it leaves nothing
+        said = "\n\n".join(b for node in main_nodes(parse(page, names)) for b in blocks(node))
+        if said:
+            break
+    return said
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -454,3 +454,29 @@ def test_main_text(spark):
     got = collections.Counter(map(tuple, html_text.extract(pages).collect()))
     assert got == collections.Counter([(1, "u", want, len(want))] * 2 + [(2, None, "", 0), (3, "v", "", 0), (None, "w", "x", 1)])
     assert html_text.extract(pages.where("false")).count() == 0
+
+
+BODY = "<p>First paragraph, with commas, and more words, for a while.</p><p>Second paragraph, also with commas, and some words.</p>"
+SAID = "First paragraph, with commas, and more words, for a while.\n\nSecond paragraph, also with commas, and some words."
+ASIDE = "<div class='sidebar'><p>Side, side, side.</p></div>"
+
+
+def test_main_text_keeps_figures_and_formulas():
+    page = f"<body><article>{BODY}<figure><table><tr><td>a</td><td>b</td></tr></table><blockquote>said</blockquote><figcaption>Caption</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.</p></article></body>"
+    assert html_text.main_text(page) == SAID + "\n\na b\n\nsaid\n\nCaption\n\nSo x=2."
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "page has-sidebar", "no-comments", "with-header", "post sidebar-left", "hasSidebar"])
+def test_main_text_inside_containers_named_for_their_surroundings(name):
+    for body in (BODY, f"<article>{BODY}</article>", f"<main>{BODY}</main>"):
+        page = f"<body><div class='{name}'>{body}</div>{ASIDE}<div><p>Elsewhere</p></div></body>"
+        assert html_text.main_text(page) == SAID
+
+
+def test_main_text_weighs_doubtful_containers():
+    assert html_text.main_text(f"<body><div class='sidebar-layout'><main>{BODY}</main></div>{ASIDE}</body>") == SAID
+    assert html_text.main_text(f"<body><div class='widget'>{BODY}</div></body>") == SAID  # nothing else is left
+    comments = "<section class='comments'><article class='comment'><p>I, too, think so.</p></article><article><p>And I, I do not.</p></article></section>"
+    for more in (comments, "<div class='post-comments'><p>Well, yes, and no, and so on.</p></div>", "<div class='related-posts'><article><p>Other, other.</p></article></div>"):
+        assert html_text.main_text(f"<body><article>{BODY}{more}</article></body>") == SAID
+        assert html_text.main_text(f"<body><div class='content'>{BODY}{more}</div></body>") == SAID or "<article>" in more
