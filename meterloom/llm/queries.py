@@ -90,7 +90,26 @@ def op10_packing(spark, folder):
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_lattice_lm, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_cover_tree, op7_substring_dedup, op8_toxicity, op9_html, op10_packing)}
+def op11_lexical(spark, folder):
+    from meterloom.llm.lexical import ranked_search
+
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_whitening(spark, folder):
+    from meterloom.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op13_line_dedup(spark, folder):
+    from meterloom.llm.line_dedup import line_dedup
+
+    done = line_dedup(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_lattice_lm, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_cover_tree, op7_substring_dedup, op8_toxicity, op9_html, op10_packing, op11_lexical, op12_whitening, op13_line_dedup)}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -113,5 +132,42 @@ WITH v AS (
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+""",
+    "op11_lexical": r"""
+WITH words AS (
+    SELECT row_number() OVER () AS doc, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), asked AS (
+    SELECT item, item_id, unnest(list_distinct(terms)) AS term FROM (
+        SELECT row_number() OVER () AS item, item_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM benchmark)
+), totals AS (
+    SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM words WHERE len(terms) > 0
+), tf AS (
+    SELECT doc, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+    FROM (SELECT doc, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM words) GROUP BY doc, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term
+), scores AS (
+    SELECT item, any_value(item_id) AS item_id, doc, any_value(doc_id) AS doc_id,
+        CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // all_terms)))) AS BIGINT) AS score
+    FROM asked JOIN tf USING (term) JOIN weights USING (term), totals GROUP BY item, doc
+)
+SELECT item_id, CAST(row_number() OVER p AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW p AS (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER p <= 10
+""",
+    "op13_line_dedup": r"""
+WITH lines AS (
+    SELECT doc, doc_id, place, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place
+        FROM (SELECT row_number() OVER () AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), often AS (
+    SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(often.key) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN often USING (key) GROUP BY doc
 """,
 }
