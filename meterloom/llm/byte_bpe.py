@@ -10,14 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 
 from meterloom.llm.common import prepare, slices, texts
 
-#: Pre-tokens remembered by a worker before it starts afresh.
-MEMO = 300_000
+#: Words in each of the two generations that a worker remembers.
+MEMO = 400_000
 #: Displacements tried at once.
 TRIES = 256
 
@@ -29,6 +30,9 @@ LATIN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 BEYOND = re.compile(r"[^\x00-\xff]")
+#: Bytes after a blank that surely begin no further white space. Whatever stands before such a blank, a pre-token
+#: begins with it, so a text's pre-tokens are those of its parts between such blanks.
+_CUTS = np.array([b > 0x20 and b != 0x7F and b not in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -100,9 +104,16 @@ class Codec:
         self._setup()
 
     def _setup(self) -> None:
-        self.ranks = {t: i for i, t in enumerate(self.tokens)}
+        self.ranks = ranks = {t: i for i, t in enumerate(self.tokens)}
         self.any_text = regex.compile(self.pattern)
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo: dict[str, tuple[bytes, int, bytes]] = {}
+        self.older = self.memo
+        # what two neighbouring tokens become: the left one's id above the right one's
+        self.bits = len(self.tokens).bit_length()
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.joins = {
+            ranks[t[:k]] << self.bits | ranks[t[k:]]: i for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
+        }
 
     def __getstate__(self):
         return {"tokens": self.tokens, "pattern": self.pattern, "perfect": self.perfect}
@@ -116,25 +127,31 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals: a heap of pairs over a linked list of bytes."""
-        ranks, n = self.ranks, len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        joined, bits, n = self.joins.get, self.bits, len(piece)
+        ids = [self.single[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, i, pair) for i in range(n - 1) if (rank := ranks.get(pair := piece[i : i + 2])) is not None]
+        waits = [joined(a << bits | b) for a, b in zip(ids, ids[1:])]  # what each pair would become
+        heap = [rank << 32 | i for i, rank in enumerate(waits) if rank is not None]
+        waits.append(None)
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
-            j = after[i] if part[i] is not None else n
-            if j >= n or part[i] + part[j] != pair:
+            top = heapq.heappop(heap)
+            i, rank = top & 0xFFFFFFFF, top >> 32
+            if waits[i] != rank:
                 continue  # one side has changed since
-            part[i], part[j] = pair, None
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], ids[j], waits[j], waits[i] = rank, -1, None, None
             if k < n:
                 before[k] = i
-                if (rank := ranks.get(new := pair + part[k])) is not None:
-                    heapq.heappush(heap, (rank, i, new))
-            if (h := before[i]) >= 0 and (rank := ranks.get(new := part[h] + pair)) is not None:
-                heapq.heappush(heap, (rank, h, new))
-        return [ranks[p] for p in part if p is not None]
+                waits[i] = new = joined(rank << bits | ids[k])
+                if new is not None:
+                    heapq.heappush(heap, new << 32 | i)
+            if (h := before[i]) >= 0:
+                waits[h] = new = joined(ids[h] << bits | rank)
+                if new is not None:
+                    heapq.heappush(heap, new << 32 | h)
+        return [i for i in ids if i >= 0]
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each pre-token: the perfect hash first, the heap for what it misses."""
@@ -150,31 +167,57 @@ class Codec:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
-    def recall(self, pieces: list[str]) -> list[tuple[str, int, bytes]]:
-        """Ids as text, their count and the decoded bytes, from the worker's memory where it has them."""
+    def recall(self, words: list[str]) -> list[tuple[bytes, int, bytes]]:
+        """Ids as text, their count and the decoded bytes of each word, from the worker's memory where it has them."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = [p for p in pieces if p not in memo]
-        for p, ids in zip(new, self.encode_pieces(new)):
-            memo[p] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        return [memo[p] for p in pieces]
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new = []
+        for w in words:
+            if w not in memo:
+                if w in older:
+                    memo[w] = older[w]
+                else:
+                    new.append(w)
+        split = [self.split(w) for w in new]
+        pieces = list(dict.fromkeys([p for own in split for p in own]))
+        ids_of = dict(zip(pieces, self.encode_pieces(pieces)))
+        for w, own in zip(new, split):
+            ids = ids_of[own[0]] if len(own) == 1 else [i for p in own for i in ids_of[p]]
+            memo[w] = (" ".join(map(str, ids)).encode(), len(ids), self.decode(ids))
+        return [memo[w] for w in words]
 
 
 def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _documents(made: Codec, column: pa.Array):
-    """Per text: its pre-tokens' memory entries."""
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A text column's parts between blanks where pre-tokens surely begin, and the number of the first part of each text."""
+    column = pa.concat_arrays([column])
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[: len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[: ends[-1]]
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[: len(data) - 1] = (data[:-1] == 0x20) & _CUTS[data[1:]]
+    cut[ends[1:][ends[1:] > 0] - 1] &= data[ends[1:][ends[1:] > 0] - 1] != 0x20  # a text's last byte is followed by no byte of its own
+    cut[ends] = True
+    starts = np.flatnonzero(cut).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data))
+    return words, np.searchsorted(starts, ends).astype(np.int32)
+
+
+def _documents(made: Codec, column: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Slice by slice, per text: its ids joined by blanks, the decoded bytes, the number of ids."""
     for lo, hi in slices(column):
-        split = [made.split(t) for t in column.slice(lo, hi - lo).to_pylist()]
-        coded = pa.array([p for s in split for p in s], pa.string()).dictionary_encode()
-        known = made.recall(coded.dictionary.to_pylist())
-        at, start = coded.indices.to_pylist(), 0
-        for s in split:
-            yield [known[i] for i in at[start : start + len(s)]]
-            start += len(s)
+        words, first = _words(column.slice(lo, hi - lo))
+        coded = words.dictionary_encode()
+        text, count, raw = zip(*made.recall(coded.dictionary.to_pylist())) if len(words) else ((), (), ())
+
+        def joined(values: pa.Array, by: bytes) -> pa.Array:
+            return pc.binary_join(pa.ListArray.from_arrays(first, values.take(coded.indices)), pa.scalar(by, pa.large_binary()))
+
+        total = np.concatenate([[0], np.cumsum(np.array(count, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)])])
+        yield joined(pa.array(text, pa.large_binary()), b" "), joined(pa.array(raw, pa.large_binary()), b""), np.diff(total[first])
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,9 +230,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, decoded = [], []
-            for entries in _documents(made.value, batch.column(1)):
-                ids.append([int(i) for text, _, _ in entries for i in text.split()])
-                decoded.append(made.value.decode(ids[-1]))
+            for texts_of_ids, raw, _ in _documents(made.value, batch.column(1)):
+                ids += [np.array(t.split(), dtype=np.int32) for t in texts_of_ids.to_pylist()]
+                decoded += raw.to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -203,10 +246,10 @@ def encode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         sha = hashlib.sha256
         for batch in batches:
             count, ids, decoded = [], [], []
-            for entries in _documents(made.value, batch.column(1)):
-                count.append(sum([n for _, n, _ in entries]))
-                ids.append(sha(" ".join([t for t, _, _ in entries]).encode()).hexdigest())
-                decoded.append(sha(b"".join([d for _, _, d in entries])).hexdigest())
+            for texts_of_ids, raw, n in _documents(made.value, batch.column(1)):
+                count += n.tolist()
+                ids += [sha(t).hexdigest() for t in texts_of_ids.to_pylist()]
+                decoded += [sha(d).hexdigest() for d in raw.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
