@@ -104,12 +104,11 @@ class WordTokens:
         """Ids of each text."""
         for lo, hi in slices(column):
             split = pc.ascii_split_whitespace(column.slice(lo, hi - lo))
-            ends = np.cumsum([0, *pc.list_value_length(split).to_pylist()]).tolist()
             coded = split.flatten().dictionary_encode()
-            known = self.of(coded.dictionary.to_pylist())
-            at = coded.indices.to_pylist()
-            for a, b in zip(ends, ends[1:]):
-                yield b"".join([known[i] for i in at[a:b]])
+            known = pa.array(self.of(coded.dictionary.to_pylist()), pa.large_binary())
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            words = pa.ListArray.from_arrays(ends, known.take(coded.indices))
+            yield from pc.binary_join(words, pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
