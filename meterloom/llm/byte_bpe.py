@@ -1,4 +1,10 @@
-"""Byte-level BPE: whole pre-tokens through a minimal perfect hash, the rest by a heap over linked bytes."""
+"""Byte-level BPE: whole pre-tokens through a minimal perfect hash, the rest by a heap over linked bytes.
+
+Misses are merged side by side: each has a row of linked bytes and a heap in the
+form of an implicit binary tree over its pairs, whose root is the pair of lowest
+rank, leftmost among equals. A round merges every row's root and repairs the
+paths of the three pairs it changes. Long pieces have a heap of their own.
+"""
 
 from __future__ import annotations
 
@@ -19,9 +25,16 @@ from meterloom.llm.common import prepare, slices, texts
 
 #: Words in each of the two generations that a worker remembers.
 MEMO = 400_000
+#: Longest piece, in bytes, that is merged in a row beside others; rows merged at once.
+ROW_BYTES = 64
+ROWS = 1 << 14
 #: Displacements tried at once.
 TRIES = 256
 
+#: Bits of a position in a row, and a rank above all others.
+POSITION = 7
+NEVER = 1 << 40
+
 # The pre-token pattern's classes within Latin-1, where the built-in regex module can apply them.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -114,6 +127,9 @@ class Codec:
         self.joins = {
             ranks[t[:k]] << self.bits | ranks[t[k:]]: i for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         }
+        self.spelled = [b"%d" % i for i in range(len(self.tokens))]
+        order = np.array(sorted(self.joins), dtype=np.int64)
+        self.pairs, self.become = order, np.array([self.joins[k] for k in order.tolist()], dtype=np.int64)
 
     def __getstate__(self):
         return {"tokens": self.tokens, "pattern": self.pattern, "perfect": self.perfect}
@@ -153,12 +169,78 @@ class Codec:
                     heapq.heappush(heap, new << 32 | h)
         return [i for i in ids if i >= 0]
 
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair of neighbours becomes, ``NEVER`` for none; an id below 0 stands for no neighbour."""
+        key = np.where((left < 0) | (right < 0), -1, left << self.bits | right)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.become[at], NEVER)
+
+    def merge_rows(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merge`` of many pieces of at most ``ROW_BYTES`` bytes."""
+        size = np.array([len(p) for p in pieces])
+        width = max(2, 1 << (int(size.max()) - 1).bit_length())  # leaves: one per pair, and the last byte's, which waits for nothing
+        rows = np.arange(len(pieces))
+        inside = np.arange(width) < size[:, None]
+        ids = np.full((len(pieces), width + 1), -1, dtype=np.int64)  # the last column: no neighbour
+        ids[:, :-1][inside] = np.array(self.single, dtype=np.int64)[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        after = np.broadcast_to(np.arange(1, width + 2), ids.shape).copy()
+        after[rows, size - 1] = width
+        before = np.broadcast_to(np.arange(-1, width), ids.shape).copy()
+        before[:, 0] = width
+        place = np.arange(width)
+        heap = np.full((len(pieces), 2 * width), NEVER << POSITION, dtype=np.int64)
+        heap[:, width:] = self._joined(ids[:, :-1], ids[:, 1:]) << POSITION | place
+        for parent in range(width - 1, 0, -1):
+            heap[:, parent] = np.minimum(heap[:, 2 * parent], heap[:, 2 * parent + 1])
+        levels = width.bit_length() - 1
+        while True:
+            rows = rows[heap[rows, 1] < NEVER << POSITION]
+            if not len(rows):
+                break
+            top = heap[rows, 1]
+            i, rank = top & ((1 << POSITION) - 1), top >> POSITION
+            j = after[rows, i]
+            k = after[rows, j]
+            h = before[rows, i]
+            ids[rows, i], ids[rows, j], after[rows, i], before[rows, k] = rank, -1, k, i
+            heap[rows, width + j] = NEVER << POSITION
+            heap[rows, width + i] = self._joined(rank, ids[rows, k]) << POSITION | i
+            known = h < width
+            back, own = h[known], rows[known]
+            heap[own, width + back] = self._joined(ids[own, back], rank[known]) << POSITION | back
+            i, j = i + width, j + width
+            h = np.where(known, h + width, i)
+            for _ in range(levels):
+                i, j, h = i >> 1, j >> 1, h >> 1
+                for at in (i, j, h):
+                    heap[rows, at] = np.minimum(heap[rows, 2 * at], heap[rows, 2 * at + 1])
+        left = ids[:, :-1] >= 0
+        flat, ends = ids[:, :-1][left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merge`` of each, short ones of like length in rows."""
+        out: list[list[int]] = [[]] * len(pieces)
+        order = sorted((len(p), i) for i, p in enumerate(pieces) if len(p) <= ROW_BYTES)
+        for limit in (8, 16, 32, ROW_BYTES):
+            own = [i for n, i in order if limit // 2 < n <= limit or (limit == 8 and n <= 4)]
+            for start in range(0, len(own), ROWS):
+                part = own[start : start + ROWS]
+                for i, ids in zip(part, self.merge_rows([pieces[i] for i in part])):
+                    out[i] = ids
+        for i, p in enumerate(pieces):
+            if len(p) > ROW_BYTES:
+                out[i] = self.merge(p)
+        return out
+
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each pre-token: the perfect hash first, the heap for what it misses."""
         raw = [p.encode() for p in pieces]
         found = self.perfect.find(np.array([xxhash.xxh3_64_intdigest(r) for r in raw], dtype=np.uint64)).tolist()
-        tokens, merge = self.tokens, self.merge
-        return [[i] if i >= 0 and tokens[i] == r else merge(r) for i, r in zip(found, raw)]
+        tokens = self.tokens
+        known = [i >= 0 and tokens[i] == r for i, r in zip(found, raw)]
+        merged = iter(self.merge_all([r for r, hit in zip(raw, known) if not hit]))
+        return [[i] if hit else next(merged) for i, hit in zip(found, known)]
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_pieces(self.split(text)) for i in ids]
@@ -182,9 +264,10 @@ class Codec:
         split = [self.split(w) for w in new]
         pieces = list(dict.fromkeys([p for own in split for p in own]))
         ids_of = dict(zip(pieces, self.encode_pieces(pieces)))
+        spelled, tokens = self.spelled, self.tokens
         for w, own in zip(new, split):
             ids = ids_of[own[0]] if len(own) == 1 else [i for p in own for i in ids_of[p]]
-            memo[w] = (" ".join(map(str, ids)).encode(), len(ids), self.decode(ids))
+            memo[w] = (b" ".join([spelled[i] for i in ids]), len(ids), b"".join([tokens[i] for i in ids]))
         return [memo[w] for w in words]
 
 

@@ -40,3 +40,11 @@ def test_documents_match_library(made, monkeypatch):
     got = [(t, d, n) for _ in range(2) for ids, raw, count in byte_bpe._documents(made, column) for t, d, n in zip(ids.to_pylist(), raw.to_pylist(), count.tolist())]
     want = [(" ".join(map(str, ids)).encode(), t.encode(), len(ids)) for t in texts for ids in [library.encode_ordinary(t)]]
     assert got == want * 2
+
+
+def test_merges_in_rows_match_single_heaps(made):
+    draw = random.Random(13)
+    alphabet = [b"a", b"b", b"e", b"t", b"h", b" ", b"in", b"the", b"tion", b"\xc3\xa9", b"\xff", b"0"]
+    pieces = [b"".join(draw.choices(alphabet, k=draw.randint(1, 40)))[: draw.randint(1, 90)] for _ in range(4000)] + [b"a" * n for n in range(1, 100)]
+    assert made.merge_all(pieces) == [made.merge(p) for p in pieces]
+    assert made.merge_all([]) == []
