@@ -5,7 +5,9 @@ or more; the tasks' filters are merged cell by cell, a cell met once here and
 once there counting as met twice. A line whose two cells are not both in the
 twice-seen filter stands in one document only and goes no further. Only the
 others, the suspected repeats, are shuffled, by a 128-bit digest, for the exact
-count of their documents and the choice of the first.
+count of their documents and the choice of the first. The lines to drop are sent
+to the tasks that read the documents again, so no text is shuffled, as long as
+they are few; otherwise each row is joined with its own.
 
 A filter holds at most ``RANGE_KEYS`` lines, so what is broadcast is bounded:
 more lines are dealt into ranges of their digests, each with filters of its own.
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from meterloom.llm.common import BLANKS, attach, prepare, slices, texts
 from meterloom.session import cut, shared_path
 
+#: Repeated keys that are sent to the tasks (a few MB); more are joined to the rows that hold them.
+SENT_KEYS = 1 << 17
 #: Lines in one pair of filters; the twice-seen one has 2 x CELLS_PER_KEY bits a line (32 MB in all).
 RANGE_KEYS = 1 << 24
 CELLS_PER_KEY = 8
@@ -215,7 +219,8 @@ def suspected_repeats(keys: DataFrame, range_keys: int = RANGE_KEYS) -> DataFram
 
 
 def line_dedup(
-    docs: DataFrame, min_docs: int = 10, least: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", range_keys: int = RANGE_KEYS
+    docs: DataFrame, min_docs: int = 10, least: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text",
+    range_keys: int = RANGE_KEYS, sent_keys: int = SENT_KEYS,
 ) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped``: each document without the lines that at least ``min_docs`` documents hold.
 
@@ -230,25 +235,35 @@ def line_dedup(
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     rows = texts(docs, id_col, text_col)
     suspects = suspected_repeats(cut(line_keys(rows, least)), range_keys)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     groups = cut(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where(F.col("n") >= min_docs))
+    if groups.count() <= sent_keys:
+        return _dropped(_with_row(rows), least, spark.sparkContext.broadcast({bytes(r["key"]): (r["first"]["row"] if keep == "first" else None) for r in groups.collect()}))
     hit = attach(suspects, groups, "key", "n")
     spared = F.col("row").eqNullSafe(F.col("first.row")) & F.lit(keep == "first")
     # a document's own lines: as bounded as its text
     lost = cut(hit.groupBy("row").agg(F.collect_set(F.when(~spared, F.col("key"))).alias("lost"), F.collect_set(F.when(spared, F.col("key"))).alias("spared")))
+    return _dropped(_with_row(rows).join(lost, "row", "left").select("doc_id", "row", "text", "lost", "spared"), least, None)
+
+
+def _dropped(rows: DataFrame, least: int, shared) -> DataFrame:
+    """The result for ``rows`` with their own lost and spared keys, or with all of them in ``shared``: key to the row that keeps its first, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = shared.value if shared is not None else None
         for batch in batches:
-            column = batch.column(1)
-            for lo, hi in slices(column):
+            for lo, hi in slices(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
                 kept, before, dropped = [], [], []
-                for text, gone, once in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                texts_of = part.column(2).cast(pa.binary()).to_pylist()
+                own = zip(part.column(3).to_pylist(), part.column(4).to_pylist()) if every is None else zip(part.column(1).field(0).to_pylist(), part.column(1).field(1).to_pylist())
+                for text, (one, two) in zip(texts_of, own):
                     lines = text.split(b"\n")
-                    stay = _stay(lines, set(gone or ()), set(once or ()), least) if gone or once else lines
+                    stay = _stay(lines, least, set(one or ()), set(two or ())) if every is None else _rest(lines, least, every, (one, two))
                     kept.append(b"\n".join(stay))
                     before.append(len(lines))
                     dropped.append(len(lines) - len(stay))
@@ -257,12 +272,20 @@ def line_dedup(
                     ["doc_id", "text", "n_lines", "n_dropped"],
                 )
 
-    joined = _with_row(rows).join(lost, "row", "left").select("doc_id", "text", "lost", "spared")
-    return joined.mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
+    return rows.mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
+
+
+def _rest(lines: list[bytes], least: int, every: dict, row: tuple[int, int]) -> list[bytes]:
+    """The lines whose key is not in ``every``; of a key whose first is in this ``row``, the first."""
+    gone = {k for k in (_key(line, least) for line in lines) if k in every}
+    once = {k for k in gone if every[k] == row}
+    return _stay(lines, least, gone - once, once) if gone else lines
 
 
-def _stay(lines: list[bytes], gone: set[bytes], once: set[bytes], least: int) -> list[bytes]:
-    """The lines whose key is not ``gone``; of a key in ``once`` the first."""
+def _stay(lines: list[bytes], least: int, gone: set[bytes], once: set[bytes]) -> list[bytes]:
+    """The lines whose key is not in ``gone``; of a key in ``once`` the first."""
+    if not gone and not once:
+        return lines
     out, left = [], set(once)
     for line in lines:
         key = _key(line, least)

@@ -61,11 +61,12 @@ def line_rows():
     return rows
 
 
+@pytest.mark.parametrize("sent", [1 << 17, 0])
 @pytest.mark.parametrize("min_docs, least, keep, range_keys", [(10, 1, "none", 1 << 24), (3, 1, "first", 1 << 24), (10, 2, "none", 100), (2, 12, "first", 50)])
-def test_lines(spark, min_docs, least, keep, range_keys):
+def test_lines(spark, min_docs, least, keep, range_keys, sent):
     rows = line_rows()
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
-    got = line_dedup.line_dedup(df, min_docs, least, keep, range_keys=range_keys).collect()
+    got = line_dedup.line_dedup(df, min_docs, least, keep, range_keys=range_keys, sent_keys=sent).collect()
     assert sorted((tuple(r) for r in got), key=repr) == lines_brute(rows, min_docs, least, keep)
 
 
