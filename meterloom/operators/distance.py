@@ -39,14 +39,12 @@ def series_dataset(series: DataFrame) -> DataFrame:
     return arrays.withColumn("values", F.concat("values", padding))
 
 
-def dtw_matrix(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Full distance matrix as edges ``a < b`` of ``id, values``, per key: ``keys, a, b, dist``.
+def _tiles(df: DataFrame, keys: list[str]):
+    """Pairs of blocks of about ``TILE`` series of one key: the rows of each tile, and a kernel for one tile.
 
-    Series are hashed to blocks; each pair of blocks is one tile of at most
-    about ``TILE`` x ``TILE`` distances, so tiles spread over all tasks and a
-    vector is shipped once per block, not once per pair.
+    Series are hashed to blocks, so tiles spread over all tasks and an array is
+    shipped once per block, not once per pair.
     """
-    keys = list(keys)
     df = cut(df)  # read for the count and for the tiles
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-largest // TILE))
@@ -58,11 +56,10 @@ def dtw_matrix(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .withColumn("_i", F.least("_b", "_o"))
         .withColumn("_j", F.greatest("_b", "_o"))
     )
-    kind = df.schema["id"].dataType.simpleString()
-    head = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, owner = pdf["id"].to_numpy(), pdf["_b"].to_numpy()
+    def measured(pdf: pd.DataFrame):
+        """Places of both ends of every pair, their distances, and the places of the two sides."""
+        owner = pdf["_b"].to_numpy()
         left = np.flatnonzero(owner == pdf["_i"].iloc[0])
         right = np.flatnonzero(owner == pdf["_j"].iloc[0])
         if pdf["_i"].iloc[0] == pdf["_j"].iloc[0]:
@@ -71,7 +68,22 @@ def dtw_matrix(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             p, q = (g.ravel() for g in np.indices((len(left), len(right))))
         a, b = left[p], right[q]
         dist = kernels.by_lengths(pdf["values"].iloc[a].reset_index(drop=True), pdf["values"].iloc[b].reset_index(drop=True), kernels.dtw_pairs)
-        out = pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "dist": dist.to_numpy(dtype=float)})
+        return a, b, dist.to_numpy(dtype=float)
+
+    return tiles, measured
+
+
+def dtw_matrix(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Full distance matrix as edges ``a < b`` of ``id, values``, per key: ``keys, a, b, dist``."""
+    keys = list(keys)
+    tiles, measured = _tiles(df, keys)
+    kind = df.schema["id"].dataType.simpleString()
+    head = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        a, b, dist = measured(pdf)
+        out = pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "dist": dist})
         for k in keys:
             out.insert(0, k, pdf[k].iloc[0])
         return out[[*keys, "a", "b", "dist"]]
@@ -79,6 +91,28 @@ def dtw_matrix(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return tiles.groupBy(*keys, "_i", "_j").applyInPandas(tile, f"{head}a {kind}, b {kind}, dist double")
 
 
+def dtw_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Full distance matrix as packed rows ``keys, node, others, dists``: a row per series and tile, not one per pair."""
+    keys = list(keys)
+    tiles, measured = _tiles(df, keys)
+    kind = df.schema["id"].dataType.simpleString()
+    head = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        a, b, dist = measured(pdf)
+        ends, far = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(ends, kind="stable")
+        nodes, starts = np.unique(ends[order], return_index=True)
+        split = lambda v: np.split(v[order], starts[1:]) if len(nodes) else []
+        out = pd.DataFrame({"node": ids[nodes], "others": split(ids[far]), "dists": split(np.concatenate([dist, dist]))})
+        for k in keys:
+            out.insert(0, k, pdf[k].iloc[0])
+        return out[[*keys, "node", "others", "dists"]]
+
+    return tiles.groupBy(*keys, "_i", "_j").applyInPandas(tile, f"{head}node {kind}, others array<{kind}>, dists array<double>")
+
+
 def copies(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Each distinct array once: ``keys, values, id`` (the smallest) and ``copies``."""
     return df.groupBy(*keys, "values").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))

@@ -144,21 +144,87 @@ def _(t: Tables):
 
 # ----------------------------------------------------------------- clusters
 
+def scaled(arrays):
+    """Every position scaled to the unit interval over all meters."""
+    return w.minmax_by_position(arrays, w.position_ranges(arrays, ()), ())
+
+
 @query("c5_agglomerate_threshold")
 def _(t: Tables):
-    whole = weeks(t)
-    scaled = w.minmax_by_position(whole, w.position_ranges(whole, ()), ())
-    return cl.agglomerate(ds.dtw_matrix(scaled), threshold=2.0)
+    whole = cut(weeks(t))
+    return cl.agglomerate(ds.dtw_rows(scaled(whole)), threshold=2.0, nodes=whole)
 
 
 @query("c6_agglomerate_k")
 def _(t: Tables):
-    return cl.agglomerate(ds.dtw_matrix(weeks(t)), k=10)
+    whole = cut(weeks(t))
+    return cl.agglomerate(ds.dtw_rows(whole), k=10, nodes=whole)
 
 
 @query("c7_linkage_table")
 def _(t: Tables):
-    return cl.linkage_table(ds.dtw_matrix(weeks(t)))
+    return cl.linkage_table(ds.dtw_rows(weeks(t)))
+
+
+#: One merge per step: ``state`` holds the open edges before each, ``merged`` the closest of them.
+LINKAGE = {
+    "state": """SELECT 0 AS step, k.a AS a, k.b AS b, dist AS s, 1 AS na, 1 AS nb FROM measured
+      UNION ALL
+      SELECT step + 1, least(x, y) AS a, greatest(x, y) AS b, sum(s) AS s, any_value(CASE WHEN x < y THEN nx ELSE ny END), any_value(CASE WHEN x < y THEN ny ELSE nx END) FROM (
+        SELECT step, s, CASE WHEN a = p.b THEN p.a ELSE a END AS x, CASE WHEN b = p.b THEN p.a ELSE b END AS y,
+          CASE WHEN a IN (p.a, p.b) THEN p.n ELSE na END AS nx, CASE WHEN b IN (p.a, p.b) THEN p.n ELSE nb END AS ny
+        FROM (SELECT *, min({'d': s / (na * nb), 'a': a, 'b': b, 'n': na + nb}) OVER () AS p FROM state)) WHERE x <> y GROUP BY 1, 2, 3""",
+    "merged": "SELECT step, p.a AS a, p.b AS b, p.d AS dist, p.n AS n FROM (SELECT step, min({'d': s / (na * nb), 'a': a, 'b': b, 'n': na + nb}) AS p FROM state GROUP BY 1)",
+}
+
+
+def once(text: str) -> str:
+    """The merges are found once, not in every step of the climb."""
+    return text.replace("kept AS (", "kept AS MATERIALIZED (")
+
+
+def linkage_labels(kept: str) -> dict[str, str]:
+    """``labels``: every meter with the smallest of its cluster after the merges of ``kept``."""
+    return {
+        **LINKAGE,
+        "kept": kept,
+        "climb": "SELECT id, id AS top FROM curves UNION ALL SELECT climb.id, kept.a FROM climb JOIN kept ON kept.b = climb.top",
+        "labels": "SELECT id, min(top) AS cluster FROM climb GROUP BY 1",
+    }
+
+
+FLAT = {
+    "bounds": "SELECT pos, min(v) AS lo, max(v) AS hi FROM (SELECT unnest(vals) AS v, generate_subscripts(vals, 1) AS pos FROM curves) GROUP BY 1",
+    "scaled": """SELECT id, list(CASE WHEN hi = lo THEN 0 ELSE (v - lo) / (hi - lo) END ORDER BY pos) AS vals
+      FROM (SELECT id, unnest(vals) AS v, generate_subscripts(vals, 1) AS pos FROM curves) JOIN bounds USING (pos) GROUP BY 1""",
+    "pairs": "SELECT {'a': p.id, 'b': q.id} AS k, p.vals AS x, q.vals AS y FROM scaled p JOIN scaled q ON p.id < q.id",
+}
+LINKED = 1.1
+
+
+@query("c5_agglomerate_threshold_months", once(recursive(sql("SELECT id, cluster FROM labels", "series_long",
+    months=EVERY_MONTH["months"], curves=EVERY_MONTH["curves"], **FLAT, **dtw_ctes("pairs"), **linkage_labels(f"SELECT a, b FROM merged WHERE dist < {LINKED}")))))
+def _(t: Tables):
+    whole = cut(months(t))
+    return cl.agglomerate(ds.dtw_rows(scaled(whole)), threshold=LINKED, nodes=whole)
+
+
+@query("c6_agglomerate_k_months", once(recursive(sql("SELECT id, cluster FROM labels", "series_long", **EVERY_MONTH,
+    **linkage_labels("SELECT a, b FROM merged ORDER BY dist, n, a, b LIMIT greatest((SELECT count(*) FROM curves) - 10, 0)")))))
+def _(t: Tables):
+    whole = cut(months(t))
+    return cl.agglomerate(ds.dtw_rows(whole), k=10, nodes=whole)
+
+
+@query("c7_linkage_table_months", recursive(sql("""
+    SELECT step, least(x, y) AS child_a, greatest(x, y) AS child_b, round(dist, 4) AS distance, n AS count FROM (
+      SELECT *, coalesce(total + (SELECT max(e.step) FROM ranked e WHERE e.step < r.step AND e.a = r.a), (SELECT leaf FROM leaves WHERE id = r.a)) AS x,
+        coalesce(total + (SELECT max(e.step) FROM ranked e WHERE e.step < r.step AND e.a = r.b), (SELECT leaf FROM leaves WHERE id = r.b)) AS y
+      FROM ranked r, (SELECT count(*) AS total FROM leaves))""", "series_long", **EVERY_MONTH, **LINKAGE,
+    leaves="SELECT id, row_number() OVER (ORDER BY id) - 1 AS leaf FROM curves",
+    ranked="SELECT row_number() OVER (ORDER BY dist, n, a, b) - 1 AS step, a, b, dist, n FROM merged")))
+def _(t: Tables):
+    return cl.linkage_table(ds.dtw_rows(months(t))).withColumn("distance", R4("distance"))
 
 
 @query("c8_kmeans_sweep")

@@ -271,3 +271,60 @@ def test_mean_shift_query_estimates_its_bandwidth(spark, monkeypatch):
     monkeypatch.setattr(cl, "mean_shift", lambda df, *a, **b: asked.append((a, b)) or df)
     load()["c11_mean_shift"](spark, "/root/testdata/sf0.001")
     assert asked == [((), {})]
+
+
+def brute_merges(dist):
+    """One merge at a time on sums of distances."""
+    s, n = dist.copy(), np.ones(len(dist))
+    np.fill_diagonal(s, np.inf)
+    out = []
+    for _ in range(len(dist) - 1):
+        avg = s / (n[:, None] * n[None])
+        a, b = np.unravel_index(avg.argmin(), avg.shape)
+        n[a] += n[b]
+        out.append((a, b, avg[a, b], int(n[a])))
+        s[a] += s[b]
+        s[:, a] += s[:, b]
+        s[b] = s[:, b] = np.inf
+        s[a, a] = np.inf
+    return out
+
+
+@pytest.mark.parametrize("n, local", [(200, 2048), (40, 15)])
+def test_linkage_by_rounds_and_in_one_task(spark, n, local):
+    """Distributed rounds on packed rows and the bounded last task build the tree of one merge at a time."""
+    dist = square(n, n)
+    dist[3, :] = dist[:, 3] = dist[5, :]  # a copy
+    dist[3, 5] = dist[5, 3] = dist[3, 3] = 0.0
+    edges = edges_of(spark, dist)
+    want = brute_merges(dist)
+    got = sorted(cl.merges(edges, local=local).collect(), key=lambda r: (r.dist, r["count"], r.a, r.b))
+    assert [(r.a, r.b, r["count"]) for r in got] == [(a, b, c) for a, b, _, c in sorted(want, key=lambda m: (m[2], m[3], m[0], m[1]))]
+    assert np.allclose([r.dist for r in got], sorted(m[2] for m in want))
+    limit = want[n // 2][2] + 1e-9
+    labels = {r.id: r.cluster for r in cl.agglomerate(edges, threshold=limit, local=local).collect()}
+    root = {i: i for i in range(n)}
+    for a, b, d, _ in want:
+        if d < limit:
+            root = {i: a if r == b else r for i, r in root.items()}
+    assert labels == root
+    two = edges.withColumn("f", F.lit("x")).unionByName(edges.filter("a < 9 and b < 9").withColumn("f", F.lit("y")))
+    kept = cl.agglomerate(two, k=4, keys=["f"], local=local).collect()
+    assert {f: len({r.cluster for r in kept if r.f == f}) for f in "xy"} == {"x": 4, "y": 4}
+    assert len(kept) == n + 9
+    lone = cl.agglomerate(edges.filter("a < 2 and b < 2"), k=1, nodes=spark.createDataFrame([(0,), (1,), (77,)], "id long"), local=local).collect()
+    assert sorted((r.id, r.cluster) for r in lone) == [(0, 0), (1, 0), (77, 77)]
+
+
+def test_packed_rows_hold_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(ds, "TILE", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, "a" if i % 3 else "b", rng.normal(size=rng.integers(1, 6)).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, f string, values array<double>")
+    want = {(r.f, r.a, r.b): r.dist for r in ds.dtw_matrix(df, ["f"]).collect()}
+    got = {}
+    for r in ds.dtw_rows(df, ["f"]).collect():
+        for o, d in zip(r.others, r.dists, strict=True):
+            assert (r.f, r.node, o) not in got
+            got[r.f, r.node, o] = d
+    assert got == {k: d for (f, a, b), d in want.items() for k in ((f, a, b), (f, b, a))}
