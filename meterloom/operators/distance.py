@@ -1,7 +1,7 @@
 """DTW distances between series.
 
-Two forms.  ``dtw_within`` finds every pair closer than a radius through
-equi-joins on a grid of lower bounds and scales with its output; identical
+Two forms.  ``dtw_within`` finds every pair closer than a radius through an
+index of cells, chunks and envelopes, and scales with its output; identical
 series are joined once, as one representative.  ``dtw_matrix`` is the full
 n-squared matrix, dealt out in tiles of equal size.
 """
@@ -16,13 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions import kernels
-from meterloom.functions.kernels import dtw, dtw_below
+from meterloom.functions.kernels import dtw
 from meterloom.operators.ordered import SERIES
 from meterloom.operators.resample import resample
 from meterloom.operators.windows import minmax_by_series, segments
-from meterloom.session import cut, spread
+from meterloom.session import cut
 
 TILE = 128  # series per side of one tile of the matrix
+CHUNK = 256  # series per side of one tile of near series
+CROWD = 1024  # series of one cell above which its range divides it further
+PAIR_VALUES = 1 << 22  # values of both sides measured at once
+PIECES = 8  # pieces of a series with an envelope each
 
 
 def series_arrays(series: DataFrame, col: str = "usage", keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -39,6 +43,28 @@ def series_dataset(series: DataFrame) -> DataFrame:
     return arrays.withColumn("values", F.concat("values", padding))
 
 
+def _measured(values: pd.Series, a: np.ndarray, b: np.ndarray, kernel) -> np.ndarray:
+    """``kernel`` on the arrays at places ``a`` and ``b``; arrays of one length are stacked once, not once per pair."""
+    n = np.array([0 if v is None else len(v) for v in values], dtype=int)
+    place, stacked = np.zeros(len(n), dtype=int), {}
+    for size in np.unique(n[n > 0]):
+        own = np.flatnonzero(n == size)
+        place[own] = np.arange(len(own))
+        stacked[size] = np.array(values.iloc[own].to_list(), dtype=float)
+    out = np.full(len(a), np.nan)
+    kinds = n[a] * (n.max(initial=0) + 1) + n[b]
+    for kind in np.unique(kinds):
+        rows = np.flatnonzero(kinds == kind)
+        x, y = n[a[rows[0]]], n[b[rows[0]]]
+        if not x or not y:
+            continue
+        step = max(1, PAIR_VALUES // (x + y))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            out[part] = kernel(stacked[x][place[a[part]]], stacked[y][place[b[part]]])
+    return out
+
+
 def _tiles(df: DataFrame, keys: list[str]):
     """Pairs of blocks of about ``TILE`` series of one key: the rows of each tile, and a kernel for one tile.
 
@@ -67,8 +93,7 @@ def _tiles(df: DataFrame, keys: list[str]):
         else:
             p, q = (g.ravel() for g in np.indices((len(left), len(right))))
         a, b = left[p], right[q]
-        dist = kernels.by_lengths(pdf["values"].iloc[a].reset_index(drop=True), pdf["values"].iloc[b].reset_index(drop=True), kernels.dtw_pairs)
-        return a, b, dist.to_numpy(dtype=float)
+        return a, b, _measured(pdf["values"], a, b, kernels.dtw_pairs)
 
     return tiles, measured
 
@@ -104,7 +129,7 @@ def dtw_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         ends, far = np.concatenate([a, b]), np.concatenate([b, a])
         order = np.argsort(ends, kind="stable")
         nodes, starts = np.unique(ends[order], return_index=True)
-        split = lambda v: np.split(v[order], starts[1:]) if len(nodes) else []
+        split = lambda v: pd.Series(np.split(v[order], starts[1:]) if len(nodes) else [], dtype=object)
         out = pd.DataFrame({"node": ids[nodes], "others": split(ids[far]), "dists": split(np.concatenate([dist, dist]))})
         for k in keys:
             out.insert(0, k, pdf[k].iloc[0])
@@ -124,40 +149,120 @@ def representatives(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.join(reps, [*keys, "values"]).select(*keys, "id", "rep")
 
 
+def _envelopes(values: list) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest value of ``PIECES`` pieces of every array; a piece without a value of its own shows the next one."""
+    at = np.arange(PIECES)
+    los, his = np.empty((len(values), PIECES)), np.empty((len(values), PIECES))
+    for i, v in enumerate(values):
+        v = np.asarray(v, dtype=float)
+        starts = at * len(v) // PIECES
+        if len(v) >= PIECES:
+            los[i], his[i] = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+        else:
+            los[i] = his[i] = v[starts]
+    return los, his
+
+
+def _least_path(x: tuple, y: tuple) -> np.ndarray:
+    """Lower bound of the squared distance of every pair but for its ends: each value of x lies, piece by piece in order, at least as far from y as its piece's envelope does from one of y's."""
+    los, his, n = x
+    weight = np.diff(np.arange(PIECES + 1) * n[:, None] // PIECES, axis=1).astype(float)
+    first = (weight > 0).argmax(axis=1)
+    weight[np.arange(len(n)), first] -= 1  # both ends are counted exactly elsewhere
+    weight[:, -1] -= 1
+    weight = np.maximum(weight, 0)
+    best = np.zeros((len(n), PIECES))
+    for p in range(PIECES):
+        gap = np.maximum(0.0, np.maximum(los[:, p, None] - y[1], y[0] - his[:, p, None]))
+        best = np.minimum.accumulate(best, axis=1) + weight[:, p, None] * gap * gap
+    return best.min(axis=1)
+
+
+def near_pairs(df: DataFrame, radius: float, keys: Sequence[str] = (), measure: bool = True) -> DataFrame:
+    """``keys, a, b, dist``: pairs of ``id, values`` below the radius; without ``measure`` all pairs that no bound puts beyond it, ``dist`` null.
+
+    Series fall into cells by their ends, crowded cells also by their range, and
+    cells into chunks of about ``CHUNK``; pairs of chunks of neighbouring cells
+    are tiles of equal size, however many series share a cell, and an array is
+    shipped once per tile. A tile drops pairs by their ends and ranges, then by
+    the envelopes of the pieces of longer arrays, and measures the rest, giving
+    a pair up once it exceeds the radius.
+    """
+    keys = list(keys)
+    v = F.col("values")
+    rows = df.filter(F.size(v) > 0).select(*keys, "id", "values", v[0].alias("_f"), F.element_at(v, -1).alias("_l"), F.array_min(v).alias("_lo"), F.array_max(v).alias("_hi"))
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    place, deep = [*keys, "_x", "_y"], [*keys, "_x", "_y", "_u", "_v"]
+    rows = rows.withColumn("_x", cell("_f")).withColumn("_y", cell("_l"))
+    rows = cut(rows)
+    crowded = rows.groupBy(*place).count().filter(F.col("count") > CROWD).select(*place, F.lit(True).alias("_crowded"))
+    rows = rows.join(cut(crowded), place, "left")
+    for name, end in (("_u", "_lo"), ("_v", "_hi")):
+        rows = rows.withColumn(name, F.when(F.col("_crowded"), cell(end)).otherwise(F.lit(0)))
+    rows = cut(rows.drop("_crowded"))
+    ranges = [f(c).alias(f"{c}{f.__name__}") for c in ("_f", "_l", "_lo", "_hi") for f in (F.min, F.max)]
+    cells = cut(rows.groupBy(*deep).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks"), *ranges))
+    chunk = F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int").alias("_chunk")
+    rows = rows.join(cells.select(*deep, "_chunks"), deep).select(*deep, chunk, "id", "values")
+    here = F.struct("_x", "_y", "_u", "_v")
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    own = [c for c in cells.columns if c not in keys]
+    left = cells.select(*keys, here.alias("a"), *[F.col(c).alias(f"a{c}") for c in own], F.col("_x").alias("_i"), F.col("_y").alias("_j"))
+    right = cells.select(*keys, here.alias("b"), *[F.col(c).alias(f"b{c}") for c in own], around("_x").alias("_i")).withColumn("_j", around("b_y"))
+    apart = lambda c: F.greatest(F.col(f"a{c}min") - F.col(f"b{c}max"), F.col(f"b{c}min") - F.col(f"a{c}max")) >= radius
+    near = left.join(right, [*keys, "_i", "_j"]).filter((F.col("a") <= F.col("b")) & ~(apart("_f") | apart("_l") | apart("_lo") | apart("_hi")))
+    side = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"{c}_chunks") - 1))
+    tiles = near.select(*keys, "a", "b", side("a").alias("_p"), "b_chunks").withColumn("_q", side("b")).filter((F.col("a") < F.col("b")) | (F.col("_p") <= F.col("_q")))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("c"), F.col("_p").alias("_chunk")), F.struct(F.lit(1).alias("side"), F.col("b").alias("c"), F.col("_q").alias("_chunk"))))
+    same = (F.col("a") == F.col("b")) & (F.col("_p") == F.col("_q"))
+    sides = tiles.select(*keys, F.struct("a", "b", "_p", "_q").alias("_tile"), same.alias("_same"), ends.alias("e")).filter(~(F.col("_same") & (F.col("e.side") == 1)))
+    sides = sides.select(*keys, "_tile", "_same", F.col("e.side").alias("_side"), "e.c.*", F.col("e._chunk").alias("_chunk"))
+    members = sides.join(rows, [*deep, "_chunk"]).select(*keys, F.xxhash64("_tile").alias("_tile_hash"), F.to_json("_tile").alias("_tile"), "_same", "_side", "id", "values")
+    kind = df.schema["id"].dataType.simpleString()
+    head = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+    square = radius * radius * (1 + 1e-9)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, side, values = pdf["id"].to_numpy(), pdf["_side"].to_numpy(), pdf["values"]
+        f, l, lo, hi = (np.array([g(v) for v in values], dtype=float) for g in (lambda v: v[0], lambda v: v[-1], np.min, np.max))
+        n = np.array([len(v) for v in values])
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if pdf["_same"].iloc[0]:
+            p, q = (p[i] for i in np.triu_indices(len(p), 1))
+        else:
+            p, q = (g.ravel() for g in np.meshgrid(p, q, indexing="ij"))
+        ends = (f[p] - f[q]) ** 2 + np.where((n[p] > 1) | (n[q] > 1), (l[p] - l[q]) ** 2, 0.0)
+        fit = (ends < square) & (np.abs(lo[p] - lo[q]) < radius) & (np.abs(hi[p] - hi[q]) < radius)
+        p, q, ends = p[fit], q[fit], ends[fit]
+        if n.max() > 4 * PIECES:  # shorter arrays are measured as fast as bounded
+            los, his = _envelopes(values)
+            for turn in (False, True):
+                x, y = (q, p) if turn else (p, q)
+                fit = ends + _least_path((los[x], his[x], n[x]), (los[y], his[y])) < square
+                p, q, ends = p[fit], q[fit], ends[fit]
+        out = pd.DataFrame({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q]), "dist": np.nan})
+        if measure and len(p):
+            out["dist"] = _measured(values, p, q, lambda x, y: kernels.dtw_pairs_below(x, y, radius))
+            out = out[out["dist"].notna()]
+        for k in keys:
+            out.insert(0, k, pdf[k].iloc[0])
+        return out[[*keys, "a", "b", "dist"]]
+
+    return members.groupBy(*keys, "_tile_hash", "_tile").applyInPandas(tile, f"{head}a {kind}, b {kind}, dist double")
+
+
 def dtw_within(df: DataFrame, radius: float, keys: Sequence[str] = ()) -> DataFrame:
     """Every pair of distinct arrays at DTW distance below ``radius``: ``keys, a, b, dist`` with a < b.
 
-    A path matches both first and both last values, so those may differ by at
-    most the radius: candidates come from a grid on (first, last) and are cut by
-    the end and range bounds; measuring a pair stops once it exceeds the radius.
     Exact copies are linked at distance 0 to the smallest of them, which alone
-    pairs with other arrays: a copy has the links of its representative.
+    pairs with other arrays (``near_pairs``): a copy has the links of its
+    representative.
     """
     keys = list(keys)
     df = cut(df)  # read for the representatives and for the copies
-    v = F.col("values")
-    marked = (
-        copies(df, keys)
-        .withColumn("_f", v[0]).withColumn("_l", F.element_at(v, -1))
-        .withColumn("_lo", F.array_min(v)).withColumn("_hi", F.array_max(v))
-    )
-    cell = lambda c: F.floor(F.col(c) / radius)
-    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    names = ["id", "values", "_f", "_l", "_lo", "_hi"]
-    left = marked.select(*keys, *[F.col(c).alias(f"a{c}") for c in names], cell("_f").alias("_x"), cell("_l").alias("_y"))
-    right = (
-        marked.select(*keys, *[F.col(c).alias(f"b{c}") for c in names], around("_f").alias("_x"))
-        .withColumn("_y", F.explode(F.sequence(F.floor(F.col("b_l") / radius) - 1, F.floor(F.col("b_l") / radius) + 1)))
-    )
-    square = radius * radius
-    first, last = F.pow(F.col("a_f") - F.col("b_f"), 2), F.pow(F.col("a_l") - F.col("b_l"), 2)
-    long = (F.size("avalues") > 1) | (F.size("bvalues") > 1)
-    ends = F.when(long, first + last).otherwise(first) < square
-    ranges = (F.abs(F.col("a_lo") - F.col("b_lo")) < radius) & (F.abs(F.col("a_hi") - F.col("b_hi")) < radius)
-    near = spread(left, "aid").join(right, [*keys, "_x", "_y"]).filter((F.col("aid") < F.col("bid")) & ends & ranges)
-    pairs = near.select(*keys, F.col("aid").alias("a"), F.col("bid").alias("b"), dtw_below("avalues", "bvalues", radius).alias("dist"))
+    pairs = near_pairs(copies(df, keys), radius, keys)
     same = representatives(df, keys).filter("id <> rep").select(*keys, F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("dist"))
-    return pairs.filter("dist IS NOT NULL").unionByName(same)
+    return pairs.unionByName(same)
 
 
 def similar_pairs(df: DataFrame, k: int = 10, users: int = 100, freq="7D", seed=0) -> DataFrame:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterloom.functions import kernels
+from meterloom.functions.kernels import dtw_below
 from meterloom.operators import cluster as cl, distance as ds, patterns as pt
 
 
@@ -24,7 +25,7 @@ def test_dtw_of_mixed_lengths_and_nulls(spark):
     pairs = [(rng.normal(size=rng.integers(1, 9)), rng.normal(size=rng.integers(1, 9))) for _ in range(60)]
     rows = [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(pairs)] + [(60, None, [1.0]), (61, [], [1.0])]
     df = spark.createDataFrame(rows, "id long, a array<double>, b array<double>")
-    got = {r.id: r for r in df.select("id", ds.dtw("a", "b").alias("d"), ds.dtw_below("a", "b", 1.5).alias("n")).collect()}
+    got = {r.id: r for r in df.select("id", ds.dtw("a", "b").alias("d"), dtw_below("a", "b", 1.5).alias("n")).collect()}
     for i, (a, b) in enumerate(pairs):
         want = plain_dtw(a, b)
         assert abs(got[i].d - want) < 1e-9
@@ -328,3 +329,22 @@ def test_packed_rows_hold_the_matrix(spark, monkeypatch):
             assert (r.f, r.node, o) not in got
             got[r.f, r.node, o] = d
     assert got == {k: d for (f, a, b), d in want.items() for k in ((f, a, b), (f, b, a))}
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_candidates_lose_no_near_pair(spark, monkeypatch, chunk):
+    """Also with crowded cells, lengths below and above the number of pieces, and values below zero; bounds drop most far pairs."""
+    monkeypatch.setattr(ds, "CHUNK", chunk)
+    monkeypatch.setattr(ds, "CROWD", chunk)
+    rng = np.random.default_rng(8)
+    shapes = [np.cumsum(rng.normal(0, 0.4, 60)) for _ in range(6)]
+    rows = [(i, "a" if i % 4 else "b", (shapes[i % 6][: rng.integers(1, 61)] + rng.normal(0, 0.05)).tolist()) for i in range(50)]
+    rows += [(100 + i, "a", [0.0, *rng.normal(0, 1, 12).tolist(), 0.0]) for i in range(25)] + [(200, "a", [0.0]), (201, "a", [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, f string, values array<double>")
+    far = {(r.f, r.a, r.b): r.dist for r in ds.dtw_matrix(df, ["f"]).collect()}
+    near = ds.near_pairs(df, 0.8, ["f"], measure=False).select("f", "a", "b").collect()
+    assert len({tuple(r) for r in near}) == len(near)
+    want = {k for k, d in far.items() if d < 0.8}
+    assert want <= {tuple(r) for r in near} and len(near) < 0.5 * len(far)
+    got = {(r.f, r.a, r.b): r.dist for r in ds.dtw_within(df, 0.8, ["f"]).collect()}
+    assert set(got) == want and all(abs(far[k] - d) < 1e-9 for k, d in got.items())
