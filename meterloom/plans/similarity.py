@@ -272,11 +272,43 @@ def _(t: Tables):
     return t.spark.range(1).select(F.round(F.lit(value), 6).alias("bandwidth"))
 
 
-@query("c11_mean_shift")
+AT = [f"s.{c} AS s_{c}" for c in NAMES]
+GAP = lambda a, b: " + ".join(f"({a}{c} - {b}{c}) * ({a}{c} - {b}{c})" for c in NAMES)
+SHIFT = {
+    "bw": f"""SELECT avg(d) AS b FROM (SELECT p.id, sqrt({GAP("p.", "q.")}) AS d, row_number() OVER (PARTITION BY p.id ORDER BY d) AS r, count(*) OVER (PARTITION BY p.id) AS n
+      FROM z_features p CROSS JOIN z_features q) WHERE r = greatest(floor(n * 0.3), 1)""",
+    "seeds": "SELECT DISTINCT " + ", ".join(f"round_even({c} / b, 0) * b AS {c}" for c in NAMES) + " FROM z_features, bw",
+    "shift": f"""SELECT row_number() OVER () AS sid, {", ".join(NAMES)}, CAST(0 AS BIGINT) AS n, true AS moving FROM seeds
+      UNION ALL
+      SELECT sid, {", ".join(f"m_{c}" for c in NAMES)}, n, {GAP("s_", "m_")} > (1e-3 * b) * (1e-3 * b) FROM (
+        SELECT s.sid, b, {", ".join(AT)}, count(*) AS n, {", ".join(f"avg(p.{c}) AS m_{c}" for c in NAMES)}
+        FROM shift s, z_features p, bw WHERE s.moving AND {GAP("s.", "p.")} <= b * b GROUP BY s.sid, b, {", ".join(f"s.{c}" for c in NAMES)})""",
+    "modes": f"""SELECT *, row_number() OVER (ORDER BY n DESC, {", ".join(NAMES)}) AS i FROM (
+      SELECT {", ".join(f"round_even({c}, 6) AS {c}" for c in NAMES)}, max(n) AS n FROM shift WHERE NOT moving GROUP BY {", ".join(str(i + 1) for i in range(len(NAMES)))})""",
+    "beaten": f"SELECT p.i, list(q.i) AS rivals FROM modes p, modes q, bw WHERE q.i < p.i AND {GAP('p.', 'q.')} <= b * b GROUP BY 1",
+    "kept": """SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS chosen
+      UNION ALL
+      SELECT kept.i + 1, CASE WHEN list_has_any(chosen, coalesce(rivals, [])) THEN chosen ELSE list_append(chosen, kept.i + 1) END
+      FROM kept LEFT JOIN beaten ON beaten.i = kept.i + 1 WHERE kept.i < (SELECT count(*) FROM modes)""",
+    "named": f"SELECT row_number() OVER (ORDER BY i) - 1 AS cluster, {', '.join(NAMES)} FROM modes WHERE i IN (SELECT unnest(chosen) FROM (SELECT chosen FROM kept ORDER BY i DESC LIMIT 1))",
+}
+
+
+@query("c11_mean_shift", recursive(sql(f"""
+    SELECT id, cluster FROM (SELECT p.id, m.cluster, row_number() OVER (PARTITION BY p.id ORDER BY {GAP("p.", "m.")}, m.cluster) AS r FROM z_features p, named m) WHERE r = 1""",
+    "z_features", **SHIFT)))
 def _(t: Tables):
     return cl.mean_shift(t.features.select("id", "features"))
 
 
+@query("c11_mean_shift_fine", recursive(sql(f"""
+    SELECT id, cluster FROM (SELECT p.id, m.cluster, row_number() OVER (PARTITION BY p.id ORDER BY {GAP("p.", "m.")}, m.cluster) AS r FROM z_features p, named m) WHERE r = 1""",
+    "z_features", **{**SHIFT, "bw": "SELECT 0.9 AS b"})))
+def _(t: Tables):
+    """A given bandwidth that tells several modes apart."""
+    return cl.mean_shift(t.features.select("id", "features"), 0.9)
+
+
 @query("c12_silhouette", sql(f"""
     SELECT id, cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 4) AS silhouette FROM (
       SELECT id, cluster, max(CASE WHEN qc = cluster THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN qc <> cluster THEN s / n END) AS b FROM (

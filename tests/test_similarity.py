@@ -265,6 +265,49 @@ def test_bandwidth_uses_every_point(spark, monkeypatch):
     assert abs(cl.estimate_bandwidth(points(spark, p[:700])) - np.sort(np.sqrt(((p[:700, None] - p[None, :700]) ** 2).sum(-1)), axis=1)[:, 209].mean()) < 1e-9
 
 
+def test_bandwidth_by_tiles_narrows_brackets(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    p = np.concatenate([rng.normal(size=(500, 3)), rng.normal(1e6, 1e-3, size=(200, 3)), np.full((30, 3), 7.25), [[1e9] * 3]])
+    p[520:560] = p[519] + np.eye(3)[rng.integers(0, 3, 40)]  # many equal distances
+    gaps = np.sort(((p[:, None] - p[None]) ** 2).sum(-1), axis=1)
+    monkeypatch.setattr(cl, "BLOCK", 300)
+    monkeypatch.setattr(cl, "KEEP", 50)
+    want = np.sqrt(gaps[:, int(0.3 * len(p)) - 1]).mean()
+    assert cl.estimate_bandwidth(points(spark, p)) == pytest.approx(want, rel=1e-12)
+
+
+def plain_mean_shift(p, b):
+    """Seeds one step at a time, strongest modes first, each point at its nearest mode."""
+    modes = set()
+    for at in np.unique(np.round(p / b), axis=0) * b:
+        while True:
+            inside = ((p - at) ** 2).sum(1) <= b * b
+            if not inside.any():
+                break
+            to = p[inside].mean(0)
+            rests, at = ((to - at) ** 2).sum() <= (1e-3 * b) ** 2, to
+            if rests:
+                modes.add((-int(inside.sum()), tuple(np.round(at, 6))))
+                break
+    kept = []
+    for _, mode in sorted(modes):
+        if all(((np.array(mode) - k) ** 2).sum() > b * b for k in kept):
+            kept.append(np.array(mode))
+    return ((p[:, None] - np.array(kept)[None]) ** 2).sum(-1).argmin(1)
+
+
+@pytest.mark.parametrize("local", [16384, 30])
+def test_mean_shift_inside_tasks_and_step_by_step(spark, monkeypatch, local):
+    rng = np.random.default_rng(14)
+    p = np.concatenate([rng.normal(0, 0.4, (40, 2)), rng.normal(4, 0.4, (25, 2)), rng.normal((8, 0), 0.2, (12, 2))])
+    monkeypatch.setattr(cl, "LOCAL", local)  # 30: the largest group steps round by round
+    got = {r.id: r.cluster for r in cl.mean_shift(points(spark, p), 1.6).collect()}
+    want = plain_mean_shift(p, 1.6)
+    assert [got[i] for i in range(len(p))] == want.tolist() and len(set(want)) == 3
+    with pytest.raises(RuntimeError, match="still move after 1 rounds"):
+        cl.mean_shift(points(spark, p), 1.6, max_iter=1)
+
+
 def test_mean_shift_query_estimates_its_bandwidth(spark, monkeypatch):
     from meterloom.plans.catalog import load
 
