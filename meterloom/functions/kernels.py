@@ -88,26 +88,127 @@ def _dtw_slice_below(a: np.ndarray, b: np.ndarray, limit: float):
     return rows, old[:, la]
 
 
-def soft_dtw_pairs(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    """Soft-DTW (squared costs, soft minimum of temperature ``gamma``) of paired rows."""
+WARP_ROWS = 64  # pairs measured at once
+WARP_STORED = 1 << 24  # cells of all diagonals kept for the way back
+SOFT_FAR = 40.0  # e^-40 of a sum is below its rounding
+
+
+def padded(arrays) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of mixed lengths as one matrix with zeros behind, and the lengths."""
+    sizes = np.array([len(v) for v in arrays], dtype=int)
+    out = np.zeros((len(sizes), sizes.max(initial=0)))
+    for row, v in zip(out, arrays):
+        row[: len(v)] = v
+    return out, sizes
+
+
+def soft_dtw_pairs(a: np.ndarray, b: np.ndarray, gamma: float, na: np.ndarray | None = None, nb: np.ndarray | None = None) -> np.ndarray:
+    """Soft-DTW (squared costs, soft minimum of temperature ``gamma``) of paired rows; plain squared DTW for 0.
+
+    Rows may be padded: then ``na`` and ``nb`` are their true lengths. What lies
+    behind a row's end never enters its own result.
+    """
+    ends = _ends(a, b, na, nb)
+    out = np.empty(len(a))
+    for s in range(0, len(a), WARP_ROWS):
+        at = slice(s, s + WARP_ROWS)
+        row, last, value = ends[0][at], ends[1][at], out[at]
+        for d, new in enumerate(_soft_diagonals(a[at], b[at], gamma, last.max())):
+            here = np.flatnonzero(last == d)
+            value[here] = new[row[here], here]
+    return out
+
+
+def _ends(a, b, na, nb):
+    """Stored row and diagonal of each pair's last cell."""
+    na = np.full(len(a), a.shape[1]) if na is None else na
+    nb = np.full(len(b), b.shape[1]) if nb is None else nb
+    return na, na + nb - 2
+
+
+def _soft_diagonals(a: np.ndarray, b: np.ndarray, gamma: float, last: int):
+    """Accumulated cost of the cells of each anti-diagonal up to ``last``.
+
+    Row i + 1 holds cell (i, s - i) of all pairs. The rows next to the outermost
+    cells are infinite; rows further out are never read.
+    """
     n, la = a.shape
     lb = b.shape[1]
-    back = b[:, ::-1]
-    older = np.full((n, la + 1), np.inf)
-    old = np.full((n, la + 1), np.inf)
-    for s in range(la + lb - 1):
+    across, back = np.ascontiguousarray(a.T), np.ascontiguousarray(b[:, ::-1].T)
+    older = old = np.full((la + 2, n), np.inf)
+    for s in range(last + 1):
         lo, hi = max(0, s - lb + 1), min(la - 1, s)
-        cost = (a[:, lo : hi + 1] - back[:, lb - 1 - s + lo : lb - s + hi]) ** 2
-        new = np.full((n, la + 1), np.inf)
+        new = np.empty((la + 2, n))
+        new[[lo, hi + 2]] = np.inf
+        inner = new[lo + 1 : hi + 2]
         if s == 0:
-            new[:, 1] = cost[:, 0]
+            inner[:] = 0
         else:
-            three = np.stack([old[:, lo + 1 : hi + 2], old[:, lo : hi + 1], older[:, lo : hi + 1]])
-            low = three.min(axis=0)
-            soft = low - gamma * np.log(np.exp(-(three - low) / gamma).sum(axis=0))
-            new[:, lo + 1 : hi + 2] = cost + soft
+            _soft_minimum(old[lo + 1 : hi + 2], old[lo : hi + 1], older[lo : hi + 1], gamma, inner)
+        cost = across[lo : hi + 1] - back[lb - 1 - s + lo : lb - s + hi]
+        np.multiply(cost, cost, out=cost)
+        inner += cost
+        yield new
         older, old = old, new
-    return old[:, la]
+
+
+def _soft_minimum(x, y, z, gamma, out) -> None:
+    """-gamma log(e^(-x/gamma) + e^(-y/gamma) + e^(-z/gamma)); logarithms only where a second term counts."""
+    least = np.minimum(x, y)
+    np.minimum(least, z, out=out)
+    if gamma:
+        others = np.maximum(least, z), np.maximum(x, y)
+        close = np.flatnonzero(np.minimum(*others) - out < SOFT_FAR * gamma)
+        if len(close):
+            flat = out.reshape(-1)
+            low = flat[close]
+            rest = sum(np.exp((low - o.reshape(-1)[close]) / gamma) for o in others)
+            flat[close] = low - gamma * np.log1p(rest)
+
+
+def soft_alignment(a: np.ndarray, b: np.ndarray, gamma: float, na: np.ndarray | None = None, nb: np.ndarray | None = None):
+    """Pull of each row of ``a`` on the positions of its row of ``b``: soft-DTW, weights, weighted sums.
+
+    The weight of position i of ``a`` at position j of ``b`` is the share of
+    alignments through (i, j), the derivative of soft-DTW by that cell's cost:
+    forward accumulation, then backward along the diagonals, following only
+    cells that carry a share above rounding.
+    """
+    ends = _ends(a, b, na, nb)
+    values, weights, sums = np.empty(len(a)), np.zeros(b.shape), np.zeros(b.shape)
+    step = max(1, WARP_STORED // ((a.shape[1] + b.shape[1]) * (a.shape[1] + 2)))
+    for s in range(0, len(a), step):
+        at = slice(s, s + step)
+        x, y, row, last = a[at], b[at], ends[0][at], ends[1][at]
+        n = len(x)
+        kept = [d.reshape(-1) for d in _soft_diagonals(x, y, gamma, last.max())]
+        final = row * n + np.arange(n)
+        values[at] = [kept[d][f] for d, f in zip(last, final)]
+        nothing = np.empty(0, dtype=int), np.empty(0), np.empty(0)
+        later = after = nothing  # cells of the next diagonals: place, share, cost before their own
+        for d in range(len(kept) - 1, -1, -1):
+            place = np.concatenate([after[0], after[0] - n, later[0] - n])
+            share = np.concatenate([after[1], after[1], later[1]])
+            before = np.concatenate([after[2], after[2], later[2]])
+            inside = (place >= n) & (place < (d + 2) * n)
+            place, share, before = place[inside], share[inside], before[inside]
+            gap = (before - kept[d][place]) / gamma
+            used = gap > -SOFT_FAR
+            share = share[used] * np.exp(np.minimum(gap[used], 0))
+            ending = final[last == d]
+            place, among = np.unique(np.concatenate([place[used], ending]), return_inverse=True)
+            share = np.bincount(among, np.concatenate([share, np.ones(len(ending))]), len(place))
+            i, p = place // n - 1, place % n
+            cost = (x[p, i] - y[p, d - i]) ** 2
+            weights[s + p, d - i] += share
+            sums[s + p, d - i] += share * x[p, i]
+            later, after = after, (place, share, kept[d][place] - cost)
+    return values, weights, sums
+
+
+def soft_slack(na, nb, gamma: float):
+    """Most by which soft-DTW lies below squared DTW: the logarithm of a bound on the number of alignments."""
+    return gamma * (na + nb) * np.log(1 + np.sqrt(2))
 
 
 def by_lengths(xs: pd.Series, ys: pd.Series, kernel) -> pd.Series:

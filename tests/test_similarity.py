@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import kernels
 from meterloom.functions.kernels import dtw_below
-from meterloom.operators import cluster as cl, distance as ds, patterns as pt
+from meterloom.operators import barycentre, cluster as cl, distance as ds, patterns as pt
 
 
 def plain_dtw(a, b):
@@ -178,6 +178,76 @@ def test_silhouettes(spark):
     assert np.allclose([r.silhouette for r in direct], want) and np.allclose([r.silhouette for r in paired], want)
 
 
+def plain_soft_dtw(a, b, gamma):
+    """Value and the share of alignments through each cell, cell by cell."""
+    n, m = len(a), len(b)
+    total = np.full((n + 2, m + 2), np.inf)
+    total[0, 0] = 0
+    cost = (np.asarray(a)[:, None] - np.asarray(b)[None, :]) ** 2
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            three = np.array([total[i - 1, j], total[i, j - 1], total[i - 1, j - 1]])
+            total[i, j] = cost[i - 1, j - 1] + three.min() - gamma * np.log(np.exp(-(three - three.min()) / gamma).sum())
+    share = np.zeros((n + 2, m + 2))
+    share[n, m] = 1
+    for i in range(n, 0, -1):
+        for j in range(m, 0, -1):
+            for x, y in ((i + 1, j), (i, j + 1), (i + 1, j + 1)):
+                if x <= n and y <= m:
+                    share[i, j] += share[x, y] * np.exp((total[x, y] - cost[x - 1, y - 1] - total[i, j]) / gamma)
+    return total[n, m], share[1:-1, 1:-1]
+
+
+@pytest.mark.parametrize("gamma,scale", [(0.5, 1), (1.0, 30), (20.0, 3)])
+def test_soft_alignment_of_mixed_lengths_equals_cell_by_cell(gamma, scale):
+    rng = np.random.default_rng(21)
+    xs = [rng.normal(0, scale, rng.integers(1, 10)) for _ in range(150)]
+    ys = [rng.normal(0, scale, rng.integers(1, 10)) for _ in range(150)]
+    (a, na), (b, nb) = kernels.padded(xs), kernels.padded(ys)
+    value, weight, total = kernels.soft_alignment(a, b, gamma, na, nb)
+    soft, hard = kernels.soft_dtw_pairs(a, b, gamma, na, nb), kernels.soft_dtw_pairs(a, b, 0.0, na, nb)
+    for i, (x, y) in enumerate(zip(xs, ys)):
+        want, share = plain_soft_dtw(x, y, gamma)
+        assert value[i] == pytest.approx(want, rel=1e-9, abs=1e-9) and soft[i] == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert hard[i] ** 0.5 == pytest.approx(plain_dtw(x, y))
+        assert hard[i] >= want - 1e-9 >= hard[i] - kernels.soft_slack(len(x), len(y), gamma) - 2e-9
+        assert np.allclose(weight[i, : len(y)], share.sum(axis=0)) and not weight[i, len(y) :].any()
+        assert np.allclose(total[i, : len(y)], share.T @ x)
+
+
+def test_soft_centres_equal_a_plain_loop_and_never_worsen(spark):
+    rng = np.random.default_rng(22)
+    arrays = [rng.normal(5 * (i % 3), 1, size=rng.integers(6, 9)) for i in range(18)]
+    df = vectors(spark, arrays)
+    start = [r.id for r in df.orderBy(barycentre.digest(0, "id"), "id").limit(3).collect()]
+    got, values = barycentre.soft_models(barycentre._dealt(df), [2, 3], 1.0)
+    for k in (2, 3):
+        assert all(b <= a * (1 + 1e-12) for a, b in zip(values[k], values[k][1:]))
+        centres, seen = [arrays[i].copy() for i in start[:k]], []
+        for _ in values[k]:
+            soft = [[plain_soft_dtw(x, c, 1.0) for c in centres] for x in arrays]
+            near = [min(range(k), key=lambda c: row[c][0]) for row in soft]
+            seen.append(sum(row[c][0] for row, c in zip(soft, near)))
+            last = centres
+            centres = []
+            for c in range(k):
+                weight, total = np.zeros(len(last[c])), np.zeros(len(last[c]))
+                for x, row, n in zip(arrays, soft, near):
+                    if n == c:
+                        weight, total = weight + row[c][1].sum(axis=0), total + row[c][1].T @ x
+                centres.append(total / weight if weight.any() else last[c])
+        assert np.allclose(seen, values[k])
+        assert all(np.allclose(a, b) for a, b in zip(got[k], last))
+
+
+def test_series_kmeans_of_unknown_and_no_series(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, []), (4, [9.0])], "id long, values array<double>")
+    got = {r.id: (r.cluster, r.distance, r.second) for r in cl.series_kmeans(df, 2).collect()}
+    assert got[2] == got[3] == (0, None, None) and got[1][0] != got[4][0] and got[1][1] < got[1][2]
+    assert cl.series_kmeans(df.filter("id > 9"), 2).count() == 0
+    assert {r.id: r.second for r in cl.series_kmeans(df, 1).collect()} == dict.fromkeys((1, 2, 3, 4))
+
+
 def test_series_kmeans_separates_shapes(spark):
     t = np.arange(24)
     rng = np.random.default_rng(6)
