@@ -315,32 +315,58 @@ def scalogram(values: np.ndarray, voices: int = 4, omega: float = 6.0):
     return scales, np.abs(np.fft.ifft(spectrum * wavelet, axis=1))[:, :n]
 
 
-def matrix_profile(values: np.ndarray, m: int):
-    """Distance to and index of each window's nearest z-normalised neighbour outside its zone.
-
-    Windows closer than or at ``ceil(m/4)`` are excluded.  Two constant windows
-    are at distance 0, a constant and a varying one at sqrt(m).
-    """
-    n = len(values) - m + 1
-    if n < 1:
-        return np.empty(0), np.empty(0, dtype=np.int64)
+def _unit_windows(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length-m windows, z-normalised, and whether each is constant."""
     frames = np.lib.stride_tricks.sliding_window_view(values, m)
     dev = frames.std(axis=1)
     flat = dev == 0
-    z = (frames - frames.mean(axis=1, keepdims=True)) / np.where(flat, 1, dev)[:, None]
+    return (frames - frames.mean(axis=1, keepdims=True)) / np.where(flat, 1, dev)[:, None], flat
+
+
+def profile_tile(a: np.ndarray, b: np.ndarray, m: int, at_a: int, at_b: int):
+    """Nearest z-normalised neighbours between the windows of two slices of one series.
+
+    ``at_a`` and ``at_b`` are the slices' first positions. Windows closer than or
+    at ``ceil(m/4)`` are excluded. Two constant windows are at distance 0, a
+    constant and a varying one at sqrt(m); windows with unknown values have no
+    neighbour. Returns distance and position for the windows of a, then of b.
+    """
+    (p, flat_p), (q, flat_q) = _unit_windows(a, m), _unit_windows(b, m)
+    square = np.maximum(2 * (m - p @ q.T), 0)
+    square[flat_p[:, None] != flat_q[None, :]] = m
+    square[flat_p[:, None] & flat_q[None, :]] = 0
     zone = -(-m // 4)
-    best, where = np.full(n, np.inf), np.full(n, -1, dtype=np.int64)
-    rows = max(1, (1 << 22) // n)
-    for s in range(0, n, rows):
-        at = np.arange(s, min(n, s + rows))
-        square = np.maximum(2 * (m - z[at] @ z.T), 0)
-        square[flat[at][:, None] != flat[None, :]] = m
-        square[flat[at][:, None] & flat[None, :]] = 0
-        square[np.abs(at[:, None] - np.arange(n)[None, :]) <= zone] = np.inf
-        pick = square.argmin(axis=1)
-        best[at] = np.sqrt(square[np.arange(len(at)), pick])
-        where[at] = np.where(np.isfinite(best[at]), pick, -1)
-    return best, where
+    if abs(at_a - at_b) <= max(len(p), len(q)) + zone:
+        square[np.abs(at_a + np.arange(len(p))[:, None] - at_b - np.arange(len(q))[None, :]) <= zone] = np.inf
+    square[np.isnan(square)] = np.inf
+    near_p, near_q = square.argmin(axis=1), square.argmin(axis=0)
+    return np.sqrt(square[np.arange(len(p)), near_p]), at_b + near_p, np.sqrt(square[near_q, np.arange(len(q))]), at_a + near_q
+
+
+def matrix_profile(values: np.ndarray, m: int):
+    """Distance to and position (or -1) of each window's nearest neighbour, as ``profile_tile`` of a whole series."""
+    if len(values) < m:
+        return np.empty(0), np.empty(0, dtype=np.int64)
+    best, where, _, _ = profile_tile(values, values, m, 0, 0)
+    return best, np.where(np.isfinite(best), where, -1)
+
+
+def lag_products(values: np.ndarray, length: int, windows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and sum of outer products of the first ``windows`` windows, without forming any.
+
+    Entry (a, a + lag) is a stretch of the series' products at that lag, so one
+    running sum per lag serves all a.
+    """
+    used = values[: windows + length - 1]
+    running = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+    total = running(used)
+    outer = np.zeros((length, length))
+    for lag in range(length):
+        a = np.arange(length - lag)
+        sums = running(used[: len(used) - lag] * used[lag:])
+        outer[a, a + lag] = outer[a + lag, a] = sums[a + windows] - sums[a]
+    a = np.arange(length)
+    return total[a + windows] - total[a], outer
 
 
 MINING, THEFT, UNUSABLE = 1, 2, 4

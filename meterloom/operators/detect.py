@@ -9,12 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterloom.functions import kernels
 from meterloom.functions.calendar import date_to_jalali, seconds
 from meterloom.operators.resample import resample
-from meterloom.operators.windows import rolling_band, sliding_windows
-from meterloom.session import cut
+from meterloom.operators.windows import rolling_band
+from meterloom.session import cut, spread
+
+SCORED = 4096  # windows scored at once
 
 
 @dataclass(frozen=True)
@@ -131,49 +134,109 @@ def plot_points(flags: DataFrame, user_id, kind: str) -> DataFrame:
     return date_to_jalali(points, "date").select("id", "date", "jalali", "usage", "point")
 
 
-def matrix_profile(series: DataFrame, m: int = 4) -> DataFrame:
-    """``id, idx, nearest, distance`` for each length-m window of a resampled series."""
+PROFILE_TILE = 1024  # windows per side of one tile
 
-    @F.pandas_udf("array<struct<nearest: long, distance: double>>")
-    def profile(usage: pd.Series) -> pd.Series:
-        def one(u):
-            dist, near = kernels.matrix_profile(np.asarray(u, dtype=float), m)
-            return [{"nearest": int(j), "distance": float(d)} for j, d in zip(near, dist)]
 
-        return usage.map(one)
+def matrix_profile(series: DataFrame, m: int = 4) -> DataFrame:
+    """``id, idx, nearest, distance`` for each length-m window of a resampled series.
 
+    A series is cut into slices of ``PROFILE_TILE`` windows and every pair of
+    its slices is one tile, measured for both sides: a long series spreads
+    over all tasks. The least distance wins, of equal ones the smaller position.
+    Windows with unknown values, or without another outside their zone, give no row.
+    """
     from meterloom.operators.distance import series_arrays
 
-    rows = series_arrays(series).select("id", F.posexplode(profile("values")).alias("idx", "_p"))
-    return rows.filter("_p.nearest >= 0").select("id", F.col("idx").cast("long").alias("idx"), "_p.nearest", "_p.distance")
+    id_type = series.schema["id"].dataType
+    last = F.floor((F.size("values") - m) / PROFILE_TILE).cast("int")
+    piece = lambda i: F.slice("values", F.col(i) * PROFILE_TILE + 1, F.lit(PROFILE_TILE + m - 1))
+    pairs = (
+        series_arrays(series).filter(F.size("values") >= m)
+        .select("id", "values", last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+        .select("id", "values", "_i", F.explode(F.sequence("_i", "_last")).alias("_j"))
+    )
+    tiles = spread(pairs.select("id", "_i", "_j", piece("_i").alias("_a"), F.when(F.col("_i") != F.col("_j"), piece("_j")).alias("_b")), "id", "_i", "_j")
+
+    def measure(batches):
+        for batch in batches:
+            ids, idx, nearest, distance = [], [], [], []
+            for key, i, j, a, b in batch.itertuples(index=False):
+                a = np.asarray(a, dtype=float)
+                b = a if i == j else np.asarray(b, dtype=float)
+                to_a, near_a, to_b, near_b = kernels.profile_tile(a, b, m, i * PROFILE_TILE, j * PROFILE_TILE)
+                sides = [(i, to_a, near_a)] if i == j else [(i, to_a, near_a), (j, to_b, near_b)]
+                for block, gap, near in sides:
+                    known = np.flatnonzero(np.isfinite(gap))
+                    ids.append(np.full(len(known), key, dtype=object))
+                    idx.append(block * PROFILE_TILE + known)
+                    nearest.append(near[known])
+                    distance.append(gap[known])
+            if ids:
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("id", "idx", "nearest", "distance"), (ids, idx, nearest, distance))})
+
+    found = tiles.mapInPandas(measure, T.StructType([
+        T.StructField("id", id_type), T.StructField("idx", T.LongType()), T.StructField("nearest", T.LongType()), T.StructField("distance", T.DoubleType()),
+    ]))
+    best = found.groupBy("id", "idx").agg(F.min(F.struct("distance", "nearest")).alias("_b"))
+    return best.select("id", "idx", "_b.nearest", "_b.distance")
 
 
 def reconstruction_error(series: DataFrame, length: int = 168, components: int = 4, train_share: float = 0.5) -> DataFrame:
     """Mean absolute error of PCA-reconstructed windows, flagged above the largest training error.
 
     Windows of the first ``train_share`` of each meter train the model, the
-    rest are judged: ``id, idx, train, error, anomaly``.  The model is PCA, a
+    rest are judged: ``id, idx, train, error, anomaly``. The model is PCA, a
     linear stand-in for an autoencoder.
+
+    Training forms no window: a window covariance consists of stretches of the
+    series' products at each lag (``kernels.lag_products``), summed per task to
+    one length x length matrix and added by Spark. Scoring slides over each
+    meter's array in blocks. Without training windows every error is null.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    series = cut(series.select("id", "idx", "usage"))  # windows are rebuilt from it for every pass, never stored
-    windows = sliding_windows(series, length)
-    counts = series.groupBy("id").agg((F.count(F.lit(1)) - (length - 1)).alias("_n"))
-    marked = windows.join(counts, "id").withColumn("train", F.col("idx") < F.floor(F.col("_n") * train_share)).drop("_n")
-    training = marked.filter("train").select(array_to_vector("values").alias("v"))
-    basis = PCA(k=components, inputCol="v", outputCol="p").fit(training).pc.toArray()  # length x components
-    centre = training.select(Summarizer.mean(F.col("v"))).first()[0].toArray()  # one window
-
-    @F.pandas_udf("double")
-    def error(values: pd.Series) -> pd.Series:
-        x = np.stack(values.to_numpy()) - centre if len(values) else np.empty((0, length))
-        return pd.Series(np.abs(x - x @ basis @ basis.T).mean(axis=1))
-
-    scored = marked.select("id", "idx", "train", error("values").alias("error"))
-    scored = cut(scored)  # four narrow columns
+    from meterloom.operators.distance import series_arrays
+
+    arrays = cut(spread(series_arrays(series).filter(F.size("values") >= length)))  # read to train and to judge
+
+    level = F.aggregate("values", F.lit(0.0), lambda total, x: total + x) / F.size("values")
+    shift = arrays.agg(F.avg(level).alias("m")).first()["m"] or 0.0  # keeps the products small far from the origin
+
+    def trained(n: int) -> int:
+        return int(np.floor((n - length + 1) * train_share))
+
+    def gather(batches):
+        n, total, outer = 0, np.zeros(length), np.zeros((length, length))
+        for batch in batches:
+            for values in batch["values"]:
+                u = np.asarray(values, dtype=float)
+                t = trained(len(u))
+                if t:
+                    one, two = kernels.lag_products(u - shift, length, t)
+                    n, total, outer = n + t, total + one, outer + two
+        yield pd.DataFrame({"pos": np.arange(length + 1), "n": n, "row": list(np.vstack([outer, total]))})
+
+    rows = arrays.mapInPandas(gather, "pos int, n long, row array<double>").select("pos", "n", F.posexplode("row").alias("col", "v"))
+    sums = rows.groupBy("pos", "col").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # (length + 1) x length
+    table, n = np.zeros((length + 1, length)), 0
+    for r in sums:
+        table[r["pos"], r["col"]], n = r["v"], r["n"]
+    centre = table[length] / n if n else np.full(length, np.nan)
+    spreads = table[:length] / n - np.outer(centre, centre) if n else np.zeros((length, length))
+    basis = np.linalg.eigh(spreads)[1][:, ::-1][:, :components]  # length x components
+
+    def judge(batches):
+        for batch in batches:
+            for key, values in batch[["id", "values"]].itertuples(index=False):
+                frames = np.lib.stride_tricks.sliding_window_view(np.asarray(values, dtype=float), length)
+                for s in range(0, len(frames), SCORED):
+                    x = frames[s : s + SCORED] - shift - centre
+                    error = np.abs(x - x @ basis @ basis.T).mean(axis=1)
+                    at = np.arange(s, s + len(x))
+                    yield pd.DataFrame({"id": [key] * len(x), "idx": at, "train": at < trained(len(values)), "error": error})
+
+    scored = cut(arrays.mapInPandas(judge, T.StructType([
+        T.StructField("id", series.schema["id"].dataType), T.StructField("idx", T.LongType()),
+        T.StructField("train", T.BooleanType()), T.StructField("error", T.DoubleType()),
+    ])))  # four narrow columns
     limit = scored.filter("train").agg(F.max("error")).scalar()
     return scored.withColumn("anomaly", ~F.col("train") & (F.col("error") > limit))
 

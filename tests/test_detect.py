@@ -124,6 +124,73 @@ def test_reconstruction_error_flags_what_training_never_saw(spark):
     assert {r.anomaly for r in got if 140 < r.idx < 150} == {True} and not any(r.anomaly for r in got if r.train)
 
 
+def test_lag_products_equal_formed_windows():
+    rng = np.random.default_rng(4)
+    for n, length, t in ((40, 7, 20), (9, 9, 1), (12, 1, 12), (30, 5, 26)):
+        u = rng.normal(3, 2, n)
+        x = np.lib.stride_tricks.sliding_window_view(u, length)[:t]
+        total, outer = kernels.lag_products(u, length, t)
+        assert np.allclose(total, x.sum(axis=0)) and np.allclose(outer, x.T @ x)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_reconstruction_equals_pca_on_formed_windows(spark, offset):
+    rng = np.random.default_rng(5)
+    curves = [offset + np.cumsum(rng.normal(size=n)) for n in (60, 35, 12, 11, 80)]  # of 12: one window, of 11: none
+    length, k = 12, 3
+    forms = [np.lib.stride_tricks.sliding_window_view(u, length) if len(u) >= length else np.empty((0, length)) for u in curves]
+    train = np.concatenate([f[: len(f) // 2] for f in forms])
+    basis = np.linalg.svd(train - train.mean(axis=0), full_matrices=False)[2][:k].T
+    want = {}
+    for i, f in enumerate(forms):
+        x = f - train.mean(axis=0)
+        for j, e in enumerate(np.abs(x - x @ basis @ basis.T).mean(axis=1)):
+            want[i, j] = (e, j < len(f) // 2)
+    limit = max(e for e, t in want.values() if t)
+    got = {(r.id, r.idx): r for r in dt.reconstruction_error(series(spark, curves), length, k).collect()}
+    assert got.keys() == want.keys()
+    for at, (e, t) in want.items():
+        assert got[at].error == pytest.approx(e, rel=1e-6, abs=1e-6) and got[at].train == t
+        assert got[at].anomaly == (not t and e > limit)
+
+
+def test_reconstruction_without_training_windows(spark):
+    rows = dt.reconstruction_error(series(spark, [np.arange(12.0)]), 12, 2).collect()
+    assert [(r.idx, r.train, r.error is None or np.isnan(r.error)) for r in rows] == [(0, False, True)]
+    assert dt.reconstruction_error(series(spark, [np.arange(5.0)]), 12, 2).count() == 0
+
+
+def test_matrix_profile_in_tiles_equals_whole_series(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    curves = [rng.normal(size=95), np.round(rng.normal(size=61)), np.zeros(20), rng.normal(size=5), rng.normal(size=3)]
+    curves[0][40:44] = np.nan
+    want = {}
+    for i, u in enumerate(curves):
+        for j, (d, near) in enumerate(zip(*kernels.matrix_profile(u, 4))):
+            if near >= 0:
+                want[i, j] = d
+    for size in (10, 1000):
+        monkeypatch.setattr(dt, "PROFILE_TILE", size)
+        got = {(r.id, r.idx): r for r in dt.matrix_profile(series(spark, curves), 4).collect()}
+        assert got.keys() == want.keys() and not {k for k in got if k[0] == 0} & {(0, j) for j in range(37, 44)}
+        for (i, j), d in want.items():
+            assert got[i, j].distance == pytest.approx(d, abs=1e-6) and abs(got[i, j].nearest - j) > 1
+            there = got[i, j].nearest
+            unit = lambda x: (x - x.mean()) / (x.std() or 1)
+            a, b = curves[i][j : j + 4], curves[i][there : there + 4]
+            if a.std() and b.std():
+                assert np.sqrt(((unit(a) - unit(b)) ** 2).sum()) == pytest.approx(d, abs=1e-6)
+
+
+def test_long_series_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dt, "PROFILE_TILE", 100)
+    u = np.random.default_rng(7).normal(size=1500)
+    profile = dt.matrix_profile(series(spark, [u]), 8)
+    got = {r.idx: r.distance for r in profile.collect()}
+    assert np.allclose([got[i] for i in range(1493)], kernels.matrix_profile(u, 8)[0], atol=1e-6)
+    assert "RepartitionByExpression" in profile._jdf.queryExecution().analyzed().toString()
+
+
 def test_matrix_profile_matches_definition():
     rng = np.random.default_rng(2)
     u = np.concatenate([rng.normal(size=30), np.zeros(12), rng.normal(size=20), np.ones(9)])
