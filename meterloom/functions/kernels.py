@@ -268,9 +268,9 @@ def soft_dtw(a, b, gamma: float = 1.0) -> Column:
 
 
 def lowpass(values: np.ndarray, divisor: int) -> np.ndarray:
-    """Keep the first ``n div divisor`` spectrum coefficients only; magnitude of the inverse."""
+    """Keep the first ``n div divisor`` spectrum coefficients of each row only; magnitude of the inverse."""
     spectrum = np.fft.fft(values)
-    spectrum[len(values) // divisor :] = 0
+    spectrum[..., values.shape[-1] // divisor :] = 0
     return np.abs(np.fft.ifft(spectrum))
 
 
@@ -282,37 +282,40 @@ DB3 = (
 
 
 def dwt_step(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One db3 analysis step with half-sample symmetric padding: approximation, detail."""
+    """One db3 analysis step of each row with half-sample symmetric padding: approximation, detail."""
     low = np.array(DB3)
     high = low[::-1] * np.where(np.arange(len(low)) % 2 == 0, -1.0, 1.0)
-    padded = np.pad(values, len(low) - 1, mode="symmetric")
-    return tuple(np.convolve(padded, f, mode="valid")[1::2] for f in (low, high))
+    edges = [(0, 0)] * (values.ndim - 1) + [(len(low) - 1,) * 2]
+    frames = np.lib.stride_tricks.sliding_window_view(np.pad(values, edges, mode="symmetric"), len(low), axis=-1)
+    return tuple(frames[..., 1::2, :] @ f[::-1] for f in (low, high))
 
 
 def spectrogram(values: np.ndarray, window: int = 256, overlap: int = 32, taper: float = 0.25):
-    """One-sided power density of overlapping mean-free Tukey windows: f, t, power[f, t]."""
-    if len(values) < window:
-        window, overlap = len(values), len(values) // 8
+    """One-sided power density of overlapping mean-free Tukey windows of each row: f, t, power[..., f, t]."""
+    n = values.shape[-1]
+    if n < window:
+        window, overlap = n, n // 8
     at = np.arange(window) / window  # periodic window
     edge = np.minimum(at, 1 - at)
     weight = np.where(edge < taper / 2, 0.5 * (1 - np.cos(2 * np.pi * edge / taper)), 1.0)
-    frames = np.lib.stride_tricks.sliding_window_view(values, window)[:: window - overlap]
-    frames = (frames - frames.mean(axis=1, keepdims=True)) * weight
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2 / (weight**2).sum()
-    power[:, 1 : (window + 1) // 2] *= 2
-    return np.fft.rfftfreq(window), window / 2 + np.arange(len(frames)) * (window - overlap), power.T
+    frames = np.lib.stride_tricks.sliding_window_view(values, window, axis=-1)[..., :: window - overlap, :]
+    frames = (frames - frames.mean(axis=-1, keepdims=True)) * weight
+    power = np.abs(np.fft.rfft(frames)) ** 2 / (weight**2).sum()
+    power[..., 1 : (window + 1) // 2] *= 2
+    times = window / 2 + np.arange(frames.shape[-2]) * (window - overlap)
+    return np.fft.rfftfreq(window), times, np.swapaxes(power, -1, -2)
 
 
 def scalogram(values: np.ndarray, voices: int = 4, omega: float = 6.0):
-    """Morlet wavelet magnitudes on log2-spaced scales: scales, magnitude[scale, t]."""
-    n = len(values)
+    """Morlet wavelet magnitudes of each row on log2-spaced scales: scales, magnitude[..., scale, t]."""
+    n = values.shape[-1]
     octaves = max(1, int(np.log2(max(n, 4))) - 1)
     scales = 2.0 ** (1 + np.arange(octaves * voices) / voices)
     padded = 1 << int(np.ceil(np.log2(2 * n)))
-    spectrum = np.fft.fft(values - values.mean(), padded)
+    spectrum = np.fft.fft(values - values.mean(axis=-1, keepdims=True), padded)
     w = 2 * np.pi * np.fft.fftfreq(padded)
     wavelet = np.pi**-0.25 * np.exp(-0.5 * (scales[:, None] * w - omega) ** 2) * (w > 0)
-    return scales, np.abs(np.fft.ifft(spectrum * wavelet, axis=1))[:, :n]
+    return scales, np.abs(np.fft.ifft(spectrum[..., None, :] * wavelet))[..., :n]
 
 
 def _unit_windows(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:

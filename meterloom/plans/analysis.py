@@ -479,6 +479,20 @@ def _(t: Tables):
     return spectral.spectrogram(resample(t.readings, "1H")).withColumn("power", F.round("power", 2))
 
 
-@query("w17_scalogram")
-def _(t: Tables):
-    return spectral.scalogram(resample(t.series_long, "7D"))
+# the wavelet vanishes (below e^-40) beyond 9 around its centre
+@query("w17_scalogram", sql("""
+    SELECT id, round(scale, 6) AS scale, CAST(t AS INT) AS t, round(sqrt(pow(sum(re * cos(turn) - im * sin(turn)), 2) + pow(sum(re * sin(turn) + im * cos(turn)), 2)) / max(size), 3) AS magnitude
+    FROM (SELECT g.*, t, 2 * pi() * ((k * t) % size) / size AS turn FROM g JOIN ts ON g.n = ts.n) GROUP BY id, scale, t""", "long_weeks",
+    v="SELECT id, idx, usage - avg(usage) OVER (PARTITION BY id) AS x, count(*) OVER (PARTITION BY id) AS n FROM long_weeks",
+    sizes="""SELECT DISTINCT id, n, CAST(pow(2, ceil(log2(2 * n))) AS BIGINT) AS size, greatest(1, CAST(floor(log2(greatest(n, 4))) AS BIGINT) - 1) AS octaves FROM v""",
+    ks="SELECT id, n, size, unnest(range(1, size // 2)) AS k FROM sizes",
+    f="""SELECT v.id, k, sum(x * cos(2 * pi() * ((k * idx) % size) / size)) AS re, -sum(x * sin(2 * pi() * ((k * idx) % size) / size)) AS im
+      FROM v JOIN ks ON v.id = ks.id GROUP BY 1, 2""",
+    scales="SELECT id, n, size, pow(2, 1 + voice / 4.0) AS scale FROM (SELECT id, n, size, unnest(range(octaves * 4)) AS voice FROM sizes)",
+    g="""SELECT s.id, n, size, scale, k, re * h AS re, im * h AS im FROM (
+        SELECT s.id, s.n, s.size, scale, f.k, re, im, scale * 2 * pi() * f.k / s.size - 6 AS off, pow(pi(), -0.25) * exp(-0.5 * off * off) AS h
+        FROM scales s JOIN f ON s.id = f.id) s WHERE abs(off) < 9""",
+    ts="SELECT n, unnest(range(n)) AS t FROM (SELECT DISTINCT n FROM v)"))
+def _(t: Tables):
+    rows = spectral.scalogram(resample(t.series_long, "7D"))
+    return rows.withColumn("scale", F.round("scale", 6)).withColumn("magnitude", F.round("magnitude", 3))
