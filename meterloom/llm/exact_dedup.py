@@ -1,12 +1,14 @@
 """Exact deduplication by two passes over a Bloom filter, in DataFrame operations only.
 
-Pass one counts, in each of two halves of a filter, how many rows fall on a
-cell, and keeps the cells met more than once. Pass two tests every row: one
-whose two cells are not both kept has no equal and passes straight through;
-only the others shuffle, by digest. A false positive costs a shuffled row and
-changes no result, so one plan serves every size: the filter follows the number
-of rows up to ``MOST_CELLS`` per half (16 MB in all), beyond which it lets more
-rows through to the shuffle.
+A filter is a table of blocks of ``BLOCK_CELLS`` cells; a digest names a block, a
+cell of its first half and one of its second. Pass one counts how many rows fall
+on a cell, and keeps the cells met more than once. Pass two joins every row with
+its block, the table being broadcast: a row whose two cells are not both kept has
+no equal and passes straight through; only the others shuffle, by digest. A false
+positive costs a shuffled row and changes no result, so one plan serves every
+size: the filter follows the number of rows up to ``MOST_CELLS`` per half (16 MB
+in all), beyond which it lets more rows through to the shuffle. No filter is ever
+a literal of the plan, which would copy it into every task and onto the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from meterloom.session import cut
 MOST_CELLS = 1 << 26
 LEAST_CELLS = 1 << 12
 CELLS_PER_ROW = 16
+BLOCK_CELLS = 4096  # cells of one row of a filter
 
 
 def digest(text: Column) -> Column:
@@ -29,36 +32,50 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _cells(key: str, cells: int) -> list[Column]:
-    """A cell in each half of the filter."""
+def _cells(key: str, cells: int) -> Column:
+    """Two cells of one block: ``block, low, high``, a cell of the block's first half and one of its second."""
     mixed = F.xxhash64(F.col(key))
-    return [F.pmod(F.xxhash64(mixed, F.lit(half)), F.lit(cells)) + F.lit(half * cells) for half in (0, 1)]
+    half = min(cells, BLOCK_CELLS // 2)
+    within = lambda salt: F.pmod(F.xxhash64(mixed, F.lit(salt)), F.lit(half)).cast("int")
+    return F.struct(F.pmod(mixed, F.lit(cells // half)).alias("block"), within(0).alias("low"), (within(1) + half).alias("high"))
 
 
-def _packed(hits: DataFrame, cells: int) -> Column:
-    """Scalar array of 64-bit words with the bits at ``cell`` set."""
-    words = hits.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
-    every = hits.sparkSession.range(2 * cells // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    # one row per word, their number fixed by ``cells``
-    full = every.unionByName(words).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    packed = full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("filter"))
-    return packed.select(F.transform("filter", lambda x: x["bits"])).scalar()
+def _packed(hits: DataFrame) -> DataFrame:
+    """``block, bits``: the words of every block that has a cell set, packed to 64 bits each."""
+    one = F.expr("shiftleft(1L, cell & 63)")
+    words = hits.groupBy("block", F.shiftright("cell", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    blocks = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))  # BLOCK_CELLS / 64 at most
+    every = F.sequence(F.lit(0), F.lit(BLOCK_CELLS // 64 - 1))
+    return cut(blocks.select("block", F.transform(every, lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long"))).alias("bits")))
 
 
-def repeated_filter(keys: DataFrame, key: str, cells: int) -> Column:
+def _hits(keys: DataFrame, key: str, cells: int) -> DataFrame:
+    at = keys.select(_cells(key, cells).alias("at"))
+    return at.select("at.block", F.explode(F.array("at.low", "at.high")).alias("cell"))
+
+
+def repeated_filter(keys: DataFrame, key: str, cells: int) -> DataFrame:
     """Filter of the cells on which more than one row of ``keys`` falls."""
-    return _packed(keys.select(F.explode(F.array(*_cells(key, cells))).alias("cell")).groupBy("cell").count().where("count > 1"), cells)
+    return _packed(_hits(keys, key, cells).groupBy("block", "cell").count().where("count > 1"))
 
 
-def member_filter(keys: DataFrame, key: str, cells: int) -> Column:
+def member_filter(keys: DataFrame, key: str, cells: int) -> DataFrame:
     """Filter of the cells of all ``keys``."""
-    return _packed(keys.select(F.explode(F.array(*_cells(key, cells))).alias("cell")), cells)
+    return _packed(_hits(keys, key, cells))
 
 
-def may_hold(seen: Column, key: str, cells: int) -> Column:
-    """Whether both cells of ``key`` are in the filter."""
-    tests = [F.getbit(F.get(seen, F.shiftright(c, 6).cast("int")), c.bitwiseAND(F.lit(63)).cast("int")) == 1 for c in _cells(key, cells)]
-    return tests[0] & tests[1]
+def may_hold(rows: DataFrame, seen: DataFrame, key: str, cells: int, name: str) -> DataFrame:
+    """``rows`` with ``name``: whether both cells of ``key`` are in the filter.
+
+    The filter, whose size ``cells`` fixes, is broadcast as a table; a row meets
+    the one block that holds both its cells.
+    """
+    blocks = F.broadcast(seen.select(F.col("block").alias("__block"), F.col("bits").alias("__bits")))
+    at = rows.withColumn("__at", _cells(key, cells)).withColumn("__block", F.col("__at.block"))
+    met = at.join(blocks, "__block", "left")
+    bit = lambda c: F.getbit(F.get("__bits", F.shiftright(c, 6)), F.col(c).bitwiseAND(F.lit(63))) == 1
+    told = F.coalesce(bit("__at.low") & bit("__at.high"), F.lit(False))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], told.alias(name))
 
 
 def filter_cells(rows: int, per_row: int = CELLS_PER_ROW) -> int:
@@ -77,12 +94,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prepare(docs.sparkSession)
     rows = cut(texts(docs, id_col, text_col).select("doc_id", F.length("text").cast("long").alias("points"), digest(F.col("text")).alias("sha")))
     cells = filter_cells(rows.count())
-    seen = repeated_filter(rows, "sha", cells)
-    told = rows.withColumn("again", may_hold(seen, "sha", cells))
+    told = may_hold(rows, repeated_filter(rows, "sha", cells), "sha", cells, "again")
     alone = told.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # nulls last among equal lengths: they rank as larger than any id
     rank = F.struct("points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus"))
-    shuffled = told.where("again").select("doc_id", "points", "sha")
+    shuffled = cut(told.where("again").select("doc_id", "points", "sha"))
     groups = cut(shuffled.groupBy("sha").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size")))
     joined = attach(shuffled, groups, "sha", "group_size").withColumn("keep_id", -F.col("best.minus"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("best.points"))
@@ -105,8 +121,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = cut(docs.select(digest(text).alias("__sha")))
     cells = filter_cells(keys.count())
-    seen = repeated_filter(keys, "__sha", cells)
-    told = docs.withColumn("__sha", digest(text)).withColumn("__again", may_hold(seen, "__sha", cells))
+    told = may_hold(docs.withColumn("__sha", digest(text)), repeated_filter(keys, "__sha", cells), "__sha", cells, "__again")
     best = Window.partitionBy("__sha").orderBy(F.length(text).desc(), F.col(id_col).asc_nulls_last(), text)
     kept = told.where("__again").withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
     return told.where("not __again").select(docs.columns).unionByName(kept.select(docs.columns))

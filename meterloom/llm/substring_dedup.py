@@ -140,7 +140,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # only digest halves are counted over all runs; whatever repeats none of them is not shuffled any further
     twice = cut(found.groupBy("one").count().where("count > 1").select("one"))
     cells = filter_cells(twice.count(), 4)
-    found = found.where(may_hold(member_filter(twice, "one", cells), "one", cells))
+    found = may_hold(found, member_filter(twice, "one", cells), "one", cells, "again").where("again").drop("again")
     groups = found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "word")).alias("keep"), F.max("doc").alias("last")).where(F.col("n") > 1).where(F.col("keep.doc") != F.col("last"))
     groups = cut(groups.select(digest, "n", F.col("keep.doc").alias("keep_doc"), F.col("keep.word").alias("keep_word")))
     rows = found.select("doc", "word", "words", "start", "stop", digest)

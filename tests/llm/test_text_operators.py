@@ -81,6 +81,17 @@ def test_exact_groups_hot_text_and_full_filter(spark, monkeypatch):
     assert collections.Counter(map(tuple, exact_dedup.exact_groups(df).collect())) == exact_brute(rows)
 
 
+def test_exact_groups_filter_is_a_table(spark, monkeypatch):
+    """The filter is broadcast as a table: a plan that carries it as a literal computes it wherever it is tested."""
+    rows = [(i, f"text {i // 2 if i % 5 else i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = exact_dedup.exact_groups(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 30
+    monkeypatch.setattr(exact_dedup, "BLOCK_CELLS", 128)  # many blocks
+    assert collections.Counter(map(tuple, exact_dedup.exact_groups(df).collect())) == collections.Counter(map(tuple, found.collect())) == exact_brute(rows)
+
+
 def test_exact_dedup_rows(docs, nothing):
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns
