@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,34 +44,57 @@ def gray_half_image(df: DataFrame) -> DataFrame:
     return _gray(resample(df, "1H"), SERIES, 168, 168, None, half=True)
 
 
-def gramian_field(blocks: DataFrame) -> DataFrame:
-    """cos(phi_i + phi_j) of each block scaled to [-1, 1]; from ``id, segment, values``."""
-    low, high = F.array_min("values"), F.array_max("values")
-    span = F.when(high == low, F.lit(1.0)).otherwise(high - low)
-    scaled = F.transform(
-        F.arrays_zip(F.col("values").alias("x"), F.array_repeat(low, F.size("values")).alias("l"), F.array_repeat(span, F.size("values")).alias("s")),
-        lambda c: F.least(F.greatest((c["x"] - c["l"]) / c["s"] * 2 - 1, F.lit(-1.0)), F.lit(1.0)),
-    )
-    pair = F.transform(scaled, lambda x: F.struct(x.alias("c"), F.sqrt(F.lit(1.0) - x * x).alias("s")))
-    rows = blocks.select("id", F.col("segment").alias("image"), pair.alias("_p")).select(
-        "id", "image", "_p", F.posexplode("_p").alias("row", "_r")
-    )
-    pixels = F.transform("_p", lambda q: F.col("_r")["c"] * q["c"] - F.col("_r")["s"] * q["s"])
-    return rows.select("id", "image", "row", pixels.alias("pixels"))
+PIXELS = 1 << 19  # pixels sent on at once
 
 
 def _matrix_image(blocks: DataFrame, encode) -> DataFrame:
-    @F.pandas_udf("array<array<double>>")
-    def image(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: list(encode(np.asarray(v, dtype=float))))
+    """``id, image, row, pixels`` from ``id, segment, values``; a few images stand in memory at a time, however many blocks there are."""
+    kind = blocks.schema["id"].dataType.simpleString()
+    place = blocks.schema["segment"].dataType.simpleString()
+
+    def sent(ids, images: list[np.ndarray]) -> pa.RecordBatch:
+        sides = np.array([len(m) for m in images])
+        at = np.repeat(np.arange(len(sides)), sides)
+        ends = np.concatenate([[0], np.cumsum(sides[at])]).astype(np.int32)
+        pixels = pa.ListArray.from_arrays(ends, np.concatenate([m.ravel() for m in images]))
+        rows = pa.array(np.concatenate([np.arange(n) for n in sides]), pa.int32())
+        return pa.RecordBatch.from_arrays([ids[0].take(at), ids[1].take(at), rows, pixels], ["id", "image", "row", "pixels"])
+
+    def run(batches):
+        for batch in batches:
+            values, images, done = batch["values"], [], []
+            for i in range(len(batch)):
+                if values[i].is_valid and len(values[i]):
+                    known = values[i].values
+                    images.append(np.ascontiguousarray(encode(np.asarray(known.to_numpy(zero_copy_only=False), dtype=float), known.is_null().to_numpy(zero_copy_only=False))))
+                    done.append(i)
+                if done and (i + 1 == len(batch) or sum(m.size for m in images) >= PIXELS):
+                    yield sent([batch[c].take(pa.array(done)) for c in ("id", "segment")], images)
+                    images, done = [], []
+
+    rows = blocks.select("id", "segment", F.col("values").cast("array<double>").alias("values"))
+    return rows.mapInArrow(run, f"id {kind}, image {place}, row int, pixels array<double>")
+
 
-    return blocks.select("id", F.col("segment").alias("image"), F.posexplode(image("values")).alias("row", "pixels"))
+def gramian_field(blocks: DataFrame) -> DataFrame:
+    """cos(phi_i + phi_j) of each block scaled to [-1, 1]; from ``id, segment, values``. Unknown values count as the lowest."""
+
+    def encode(x, unknown):
+        known = x[~unknown]
+        low, high = (np.fmin.reduce(known), known.max()) if len(known) else (np.nan, np.nan)
+        with np.errstate(invalid="ignore"):
+            x = (x - low) / (1.0 if low == high or np.isnan(low) else high - low) * 2 - 1
+        x = np.where(unknown, -1.0, np.where(np.isnan(x), 1.0, np.clip(x, -1.0, 1.0)))
+        y = np.sqrt(1.0 - x * x)
+        return np.multiply.outer(x, x) - np.multiply.outer(y, y)
+
+    return _matrix_image(blocks, encode)
 
 
 def markov_field(blocks: DataFrame, bins: int = 5) -> DataFrame:
     """Transition probability between the quantile bins of points i and j of each block."""
 
-    def encode(x):
+    def encode(x, _):
         edges = np.percentile(x, np.linspace(0, 100, bins + 1)[1:-1])
         q = np.searchsorted(edges, x, side="left")
         counts = np.zeros((bins, bins))
@@ -85,7 +108,7 @@ def markov_field(blocks: DataFrame, bins: int = 5) -> DataFrame:
 def recurrence_plot(blocks: DataFrame, percentage: float = 20) -> DataFrame:
     """1 where two points of a block differ by less than the given percentile of all differences."""
 
-    def encode(x):
+    def encode(x, _):
         gap = np.abs(x[:, None] - x[None, :])
         return (gap < np.percentile(gap, percentage)).astype(float)
 

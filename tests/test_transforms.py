@@ -121,3 +121,31 @@ def test_short_series_make_no_square_image(spark):
     rows = got.orderBy("row").collect()
     assert {r.id for r in rows} == {0} and len(rows) == 4
     assert [x for r in rows for x in r.pixels] == [round(i / 15 * 255) for i in range(16)]
+
+
+def test_matrix_images_a_few_at_a_time(spark):
+    """Blocks of mixed lengths, null and empty ones: every image whole, and no task holds the images of a whole batch."""
+    import numpy as np
+
+    from meterloom.operators import images
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 2, None if i == 3 else rng.normal(size=i % 7 * 40).tolist()) for i in range(40)]
+    blocks = spark.createDataFrame(rows, "id long, segment long, values array<double>")
+    for build, encode in (
+        (images.gramian_field, lambda x: np.cos(np.add.outer(x, x))),
+        (images.recurrence_plot, lambda x: np.abs(x[:, None] - x) < np.percentile(np.abs(x[:, None] - x), 20)),
+        (images.markov_field, None),
+    ):
+        image = build(blocks)
+        plan = image._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan
+        got = {}
+        for r in image.collect():
+            got.setdefault((r["id"], r["image"]), {})[r["row"]] = r["pixels"]
+        assert set(got) == {(i, s) for i, s, v in rows if v}
+        for i, s, v in rows:
+            if v and encode:
+                x = np.array(v)
+                x = np.arccos(np.clip((x - x.min()) / (x.max() - x.min()) * 2 - 1, -1, 1)) if build is images.gramian_field else x
+                assert np.allclose(np.array([got[i, s][k] for k in range(len(v))], dtype=float), encode(x))
