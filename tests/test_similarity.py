@@ -461,3 +461,46 @@ def test_candidates_lose_no_near_pair(spark, monkeypatch, chunk):
     assert want <= {tuple(r) for r in near} and len(near) < 0.5 * len(far)
     got = {(r.f, r.a, r.b): r.dist for r in ds.dtw_within(df, 0.8, ["f"]).collect()}
     assert set(got) == want and all(abs(far[k] - d) < 1e-9 for k, d in got.items())
+
+
+def _noise(spark, n, length=6):
+    rng = np.random.default_rng(11)
+    return spark.createDataFrame([(i, rng.normal(size=length + i % 3).tolist()) for i in range(n)], "id long, values array<double>")
+
+
+def test_tiles_of_few_series_use_every_core(spark):
+    """The bytes of a tile say little about its work: small tables must not end up in one task."""
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    data = _noise(spark, 200)
+    assert tasks(ds.dtw_matrix(data)) >= 4
+    assert tasks(ds.dtw_rows(data)) >= 4
+
+
+def test_edge_silhouette_measures_once_and_broadcasts_no_edges(spark):
+    data = _noise(spark, 60)
+    clusters = data.select("id", (F.col("id") % 3).alias("cluster"))
+    edges = ds.dtw_matrix(data)
+    points = cl.edge_silhouette(edges, clusters)
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "BroadcastHashJoin" not in plan
+    dist = {(r["a"], r["b"]): r["dist"] for r in edges.collect()}
+    gap = lambda i, j: dist[min(i, j), max(i, j)]
+    for r in points.collect():
+        mean = [np.mean([gap(r["id"], j) for j in range(60) if j % 3 == c and j != r["id"]]) for c in range(3)]
+        a, b = mean[r["cluster"]], min(m for c, m in enumerate(mean) if c != r["cluster"])
+        assert abs(r["silhouette"] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_dtw_kernels_give_up_only_beyond_the_radius():
+    rng = np.random.default_rng(12)
+    for la, lb in ((1, 1), (1, 6), (6, 1), (9, 9), (5, 12), (30, 17)):
+        a, b = rng.normal(size=(300, la)), rng.normal(size=(300, lb))
+        table = np.full((300, la + 1, lb + 1), np.inf)
+        table[:, 0, 0] = 0
+        for i in range(la):
+            for j in range(lb):
+                table[:, i + 1, j + 1] = (a[:, i] - b[:, j]) ** 2 + np.minimum(np.minimum(table[:, i, j + 1], table[:, i + 1, j]), table[:, i, j])
+        whole = np.sqrt(table[:, la, lb])
+        assert np.allclose(kernels.dtw_pairs(a, b), whole)
+        radius = float(np.quantile(whole, 0.3))
+        assert np.allclose(kernels.dtw_pairs_below(a, b, radius), np.where(whole < radius, whole, np.nan), equal_nan=True)
