@@ -14,6 +14,7 @@ score too high.
 
 from __future__ import annotations
 
+import pickle
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -317,7 +318,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityMod
     draw = np.random.default_rng(seed)
     sizes, numbers, distinct = _split(pa.array(texts, pa.string()))
     words, known = features(distinct), len(texts)
-    del texts, distinct  # what follows needs numbers only; the driver's memory is small
+    del texts, distinct  # what follows needs numbers only
     text, first, length = windows(sizes)
     starts, counts = np.searchsorted(text, np.arange(known)), np.bincount(text, minlength=known)
     usable = np.flatnonzero(counts > 0)
@@ -400,7 +401,7 @@ def _cut(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled rows (toxic, clean), whole texts.
+    """Fit on at most ``sample`` labelled rows (toxic, clean), whole texts, in one task.
 
     Ids with several labels count as toxic if one says so; null ids, labels and
     rows without a text take no part.
@@ -410,10 +411,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mixed = F.xxhash64("id")
     chosen = own.where("y = 1").orderBy(mixed, "id").limit(sample[0]).unionByName(own.where("y = 0").orderBy(mixed, "id").limit(sample[1]))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # the sample's bound is the bound of this broadcast and of what comes to the driver
-    found = rows.join(F.broadcast(chosen), "id").select("id", "y", "text").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).toArrow()
-    found = found.sort_by([("id", "ascending")])
-    return train(found["text"].to_pylist(), found["y"].to_numpy().astype(np.int64))
+    # the sample's bound is the bound of this broadcast and of what the one task of the fit holds
+    found = rows.join(F.broadcast(chosen), "id").select("id", "y", "text").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [b for b in batches if b.num_rows]
+        if sample:
+            table = pa.Table.from_batches(sample).sort_by([("id", "ascending")])
+            model = train(table["text"].to_pylist(), table["y"].to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # texts and training stay off the driver, which gets the model: the size of the network
+    fitted = found.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(fitted["model"])) if fitted else train([], np.zeros(0, np.int64))
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, text_col: str, name: str, keep: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -380,6 +381,13 @@ def test_toxicity_without_both_classes(spark, docs, nothing):
     assert {r["score"] for r in toxicity.toxicity(docs, toxicity.fit(docs, ones)).collect()} == {1.0}
 
 
+def test_toxicity_is_fitted_in_a_task(spark, docs, monkeypatch):
+    here = os.getpid()
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: toxicity.ToxicityModel(None, constant=float(os.getpid() == here)))
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, marks).constant == 0.0  # the driver keeps neither the texts nor the memory of the fit
+
+
 def test_windows_cover_all_words():
     sizes = np.array([0, 1, 12, 13, 100, 0, 20])
     text, first, length = toxicity.windows(sizes)
