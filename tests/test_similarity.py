@@ -378,6 +378,37 @@ def test_mean_shift_inside_tasks_and_step_by_step(spark, monkeypatch, local):
         cl.mean_shift(points(spark, p), 1.6, max_iter=1)
 
 
+def test_mean_shift_sends_points_once_for_the_seeds_of_a_cell(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    p = rng.uniform(0, 8, (300, 3))
+    sent = spark.sparkContext.accumulator(0)
+    real = cl._walker
+
+    def counted(*args):
+        walk = real(*args)
+
+        def run(key, seeds, points):
+            sent.add(len(points))
+            return walk(key, seeds, points)
+
+        return run
+
+    monkeypatch.setattr(cl, "_walker", counted)  # by cells, not by seeds
+    got = {r.id: r.cluster for r in cl.mean_shift(points(spark, p), 1.0).collect()}
+    assert [got[i] for i in range(len(p))] == plain_mean_shift(p, 1.0).tolist()
+    seeds = len(np.unique(np.round(p), axis=0))
+    assert 0 < sent.value < seeds * len(p) / 8
+
+
+def test_bandwidth_tiles_follow_the_partitions(spark, monkeypatch):
+    p = np.random.default_rng(16).normal(size=(3000, 3))
+    df = points(spark, p).withColumn("w", F.lit(1).cast("long"))
+    for c in ("lo", "hi", "below"):
+        df = df.withColumn(c, F.lit(0).cast("long"))
+    tiles = cl._over_tiles(df, 3000, df, 3000, lambda q, places, w: q.iloc[:1].assign(n=len(places)), "n long")
+    assert tiles.count() == 9  # 8 partitions; one block a partition on either side made 64
+
+
 def test_mean_shift_query_estimates_its_bandwidth(spark, monkeypatch):
     from meterloom.plans.catalog import load
 
