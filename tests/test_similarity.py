@@ -409,6 +409,16 @@ def test_bandwidth_tiles_follow_the_partitions(spark, monkeypatch):
     assert tiles.count() == 9  # 8 partitions; one block a partition on either side made 64
 
 
+@pytest.mark.parametrize("part", [1024, 7])
+def test_dbscan_deals_crowded_cells_into_parts(spark, monkeypatch, part):
+    rng = np.random.default_rng(17)
+    p = np.concatenate([rng.normal(0, 0.5, (120, 3)), rng.uniform(-4, 4, (60, 3))])
+    monkeypatch.setattr(cl, "PART", part)
+    core, label = plain_dbscan(p, 0.6, 5)
+    got = sorted(cl.dbscan(points(spark, p), 0.6, 5).collect())
+    assert [r["core"] for r in got] == list(core) and [r["cluster"] for r in got] == list(label)
+
+
 def test_mean_shift_query_estimates_its_bandwidth(spark, monkeypatch):
     from meterloom.plans.catalog import load
 
