@@ -215,6 +215,33 @@ def test_soft_alignment_of_mixed_lengths_equals_cell_by_cell(gamma, scale):
         assert np.allclose(total[i, : len(y)], share.T @ x)
 
 
+def test_soft_alignment_takes_logarithms_only_along_the_paths_that_count(monkeypatch):
+    rng = np.random.default_rng(23)
+    a, b = rng.normal(500, 60, (40, 150)), rng.normal(500, 60, (40, 148))
+    taken, real = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda v, *rest, **more: (taken.append(np.size(v)), real(v, *rest, **more))[1])
+    value, weight, total = kernels.soft_alignment(a, b, 1.0)
+    assert sum(taken) < 0.05 * 40 * 150 * 148
+    monkeypatch.undo()
+    for i in (0, 39):
+        want, share = plain_soft_dtw(a[i], b[i], 1.0)
+        assert value[i] == pytest.approx(want, rel=1e-12)
+        assert np.allclose(weight[i], share.sum(axis=0), atol=1e-7) and np.allclose(total[i], share.T @ a[i])
+
+
+def test_nearest_centres_in_single_precision_are_the_exact_ones():
+    rng = np.random.default_rng(24)
+    rows = [rng.normal(1e4, 20, rng.integers(40, 50)) for _ in range(60)]
+    base = rng.normal(1e4, 20, 45)
+    models = {2: [base, base + 1e-6], 3: [base, rows[0], base[::-1] + 1e-7]}  # near ties
+    x, nx = kernels.padded(rows)
+    assert kernels.single(x, x, nx, nx)[2](0.0) < kernels.soft_slack(40, 40, 1.0)
+    rough, exact = (barycentre._measured(x, nx, models, 1.0, exact=e) for e in (False, True))
+    for k, centres in models.items():
+        assert (rough[k][1] == exact[k][1]).all()
+        assert exact[k][0][3] == pytest.approx([plain_dtw(rows[3], c) ** 2 for c in centres])
+
+
 def test_soft_centres_equal_a_plain_loop_and_never_worsen(spark):
     rng = np.random.default_rng(22)
     arrays = [rng.normal(5 * (i % 3), 1, size=rng.integers(6, 9)) for i in range(18)]
