@@ -1,8 +1,12 @@
+import collections
+import datetime as dt
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from meterloom.functions import kernels
-from meterloom.operators import images, inject, labels, spectral, split, windows as w
+from meterloom.operators import images, inject, labels, resample, spectral, split, windows as w
 
 
 def series(spark, curves):
@@ -149,3 +153,25 @@ def test_matrix_images_a_few_at_a_time(spark):
                 x = np.array(v)
                 x = np.arccos(np.clip((x - x.min()) / (x.max() - x.min()) * 2 - 1, -1, 1)) if build is images.gramian_field else x
                 assert np.allclose(np.array([got[i, s][k] for k in range(len(v))], dtype=float), encode(x))
+
+
+def test_frequent_windows_are_dealt_by_the_buckets_of_all_meters(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    start = dt.datetime(2024, 1, 1)
+    rows, want = [], collections.Counter()
+    for i in [*range(20), None]:
+        days = sorted(rng.choice(60, 30, replace=False).tolist())
+        usage = rng.integers(0, 2, 30).tolist()
+        rows += [(i, start + dt.timedelta(days=d), float(u)) for d, u in zip(days, usage)]
+        full = [0.0] * (days[-1] - days[0] + 1)
+        for d, u in zip(days, usage):
+            full[d - days[0]] = float(u)
+        steps = [b - a + 0.0 for a, b in zip(full, full[1:])]
+        want.update(tuple(steps[j : j + 7]) for j in range(len(steps) - 6))
+    df = spark.createDataFrame([*rows, (1, None, 5.0)], "id long, date timestamp, usage double")
+    monkeypatch.setattr(resample, "WINDOWS", 30, raising=False)
+    got = resample.frequent_windows(df)
+    found = re.findall(r"hashpartitioning\(\S.*?, (\d+)\), REPARTITION_BY_NUM", got._jdf.queryExecution().toString())
+    assert found and min(map(int, found)) > 8 and spark.conf.get("spark.sql.shuffle.partitions") == "8"  # grows with the input
+    assert [(tuple(r)[:7], r.n) for r in got.collect()] == sorted(want.items(), key=lambda v: (-v[1], v[0]))[:10]
+    assert resample.frequent_windows(df.limit(0)).count() == 0
