@@ -59,7 +59,7 @@ def _(t: Tables):
     rows = t.events.select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH:mm:ss").alias("time"), F.col("value").alias("usage"))
     path = shared_path(t.spark, "meter-files")
     rows.repartition("id").write.partitionBy("id").csv(path)
-    return readers.read_per_meter_files(t.spark, f"{path}/*/*.csv")
+    return readers.read_per_meter_files(t.spark, path, nested=True)
 
 
 @query("s13_list_images", sql("SELECT DISTINCT CAST(quality AS VARCHAR) AS folder, 'jpg' AS kind FROM labels"))

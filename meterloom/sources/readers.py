@@ -63,9 +63,12 @@ def read_meter_text(spark: SparkSession, glob: str) -> DataFrame:
     return decode_meter_code(spark.read.schema("id long, code int, usage double").option("sep", " ").csv(glob))
 
 
-def read_per_meter_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Headerless ``date,time,usage`` files named after their meter (before the first dot) or in a folder ``id=...``."""
-    raw = spark.read.schema("day string, time string, usage double").csv(glob)
+def read_per_meter_files(spark: SparkSession, glob: str, nested: bool = False) -> DataFrame:
+    """Headerless ``date,time,usage`` files named after their meter (before the first dot) or in a folder ``id=...``.
+
+    A glob is expanded on the driver; with ``nested``, all files below a folder are listed by tasks.
+    """
+    raw = spark.read.schema("day string, time string, usage double").option("recursiveFileLookup", nested).csv(glob)
     folder = F.regexp_extract("_metadata.file_path", "/id=([^/]+)/[^/]*$", 1)
     return raw.select(
         F.when(folder != "", folder).otherwise(F.split_part("_metadata.file_name", F.lit("."), F.lit(1))).alias("id"),

@@ -198,3 +198,17 @@ def test_bad_dates_are_reported_and_raised(spark, tmp_path):
     assert sorted(map(tuple, bad_rows(raw).collect())) == [("1", "date", "2024-01-0x", "unreadable date"), ("1", "usage", "many", "not a number")]
     known = spark.sql("SELECT 1L AS id, TIMESTAMP'2024-01-01' AS date, 2.0D AS usage UNION ALL SELECT 1L, NULL, 7.0D")
     assert [tuple(r)[1:2] + (r["usage"],) for r in resample(known, "1D").collect()] == [(0, 2.0)]
+
+
+def test_per_meter_files_of_a_folder_are_listed_by_tasks(spark, tmp_path):
+    for i in range(40):  # more folders than the driver lists itself
+        (tmp_path / f"id={i}" / "more").mkdir(parents=True)
+        (tmp_path / f"id={i}" / "a.csv").write_text(f"2024-01-01,00:30:00,{i}.5\n")
+    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / "id=3" / "more" / "m7.2024.csv").write_text("2024-01-02,01:00:00,7.5\n")
+    df = readers.read_per_meter_files(spark, str(tmp_path), nested=True)
+    assert df.columns == ["id", "date", "usage"]
+    assert sorted((r.id, r.usage) for r in df.collect()) == sorted([*((str(i), i + 0.5) for i in range(40)), ("m7", 7.5)])
+    (tmp_path / "none").mkdir()
+    assert readers.read_per_meter_files(spark, str(tmp_path / "none"), nested=True).count() == 0
+    assert readers.read_per_meter_files(spark, str(tmp_path / "*" / "*.csv")).count() == 40
