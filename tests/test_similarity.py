@@ -53,6 +53,21 @@ def test_matrix_and_threshold_forms_agree(spark):
     assert {r.id: r.rep for r in ds.representatives(df).collect()} == {i: 0 if i >= 50 else i for i in range(60)}
 
 
+def test_every_pair_of_copies_is_listed(spark, monkeypatch):
+    """Also where copies are dealt into parts, ids repeat or are unknown, and one id has two arrays."""
+    monkeypatch.setattr(ds, "CROWD", 2)
+    shapes = [[0.0, 1.0, 0.0], [0.0, 1.2, 0.0], [5.0, 5.0]]
+    rows = [(i, "x" if i < 12 else "y", shapes[i % 3]) for i in range(18)]
+    rows += [(3, "x", shapes[0]), (4, "x", shapes[0]), (None, "x", shapes[0]), (20, "x", []), (21, "x", []), (22, "x", None)]
+    df = spark.createDataFrame(rows, "id long, f string, values array<double>")
+    want = sorted(
+        (f, a, b, round(plain_dtw(x, y), 9)) for a, f, x in rows for b, g, y in rows
+        if f == g and x and y and a is not None and b is not None and a < b and plain_dtw(x, y) < 0.5
+    )
+    got = sorted((r.f, r.a, r.b, round(r.dist, 9)) for r in ds.dtw_within(df, 0.5, ["f"], every=True).collect())
+    assert got == want and len(want) > 50
+
+
 def plain_linkage(dist):
     """Merge the closest pair of clusters, one at a time."""
     clusters = {i: [i] for i in range(len(dist))}
