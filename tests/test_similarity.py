@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -513,6 +514,58 @@ def test_linkage_by_rounds_and_in_one_task(spark, n, local):
     assert sorted((r.id, r.cluster) for r in lone) == [(0, 0), (1, 0), (77, 77)]
 
 
+def plain_rounds(sums, limit):
+    """Every round searches the whole matrix and merges all clusters that are each other's nearest."""
+    sums, sizes, alive, log = sums.copy(), np.ones(len(sums)), np.ones(len(sums), dtype=bool), []
+    np.fill_diagonal(sums, np.inf)
+    while True:
+        average = np.where(alive[:, None] & alive[None], sums / (sizes[:, None] * sizes[None]), np.inf)
+        near = average.argmin(axis=1)
+        found = [(i, j) for i, j in enumerate(near) if alive[i] and near[j] == i and i < j and average[i, j] < limit]
+        if not found:
+            return log
+        log += [(i, j, average[i, j], int(sizes[i] + sizes[j])) for i, j in found]
+        for axis in (0, 1):
+            for i, j in found:
+                if axis:
+                    sums[:, i] += sums[:, j]
+                else:
+                    sums[i] += sums[j]
+        for i, j in found:
+            sizes[i] += sizes[j]
+            alive[j] = False
+        sums = np.minimum(sums, sums.T)
+        np.fill_diagonal(sums, np.inf)
+
+
+@pytest.mark.parametrize("kinds", [2, 5, 1000])
+def test_linkage_rounds_in_place_equal_whole_searches(monkeypatch, kinds):
+    """Also among many equal distances, copies and unknown distances; rows out of order and in several batches."""
+    from meterloom.operators import linkage as lk
+
+    monkeypatch.setattr(lk, "STRIPE", 7)
+    rng = np.random.default_rng(kinds)
+    for n in (2, 3, 40, 61):
+        dist = rng.integers(0, kinds, (n, n)).astype(float)
+        dist = np.minimum(dist, dist.T)
+        if n == 61:
+            dist[5, 9] = dist[9, 5] = np.nan
+        rows = [(i, 1, np.delete(np.arange(n), i), np.delete(dist[i], i), np.ones(n - 1, dtype=int)) for i in rng.permutation(n)]
+        pdf = pd.DataFrame(rows, columns=["node", "n", "others", "sums", "sizes"])
+        for limit in (None, 0.6 * kinds):
+            got = lk._finish((pdf.iloc[s : s + 9] for s in range(0, n, 9)), [], limit, n + 3)
+            assert sorted(got.itertuples(index=False, name=None)) == sorted(plain_rounds(dist, limit or np.inf))
+
+
+def test_thousands_of_clusters_are_finished_in_one_task(spark, monkeypatch):
+    from meterloom.operators import linkage as lk
+
+    cuts, real = [], lk.cut
+    monkeypatch.setattr(lk, "cut", lambda df: cuts.append(df) or real(df))
+    log = lk.merges(ds.dtw_rows(_noise(spark, 2100, 1)))
+    assert log.count() == 2099 and len(cuts) == 2
+
+
 def test_packed_rows_hold_the_matrix(spark, monkeypatch):
     monkeypatch.setattr(ds, "TILE", 4)
     rng = np.random.default_rng(5)
@@ -587,3 +640,18 @@ def test_dtw_kernels_give_up_only_beyond_the_radius():
         assert np.allclose(kernels.dtw_pairs(a, b), whole)
         radius = float(np.quantile(whole, 0.3))
         assert np.allclose(kernels.dtw_pairs_below(a, b, radius), np.where(whole < radius, whole, np.nan), equal_nan=True)
+
+
+def test_dtw_of_whole_numbers_is_exact_in_single_precision(monkeypatch):
+    rng = np.random.default_rng(13)
+    a, b = rng.integers(0, 60, (200, 31)).astype(float), rng.integers(0, 60, (200, 24)).astype(float)
+    a[:20, :9], b[:20, 5:] = 2000.0, -2000.0  # sums beyond what single precision holds
+    kinds, real = [], kernels._diagonals
+    monkeypatch.setattr(kernels, "_diagonals", lambda x, y, *more: kinds.append((x.dtype.itemsize, len(x))) or real(x, y, *more))
+    for shift, sizes in ((0.0, {(4, 200), (8, 20)}), (0.25, {(8, 200)})):
+        kinds.clear()
+        got = kernels.dtw_pairs(a + shift, b)
+        assert set(kinds) == sizes
+        assert np.array_equal(got, np.array([plain_dtw(x, y) for x, y in zip(a + shift, b)]))
+        for radius in (float(np.quantile(got, 0.3)), 6000.0, 50000.0):
+            assert np.array_equal(kernels.dtw_pairs_below(a + shift, b, radius), np.where(got < radius, got, np.nan), equal_nan=True)
